@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup
+from . import byte_bpe, exact_dedup, mixing, near_dedup, telephony, url_filter, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
+    "op2_telephony": telephony.op2_telephony,
+    "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_mixing": mixing.op6_mixing,
+    "op7_url_filter": url_filter.op7_url_filter,
+    "op8_warc": warc.op8_warc,
 }
 SQL = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op7_url_filter": url_filter.OP7_SQL,
 }
