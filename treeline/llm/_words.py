@@ -69,7 +69,7 @@ def spans(data: np.ndarray, at: np.ndarray, stop: np.ndarray = SPACES) -> tuple[
 
 
 def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each word; with `lower`, A-Z count as a-z."""
+    """A 64-bit hash of each word, given in order of place; with `lower`, A-Z count as a-z."""
     out, table, i = np.empty(len(start), np.uint64), _LOWER if lower else _BYTE, 0
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(end, start[i] + _TILE, "right")))
@@ -82,6 +82,15 @@ def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = T
     return mix(out)
 
 
+def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(some, inverse): places of one occurrence of each distinct word, ascending, and each word's place among them."""
+    _, some, inverse = np.unique(hashes(data, start, end), return_index=True, return_inverse=True)
+    order = np.argsort(some)
+    place = np.empty(len(some), np.int64)
+    place[order] = np.arange(len(some))
+    return some[order], place[inverse]
+
+
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     """For each row the sorted distinct 64-bit hashes of its runs of `width` words; a shorter text is one run as a whole."""
     data, at = column_bytes(column)
