@@ -59,22 +59,19 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return ranked.select("source", "source_size", F.when(capped, F.col("most").cast("double")).otherwise(share).alias("target"))
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """One row per row of `docs` (doc_id, text, source): doc_id, size, source_size, target, taken, th, source.
+def _hashed(docs: DataFrame) -> DataFrame:
+    key = F.shiftrightunsigned(F.xxhash64(F.xxhash64("doc_id", "text"), F.lit("mix")), 1)
+    return docs.withColumns({"_size": word_count("text"), "_hash": key})
 
-    size is the number of words (null text: 0); taken is a whole multiple of it, at most `most` times. Every row is taken
-    floor(target / source_size) times, and once more if its hash lies below the source's threshold, which comes as near
-    the target as whole rows allow. Rows that repeat id and text share a hash and so stand on one side of it. Sources of
-    no words take nothing.
-    """
-    key = F.xxhash64("doc_id", "text")
-    rows = docs.select("doc_id", word_count("text").alias("size"), "source", key.alias("th"))
-    rows = staged(rows.withColumn("hash", F.shiftrightunsigned(F.xxhash64("th", F.lit("mix")), 1)), "sizes")
+
+def thresholds(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """(s, source_size, target, times, low) of each source of `rows` (source, size, hash): whole repeats, and the hash below which a row is taken once more."""
     plan = targets(rows.select("source", "size"), weights, most)
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = plan.withColumn("times", F.least(times, F.lit(most).cast("long")))
     # `low`: rows below it are in; `need`: words still wanted from the bucket that starts there
     open_ = staged(plan.withColumn("low", F.lit(0).cast("long")).withColumn("need", F.col("target") - F.col("times") * F.col("source_size")), "plan")
+    end = F.lit((1 << 63) - 1)
     for r in range(ROUNDS):
         shift = 63 - ROUND_BITS * (r + 1)
         p = open_.select(F.col("source").alias("s"), "low")
@@ -82,37 +79,50 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3)
         if r:
             inside = inside.where(F.shiftright("hash", shift + ROUND_BITS) == F.shiftright("low", shift + ROUND_BITS))
         counts = inside.groupBy("source", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("n"))
-        w = Window.partitionBy("source").orderBy("bucket")  # at most 2**ROUND_BITS rows of a source
-        before = counts.withColumn("upto", F.sum("n").over(w)).withColumn("s", F.col("source"))
-        joined = before.drop("source").join(open_, F.col("s").eqNullSafe(F.col("source")))
-        cut = joined.where("upto > need").groupBy("source").agg(F.min(F.struct("bucket", "upto", "n")).alias("c"))
-        over = joined.groupBy("source").agg(F.max("upto").alias("all"))
-        cut, over = (x.withColumnRenamed("source", k) for x, k in ((cut, "s1"), (over, "s2")))
-        new = open_.join(cut, F.col("source").eqNullSafe(F.col("s1")), "left").join(over, F.col("source").eqNullSafe(F.col("s2")), "left")
+        w = Window.partitionBy("s").orderBy("bucket")  # at most 2**ROUND_BITS rows of a source
+        upto = counts.withColumnRenamed("source", "s").withColumn("upto", F.sum("n").over(w))
+        joined = upto.join(open_.select("source", "need"), F.col("s").eqNullSafe(F.col("source")))
+        found = joined.groupBy(F.col("s").alias("of")).agg(F.min(F.when(F.col("upto") > F.col("need"), F.struct("bucket", "upto", "n"))).alias("c"), F.lit(True).alias("some"))
+        new = open_.join(found, F.col("source").eqNullSafe(F.col("of")), "left")
+        rest = F.col("need") - (F.col("c.upto") - F.col("c.n"))
         if r < ROUNDS - 1:
-            low = F.coalesce(F.shiftleft(F.col("c.bucket"), shift), F.lit((1 << 63) - 1))
-            need = F.coalesce(F.col("need") - (F.col("c.upto") - F.col("c.n")), F.lit(0.0))
+            low = F.coalesce(F.shiftleft(F.col("c.bucket"), shift), end)
         else:  # a bucket is one hash: in or out, whichever is nearer
-            rest = F.col("need") - (F.col("c.upto") - F.col("c.n"))
-            low = F.coalesce(F.col("c.bucket") + F.when(rest * 2 > F.col("c.n"), 1).otherwise(0), F.lit((1 << 63) - 1))
-            need = F.lit(0.0)
-        done = (F.col("low") == F.lit((1 << 63) - 1)) | F.col("all").isNull()
+            low = F.coalesce(F.col("c.bucket") + F.when(rest * 2 > F.col("c.n"), 1).otherwise(0), end)
+        done = (F.col("low") == end) | F.col("some").isNull()
         last = open_
-        open_ = staged(new.select("source", "source_size", "target", "times", F.when(done, F.col("low")).otherwise(low).alias("low"), F.when(done, F.lit(0.0)).otherwise(need).alias("need")), "plan")
+        open_ = staged(new.select("source", "source_size", "target", "times", F.when(done, F.col("low")).otherwise(low).alias("low"), F.when(done, F.lit(0.0)).otherwise(F.coalesce(rest, F.lit(0.0))).alias("need")), "plan")
         unstage(last)
-    p = open_.select(F.col("source").alias("s"), "source_size", "target", "times", "low")
-    out = rows.join(p, F.col("source").eqNullSafe(F.col("s")))
-    repeats = F.when(F.col("size") > 0, F.least(F.col("times") + (F.col("hash") < F.col("low")).cast("long"), F.lit(most).cast("long"))).otherwise(F.col("times"))
-    return out.select("doc_id", "size", "source_size", "target", (repeats * F.col("size")).alias("taken"), "source", "th", repeats.alias("repeats"))
+    return open_.select(F.col("source").alias("s"), "source_size", "target", "times", "low")
+
+
+def _repeats(size: str, hash_: str, most: int):
+    more = (F.col(hash_) < F.col("low")).cast("long")
+    return F.when(F.col(size) > 0, F.least(F.col("times") + more, F.lit(most).cast("long"))).otherwise(F.col("times"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """One row per row of `docs` (doc_id, text, source): doc_id, size, source_size, target, taken, source, repeats.
+
+    size is the number of words (null text: 0); taken is a whole multiple of it, at most `most` times. Every row is taken
+    floor(target / source_size) times, and once more if its hash lies below the source's threshold, which comes as near
+    the target as whole rows allow. Rows that repeat id and text share a hash and so stand on one side of it. Sources of
+    no words take nothing.
+    """
+    rows = staged(_hashed(docs).select("doc_id", F.col("_size").alias("size"), "source", F.col("_hash").alias("hash")), "sizes")
+    out = rows.join(thresholds(rows, weights, most), F.col("source").eqNullSafe(F.col("s")))
+    repeats = _repeats("size", "hash", most)
+    return out.select("doc_id", "size", "source_size", "target", (repeats * F.col("size")).alias("taken"), "source", repeats.alias("repeats"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it."""
-    plan = mixed(docs, weights, most).where("repeats > 0").groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.max("repeats").alias("_n"))
-    marked = docs.withColumn("_h", F.xxhash64("doc_id", "text"))
-    joined = marked.join(plan, (F.col("_h") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)
+    marked = _hashed(docs)
+    rows = staged(marked.select("source", F.col("_size").alias("size"), F.col("_hash").alias("hash")), "sizes")
+    joined = marked.join(thresholds(rows, weights, most), F.col("source").eqNullSafe(F.col("s")))
+    taken = joined.withColumn("_n", _repeats("_size", "_hash", most)).where("_n > 0")
+    return taken.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*[docs[c] for c in docs.columns])
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents")).drop("th", "repeats", "source")
+    return mixed(table(spark, sf_dir, "documents")).drop("repeats", "source")

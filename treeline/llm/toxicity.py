@@ -136,12 +136,27 @@ def _summary(p: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def _lexicon(features: np.ndarray, rows: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Sorted feature hashes that occur in toxic documents far more than chance allows."""
-    doc = np.repeat(np.arange(len(toxic)), np.diff(rows))
-    pairs = np.unique(np.stack([np.tile(doc, FEATURES).astype(np.uint64), features.T.ravel()], 1), axis=0)
-    keys, inverse, n = np.unique(pairs[:, 1], return_inverse=True, return_counts=True)
-    k = np.bincount(inverse, toxic[pairs[:, 0].astype(np.int64)], len(keys))
-    base = toxic.mean()
+    """Sorted feature hashes that occur in toxic documents far more than chance allows.
+
+    Evidence is counted in distinct contexts (the words before and after), as copies of one toxic document would
+    otherwise make all of its words look toxic; a context that any clean document has counts as clean.
+    """
+    words = features[:, 0]
+    before, after = np.roll(words, 1), np.roll(words, -1)
+    full = rows[1:] > rows[:-1]
+    before[rows[:-1][full]] = 0
+    after[rows[1:][full] - 1] = 0
+    around = before * W.SHINGLE[1] + after * W.SHINGLE[2]
+    bad = np.repeat(toxic, np.diff(rows)) == 1
+    every, share = [], []
+    for k in range(FEATURES):
+        _, some, inverse = np.unique(W.mix(features[:, k] * W.SHINGLE[0] + around), return_index=True, return_inverse=True)
+        every.append(features[some, k])
+        share.append(np.bincount(inverse, ~bad) == 0)
+    only = np.concatenate(share)
+    keys, inverse, n = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+    k = np.bincount(inverse, only, len(keys))
+    base = np.clip(only.mean(), 1e-6, 1 - 1e-6)
     rate = np.clip(k / n, 1e-9, 1 - 1e-9)
     gain = n * (rate * np.log(rate / base) + (1 - rate) * np.log((1 - rate) / (1 - base)))
     return keys[(gain > 9) & (k / n > (1 + base) / 2) & (k / n > 0.8)]

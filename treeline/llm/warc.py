@@ -168,3 +168,14 @@ def resolved(records: DataFrame) -> DataFrame:
 def op8_warc(spark, sf_dir: str) -> DataFrame:
     archives = staged(write_archives(table(spark, sf_dir, "pages")), "warc")
     return read_archives(archives).drop("url", "payload")
+
+
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, unhex(sha1(coalesce(html, '')))::BIT::VARCHAR AS bits, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS origin FROM pages)
+SELECT page_id, octet_length(encode(body)) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT + 4 * substr(bits, 5 * i + 3, 1)::INT + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT, 1) FOR i IN range(32)], '') AS payload_digest,
+       CASE WHEN origin IS NULL OR page_id = origin THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM origin THEN origin END AS refers_to
+FROM p
+"""
