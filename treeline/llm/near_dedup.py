@@ -5,9 +5,10 @@
 2. Nodes that share a band key are candidates. In each bucket the member that shares the most with others is the pivot;
    a pair passes on if its bit counts, corrected for chance agreement, estimate a similarity near the threshold.
 3. What passes is confirmed on full shingle sets. Confirmed links give connected components.
-4. Members that are not yet in their bucket's main component become pivots in further rounds; at the end each of them
-   meets every member of another component, so that no candidate pair of different components goes unexamined.
-Buckets are never collected: pivots come from aggregates, and pairs from equi-joins on the band key.
+4. In buckets whose members lie in several components, any link between components must share one of each text's rarest
+   shingles (a prefix of its set, ordered by a sketch of frequencies, that is longer than a link may miss). Only pairs
+   that do are estimated and confirmed; so no link is lost, and a cloud of unlinked near copies isn't paired up.
+Buckets are never collected: pivots come from aggregates, and pairs from equi-joins on band keys and rare shingles.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,6 +125,59 @@ def _confirmer(width: int, percent: int):
     return confirm
 
 
+#: Counters of the frequency sketch: 8 MB, whatever the input.
+SKETCH_BITS = 21
+
+
+def _counter(width: int):
+    """Frequencies of shingles by their leading bits, in pages of 64 K counters."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        for whole in batches:
+            for batch in W.slices(whole, "text"):
+                sets = W.shingle_sets(batch.column("text"), width)
+                total += np.bincount(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), minlength=1 << SKETCH_BITS).astype(np.int64)
+        pages = np.minimum(total, 2**31 - 1).astype(np.int32).reshape(-1, 1 << 16)
+        full = np.flatnonzero(pages.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([pages[i].tobytes() for i in full], pa.binary())], names=["page", "counts"])
+
+    return count
+
+
+def _added(pages: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(c, np.int32).astype(np.int64) for c in pages["counts"])
+    return pd.DataFrame({"page": [pages["page"].iloc[0]], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
+
+
+def _sketch(texts: DataFrame, width: int) -> np.ndarray:
+    out = np.zeros(1 << SKETCH_BITS, np.int32)
+    # pages of at most a few hundred tasks are summed at a time
+    pages = texts.coalesce(256).mapInArrow(_counter(width), "page long, counts binary")
+    for page, counts in pages.groupBy("page").applyInPandas(_added, "page long, counts binary").collect():
+        out[page << 16 : (page + 1) << 16] = np.frombuffer(counts, np.int32)
+    return out
+
+
+def _rarest(width: int, percent: int, sketch):
+    """Of each text its rarest shingles: one more than a text that links may lack."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sketch.value
+        for whole in batches:
+            for batch in W.slices(whole, "text"):
+                picked, sizes = [], []
+                for s in W.shingle_sets(batch.column("text"), width):
+                    k = len(s) + (-len(s) * percent) // 100 + 1
+                    picked.append(s[np.argsort(counts[s >> np.uint64(64 - SKETCH_BITS)], kind="stable")[:k]])
+                    sizes.append(len(picked[-1]))
+                of = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+                some = batch.select(["nid", "root", "out"]).take(of)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.concatenate(picked).view(np.int64))], names=["nid", "root", "out", "shingle"])
+
+    return pick
+
+
 class _Run:
     def __init__(self, docs: DataFrame, width: int, percent: int):
         self.docs, self.width, self.percent = docs.select("doc_id", "text").withColumn("th", F.xxhash64("text")), width, percent
@@ -132,59 +187,49 @@ class _Run:
         self.nodes = staged(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
         self.sigs = self.nodes.select("nid", "s0", "s1", "s2", "s3")
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b) of nodes, those whose full sets pass."""
-        pairs = staged(pairs, "pairs")
-        need = pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct()
+    def texts(self, need: DataFrame) -> DataFrame:
+        """(nid, text): a text of each node of `need` (nid)."""
         rows = need.join(self.nodes.select("nid", F.col("row.th").alias("k"), F.col("row.doc_id").alias("d")), "nid")
-        texts = self.docs.join(rows, (self.docs.th == rows.k) & self.docs.doc_id.eqNullSafe(rows.d)).groupBy("nid").agg(F.min("text").alias("text"))
-        texts = staged(texts, "texts")
+        found = self.docs.join(rows, (self.docs.th == rows.k) & self.docs.doc_id.eqNullSafe(rows.d))
+        return staged(found.groupBy("nid").agg(F.min("text").alias("text")), "texts")
+
+    def confirmed(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """Of pairs (a, b) of nodes, those whose full sets pass."""
         wide = pairs.join(texts.select(F.col("nid").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("nid").alias("a"), F.col("text").alias("text_a")), "a")
-        links = staged(wide.mapInArrow(_confirmer(self.width, self.percent), "u long, v long"), "links")
-        unstage(texts)
-        return links
+        return staged(wide.mapInArrow(_confirmer(self.width, self.percent), "u long, v long"), "links")
 
     def passing(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs whose signatures estimate enough."""
         a = pairs.distinct().join(self.sigs.alias("x"), F.col("a") == F.col("x.nid")).join(self.sigs.alias("y"), F.col("b") == F.col("y.nid"))
-        return a.where(estimate("x", "y") >= self.percent / 100 - MARGIN).select("a", "b")
+        return staged(a.where(estimate("x", "y") >= self.percent / 100 - MARGIN).select("a", "b"), "pairs")
 
     def roots(self) -> DataFrame:
-        """Rows (nid, root) of all nodes that have links."""
+        """Rows (node, root) of all nodes that have links."""
         buckets = self.nodes.select("nid", F.explode("bands").alias("bucket"))
         shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
         live = staged(buckets.join(shared, "bucket"), "live")
         score = live.groupBy("nid").agg(F.sum("size").alias("score"))
-        live = staged(live.join(score, "nid").select("bucket", "nid", "score"), "scored")
-        pivots = live.groupBy("bucket").agg(F.max(F.struct("score", "nid")).alias("p")).select("bucket", F.col("p.nid").alias("a"))
-        pairs = live.join(pivots, "bucket").where("nid <> a").select("a", F.col("nid").alias("b"))
-        links = self.confirmed(self.passing(pairs))
-        main = staged(pivots, "pivots")
-        for round_ in range(8):
-            comps = staged(connected_components(links), "roots")
-            placed = live.join(comps.select(F.col("node").alias("nid"), "root"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-            placed = staged(placed, "placed")
-            pivot_root = main.join(comps, F.col("a") == F.col("node"), "left").select("bucket", F.coalesce("root", "a").alias("main"))
-            sided = placed.join(pivot_root, "bucket").withColumn("out", F.col("root") != F.col("main"))
-            cost = sided.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("out").alias("k")).where("k > 0").select("bucket", "n", "k")
-            open_ = staged(sided.join(cost.select("bucket"), "bucket"), "open")
-            work = cost.agg(F.sum(F.col("n").cast("double") * F.col("k")).alias("w"), F.sum("n").alias("n")).first()
-            if not work["n"]:
-                return comps
-            x = open_.join(self.sigs, "nid").alias("x")
-            if work["w"] <= 200.0 * work["n"] or round_ == 7:
-                chosen = x.where("out")
-            else:
-                best = open_.where("out").groupBy("bucket").agg(F.max(F.struct("score", "nid")).alias("p")).select(F.col("bucket").alias("pb"), F.col("p.nid").alias("pn"))
-                chosen = x.join(best, (F.col("x.bucket") == F.col("pb")) & (F.col("x.nid") == F.col("pn")), "left_semi")
-            y = open_.join(self.sigs, "nid").alias("y")
-            near = estimate("x", "y") >= self.percent / 100 - MARGIN
-            pairs = chosen.alias("x").join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & near)
-            more = self.confirmed(pairs.select(F.greatest("x.nid", "y.nid").alias("a"), F.least("x.nid", "y.nid").alias("b")).distinct())
-            links = staged(links.union(more), "links")
-            if work["w"] <= 200.0 * work["n"] or round_ == 7:
-                return staged(connected_components(links), "roots")
-        raise AssertionError
+        pivots = live.join(score, "nid").groupBy("bucket").agg(F.max(F.struct("score", "nid")).alias("p"))
+        main = staged(pivots.select("bucket", F.col("p.nid").alias("a")), "pivots")
+        texts = self.texts(live.select("nid").distinct())
+        pairs = live.join(main, "bucket").where("nid <> a").select("a", F.col("nid").alias("b"))
+        links = self.confirmed(self.passing(pairs), texts)
+        comps = staged(connected_components(links), "roots")
+
+        placed = live.join(comps.select(F.col("node").alias("nid"), "root"), "nid", "left").select("bucket", "nid", F.coalesce("root", "nid").alias("root"))
+        pivot_root = main.join(comps, F.col("a") == F.col("node"), "left").select("bucket", F.coalesce("root", "a").alias("main"))
+        sided = staged(placed.join(pivot_root, "bucket").withColumn("out", F.col("root") != F.col("main")), "sided")
+        mixed = sided.where("out").select("bucket").distinct()
+        open_ = staged(sided.join(mixed, "bucket").groupBy("nid", "root").agg(F.max("out").alias("out")), "open")
+        rare = texts.join(open_, "nid")
+        sketch = self.docs.sparkSession.sparkContext.broadcast(_sketch(rare, self.width))
+        rare = staged(rare.mapInArrow(_rarest(self.width, self.percent, sketch), "nid long, root long, out boolean, shingle long"), "rare")
+        x, y = rare.where("out").alias("x"), rare.alias("y")
+        meet = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & ((F.col("x.nid") < F.col("y.nid")) | ~F.col("y.out")))
+        pairs = self.passing(meet.select(F.col("y.nid").alias("a"), F.col("x.nid").alias("b")))
+        links = links.union(self.confirmed(pairs, texts))
+        unstage(sided)
+        return staged(connected_components(links), "roots")
 
 
 def near_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
