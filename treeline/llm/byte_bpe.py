@@ -44,84 +44,97 @@ def _alone(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
-    """The token ids of each word.
+class Merges:
+    """The mergeable pairs of a vocabulary: left id * size + right id to the id (and rank) of what they spell."""
 
-    A word in which a merge opens a pair of lower rank than the one being replayed leaves the replay and is encoded by
-    itself, as the order of merges differs from the ranks there.
-    """
-    token: list[bytes | None] = []
-    after: list[int] = []
-    before: list[int] = []
-    owner: list[int] = []
-    begin = []
-    index: dict[int, list[int]] = {}
-    odd: set[int] = set()
-    get = ranks.get
-    for w, word in enumerate(words):
-        at, n = len(token), len(word)
-        begin.append(at)
-        token += [word[i : i + 1] for i in range(n)]
-        after += range(at + 1, at + n + 1)
-        before += range(at - 1, at + n - 1)
-        owner += [w] * n
-        if n:
-            before[at], after[-1] = -1, -1
-        if n > 1:
-            if (whole := get(word)) is not None and n == 2:
-                index.setdefault(whole, []).append(at)
-                continue
-            for i in range(n - 1):
-                if (rank := get(word[i : i + 2])) is not None:
-                    index.setdefault(rank, []).append(at + i)
-    heap = list(index)
-    heapq.heapify(heap)
-    spelled = {rank: t for t, rank in ranks.items()} if heap else {}
-    while heap:
-        rank = heapq.heappop(heap)
-        merged = spelled[rank]
-        places = index.pop(rank)
-        places.sort()
-        for i in places:
-            left, j = token[i], after[i]
-            if left is None or j < 0 or left + token[j] != merged or owner[i] in odd:
-                continue
-            token[i], token[j] = merged, None
-            k = after[i] = after[j]
-            if k >= 0:
-                before[k] = i
-                if (new := get(merged + token[k])) is not None:
-                    if new < rank:
-                        odd.add(owner[i])
-                    elif new in index:
-                        index[new].append(i)
-                    else:
-                        index[new] = [i]
-                        heapq.heappush(heap, new)
-            h = before[i]
-            if h >= 0 and (new := get(token[h] + merged)) is not None:
-                if new < rank:
-                    odd.add(owner[i])
-                elif new in index:
-                    index[new].append(h)
-                else:
-                    index[new] = [h]
-                    heapq.heappush(heap, new)
-    out = []
-    begin.append(len(token))
-    for w, word in enumerate(words):
-        if w in odd:
-            out.append(_alone(word, ranks))
-        else:
-            out.append([ranks[t] for t in token[begin[w] : begin[w + 1]] if t is not None])
-    return out
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.size = max(ranks.values(), default=0) + 1
+        self.pairs: dict[int, int] = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                left, right = ranks.get(token[:i]), ranks.get(token[i:])
+                if left is not None and right is not None:
+                    self.pairs[left * self.size + right] = rank
+        self.single = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
+        get = self.pairs.get
+        self.first = np.array([[get(x * self.size + y, -1) for y in self.single.tolist()] for x in self.single.tolist()], np.int64)
+
+    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): token ids of all words in a row, and the n + 1 offsets of each word's.
+
+        A word in which a merge opens a pair of lower rank than the one being replayed is encoded by itself, as the
+        order of merges differs from the ranks there.
+        """
+        data = np.frombuffer(b"".join(words), np.uint8)
+        begin = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+        if not len(data):
+            return np.zeros(0, np.int32), begin
+        size, get = self.size, self.pairs.get
+        rank = np.full(len(data), -1, np.int64)
+        rank[:-1] = self.first[data[:-1], data[1:]]
+        last = begin[1:][np.diff(begin) > 0] - 1
+        rank[last] = -1
+        after_, before_ = np.arange(1, len(data) + 1), np.arange(-1, len(data) - 1)
+        after_[last] = -1
+        before_[begin[:-1][np.diff(begin) > 0]] = -1
+        token, after, before = self.single[data].tolist(), after_.tolist(), before_.tolist()
+        places = np.flatnonzero(rank >= 0)
+        places = places[np.argsort(rank[places], kind="stable")]
+        cuts = np.flatnonzero(np.diff(rank[places], prepend=-1))
+        index = dict(zip(rank[places[cuts]].tolist(), (x.tolist() for x in np.split(places, cuts[1:])), strict=True)) if len(places) else {}
+        heap = sorted(index)
+        odd = []
+        while heap:
+            now = heapq.heappop(heap)
+            found = index.pop(now)
+            found.sort()
+            for i in found:
+                j = after[i]
+                if j < 0 or token[i] < 0 or get(token[i] * size + token[j]) != now:
+                    continue
+                token[i], token[j] = now, -1
+                k = after[i] = after[j]
+                h = before[i]
+                if k >= 0:
+                    before[k] = i
+                    new = get(now * size + token[k])
+                    if new is not None:
+                        if new in index:
+                            index[new].append(i)
+                        elif new < now:
+                            odd.append(i)
+                        else:
+                            index[new] = [i]
+                            heapq.heappush(heap, new)
+                if h >= 0:
+                    new = get(token[h] * size + now)
+                    if new is not None:
+                        if new in index:
+                            index[new].append(h)
+                        elif new < now:
+                            odd.append(i)
+                        else:
+                            index[new] = [h]
+                            heapq.heappush(heap, new)
+        ids = np.array(token, np.int64)
+        alive = ids >= 0
+        offsets = np.concatenate([[0], np.cumsum(alive)])[begin]
+        ids = ids[alive].astype(np.int32)
+        if odd:
+            parts = np.split(ids, offsets[1:-1])
+            for w in set((np.searchsorted(begin, odd, "right") - 1).tolist()):
+                parts[w] = np.array(_alone(words[w], self.ranks), np.int32)
+            ids, offsets = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        return ids, offsets
 
 
 class Codec:
     """Encoder and decoder of one vocabulary. encode() takes a block of texts, decode() one array of ids."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern, self.known = ranks, regex.compile(pattern), {}
+        self.merges, self.pattern, self.known = Merges(ranks), regex.compile(pattern), {}
+        self.decimal = [str(i) for i in range(self.merges.size)]
         pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             pieces[rank] = token
@@ -136,8 +149,10 @@ class Codec:
         known = self.known
         split = [self.pattern.findall(t) for t in texts]
         new = list(set().union(*split).difference(known))
-        for word, ids in zip(new, replay([w.encode() for w in new], self.ranks), strict=True):
-            known[word] = (np.array(ids, np.int32).tobytes(), " ".join(map(str, ids)))
+        ids, offsets = self.merges.replay([w.encode() for w in new])
+        raw, text, at = ids.tobytes(), [self.decimal[i] for i in ids.tolist()], offsets.tolist()
+        for word, a, b in zip(new, at[:-1], at[1:], strict=True):
+            known[word] = (raw[4 * a : 4 * b], " ".join(text[a:b]))
         for words in split:
             found = [known[w] for w in words]
             yield np.frombuffer(b"".join([f[0] for f in found]), np.int32), " ".join([f[1] for f in found])

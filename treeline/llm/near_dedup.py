@@ -166,14 +166,17 @@ def _rarest(width: int, percent: int, sketch):
         counts = sketch.value
         for whole in batches:
             for batch in W.slices(whole, "text"):
-                picked, sizes = [], []
+                picked, sizes, full = [], [], []
                 for s in W.shingle_sets(batch.column("text"), width):
                     k = len(s) + (-len(s) * percent) // 100 + 1
                     picked.append(s[np.argsort(counts[s >> np.uint64(64 - SKETCH_BITS)], kind="stable")[:k]])
                     sizes.append(len(picked[-1]))
+                    full.append(len(s))
                 of = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
-                some = batch.select(["nid", "root", "out"]).take(of)
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.concatenate(picked).view(np.int64))], names=["nid", "root", "out", "shingle"])
+                some = batch.drop_columns(["text"]).take(of)
+                place = np.concatenate([np.arange(n) for n in sizes])
+                new = [np.concatenate(picked).view(np.int64), place, np.repeat(full, sizes)]
+                yield pa.RecordBatch.from_arrays([*some.columns, *(pa.array(x, pa.int64()) for x in new)], names=[*some.schema.names, "shingle", "place", "size"])
 
     return pick
 
@@ -223,10 +226,17 @@ class _Run:
         open_ = staged(sided.join(mixed, "bucket").groupBy("nid", "root").agg(F.max("out").alias("out")), "open")
         rare = texts.join(open_, "nid")
         sketch = self.docs.sparkSession.sparkContext.broadcast(_sketch(rare, self.width))
-        rare = staged(rare.mapInArrow(_rarest(self.width, self.percent, sketch), "nid long, root long, out boolean, shingle long"), "rare")
+        schema = "nid long, root long, out boolean, s0 long, s1 long, s2 long, s3 long, shingle long, place long, size long"
+        rare = rare.join(self.sigs, "nid").select("text", "nid", "root", "out", "s0", "s1", "s2", "s3")
+        rare = staged(rare.mapInArrow(_rarest(self.width, self.percent, sketch), schema), "rare")
         x, y = rare.where("out").alias("x"), rare.alias("y")
-        meet = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & ((F.col("x.nid") < F.col("y.nid")) | ~F.col("y.out")))
-        pairs = self.passing(meet.select(F.col("y.nid").alias("a"), F.col("x.nid").alias("b")))
+        # Where two texts first meet in their orders, what is left of both must suffice for a link.
+        left = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+        enough = left * (100 + self.percent) >= (F.col("x.size") + F.col("y.size")) * self.percent
+        near = estimate("x", "y") >= self.percent / 100 - MARGIN
+        once = (F.col("x.nid") < F.col("y.nid")) | ~F.col("y.out")
+        meet = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & once & enough & near)
+        pairs = staged(meet.select(F.col("y.nid").alias("a"), F.col("x.nid").alias("b")).distinct(), "pairs")
         links = links.union(self.confirmed(pairs, texts))
         unstage(sided)
         return staged(connected_components(links), "roots")
