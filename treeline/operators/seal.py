@@ -42,11 +42,10 @@ def unchanged(live: DataFrame, prior: DataFrame, columns: list[str]) -> DataFram
     return differ.agg((F.count("*") == 0).alias("unchanged"))
 
 
-def ancestry(edges: DataFrame, starts: DataFrame, rounds: int = 64) -> DataFrame:
+def ancestry(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, node, depth): least distance from each start to its ancestors by edges (child, parent).
 
-    A frontier that only takes new nodes, so shared ancestors and cycles are visited once; the loop ends when the
-    frontier is empty, whatever `rounds` says beyond the first check of it.
+    The frontier only takes new nodes, so shared ancestors and cycles are visited once.
     """
     from ..plans.staging import staged
 
