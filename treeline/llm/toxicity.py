@@ -1,7 +1,7 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Document labels become token labels: a token of a toxic document is toxic if one of its features (the word, its first
-four or six bytes) is far likelier in toxic than in clean documents. A two-state chain with these features is trained in
+Document labels become token labels: a token of a toxic document is toxic if the word or its beginning (four or
+six bytes) is far likelier in toxic than in clean documents. A two-state chain with these features is trained in
 numpy on windows of tokens by forward-backward gradients. Each whole text is tagged by exact marginals; sums of marginals
 are the inputs of a logistic document score, and runs of likely toxic tokens are the offending offsets.
 """
@@ -21,11 +21,13 @@ from ._sampling import held_out, sampled
 from ._store import table
 
 #: Labelled rows of each class that training reads, and the longest text among them, in characters.
-TRAIN_ROWS, TRAIN_CHARS = 3000, 20_000
+TRAIN_ROWS, TRAIN_CHARS = 1500, 12_000
 #: Windows of tokens that the chain is trained on, their length, and steps of training.
 WINDOWS, WINDOW, STEPS = 24_000, 24, 120
 SEGMENT = 64
 THRESHOLD = 0.3
+#: Marginals below it say nothing about a document.
+FLOOR = 0.1
 #: A byte of a token is a letter, a digit or part of a character beyond ASCII.
 _STOP = np.ones(256, bool)
 _STOP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -125,8 +127,8 @@ def marginals(moves: np.ndarray, scores: np.ndarray, rows: np.ndarray) -> np.nda
 
 
 def _summary(p: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Of each document: one, the log of its expected toxic tokens, their largest marginal, and their share."""
-    sums = np.concatenate([[0.0], np.cumsum(p)])
+    """Of each document: one, the log of its expected toxic tokens (of those above FLOOR), the largest marginal, and their share."""
+    sums = np.concatenate([[0.0], np.cumsum(np.where(p > FLOOR, p, 0.0))])
     total = np.maximum(sums[rows[1:]] - sums[rows[:-1]], 0)
     top = np.zeros(len(total))
     full = rows[1:] > rows[:-1]
@@ -135,31 +137,40 @@ def _summary(p: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(total)), np.log1p(total), top, np.minimum(1.0, 10 * total / np.maximum(1, np.diff(rows)))], 1)
 
 
-def _lexicon(features: np.ndarray, rows: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Sorted feature hashes that occur in toxic documents far more than chance allows.
+def _lexicon(features: np.ndarray, rows: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of words, and of prefixes, that occur in toxic documents far more than chance allows.
 
-    Evidence is counted in distinct contexts (the words before and after), as copies of one toxic document would
-    otherwise make all of its words look toxic; a context that any clean document has counts as clean.
+    A word's evidence is counted in distinct contexts (the words before and after), as copies of one toxic document would
+    otherwise make all of its words look toxic; a context that any clean document has counts as clean. A prefix counts
+    distinct words, so that one frequent toxic word doesn't speak for all that begin like it.
     """
     words = features[:, 0]
     before, after = np.roll(words, 1), np.roll(words, -1)
     full = rows[1:] > rows[:-1]
     before[rows[:-1][full]] = 0
     after[rows[1:][full] - 1] = 0
-    around = before * W.SHINGLE[1] + after * W.SHINGLE[2]
-    bad = np.repeat(toxic, np.diff(rows)) == 1
-    every, share = [], []
-    for k in range(FEATURES):
-        _, some, inverse = np.unique(W.mix(features[:, k] * W.SHINGLE[0] + around), return_index=True, return_inverse=True)
-        every.append(features[some, k])
-        share.append(np.bincount(inverse, ~bad) == 0)
-    only = np.concatenate(share)
-    keys, inverse, n = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
-    k = np.bincount(inverse, only, len(keys))
-    base = np.clip(only.mean(), 1e-6, 1 - 1e-6)
-    rate = np.clip(k / n, 1e-9, 1 - 1e-9)
-    gain = n * (rate * np.log(rate / base) + (1 - rate) * np.log((1 - rate) / (1 - base)))
-    return keys[(gain > 9) & (k / n > (1 + base) / 2) & (k / n > 0.8)]
+    good = np.repeat(toxic, np.diff(rows)) == 0
+
+    def strong(units, owners):
+        """Owners whose units are clean in no document, beyond chance."""
+        _, some, inverse = np.unique(units, return_index=True, return_inverse=True)
+        only = np.bincount(inverse, good) == 0
+        keys, inverse, n = np.unique(owners[some], return_inverse=True, return_counts=True)
+        k = np.bincount(inverse, only, len(keys))
+        base = np.clip(only.mean(), 1e-6, 1 - 1e-6)
+        rate = np.clip(k / n, 1e-9, 1 - 1e-9)
+        gain = n * (rate * np.log(rate / base) + (1 - rate) * np.log((1 - rate) / (1 - base)))
+        return keys, gain, k, n, base
+
+    keys, gain, k, n, base = strong(W.mix(words * W.SHINGLE[0] + before * W.SHINGLE[1] + after * W.SHINGLE[2]), words)
+    bad = keys[(gain > 16) & (k / n > max(0.8, (1 + base) / 2))]
+    prefixes = []
+    for f in range(1, FEATURES):
+        keys, gain, k, n, base = strong(words, features[:, f])
+        around = strong(W.mix(features[:, f] * W.SHINGLE[0] + before * W.SHINGLE[1] + after * W.SHINGLE[2]), features[:, f])
+        frequent = around[0][(around[1] > 16) & (around[2] / around[3] > 0.95)]
+        prefixes.append(keys[np.isin(keys, frequent) & (n >= 8) & (k / n > 0.95)])
+    return bad, np.unique(np.concatenate(prefixes))
 
 
 def _train_chain(features: np.ndarray, tags: np.ndarray, windows: np.ndarray):
@@ -227,12 +238,12 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
         return none
     data, _, start, end, rows = tokens(pa.array(texts, pa.string()))
     hashed = feature_hashes(data, start, end)
-    words = _lexicon(hashed, rows, toxic)
-    if not len(words):
+    words, prefixes = _lexicon(hashed, rows, toxic)
+    if not len(words) + len(prefixes):
         base = float(np.average(toxic, weights=weight))
         return Model(none.keys, none.weights, -20.0, none.moves, np.array([np.log(base / (1 - base)), 0, 0, 0]))
     doc = np.repeat(toxic, np.diff(rows))
-    hit = np.isin(hashed, words).any(axis=1)
+    hit = np.isin(hashed[:, 0], words) | np.isin(hashed[:, 1:], prefixes).any(axis=1)
     tags = (hit & (doc == 1)).astype(np.int64)
     rng = np.random.Generator(np.random.PCG64(11))
     usable = np.flatnonzero(np.diff(rows) >= WINDOW)
@@ -251,9 +262,8 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
     low, high = rows[owner], rows[owner + 1] - length
     near = np.clip(near, low, np.maximum(high, low))[high >= low]
     windows = np.concatenate([begin, near])[:, None] + np.arange(length)
-    used = hashed[np.unique(windows)]
-    keys, counts = np.unique(used, return_counts=True)
-    keys = keys[counts >= 3]
+    keys, counts = np.unique(hashed[np.unique(windows), 0], return_counts=True)
+    keys = np.union1d(keys[counts >= 3], prefixes)
     at = np.searchsorted(keys, hashed)
     places = np.where((at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == hashed), at, len(keys))
     w, bias, move = _train_chain(places, tags, windows)
