@@ -6,6 +6,9 @@ value per byte, taken from prefix sums modulo 2**64, so that a batch of texts is
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -113,6 +116,13 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
+def _trim() -> None:
+    """Give freed memory back, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     """The batch in runs of rows of about `most` bytes of `column`; a longer row is a run of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -124,3 +134,4 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
         held += n
     if begin < batch.num_rows:
         yield batch.slice(begin)
+    _trim()

@@ -23,9 +23,9 @@ from ._store import table
 from ._words import slices
 
 #: Words whose ids a task keeps between blocks; beyond it the store starts anew, which costs time only.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 #: Bytes of text in a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -150,12 +150,13 @@ class Codec:
         split = [self.pattern.findall(t) for t in texts]
         new = list(set().union(*split).difference(known))
         ids, offsets = self.merges.replay([w.encode() for w in new])
-        raw, text, at = ids.tobytes(), [self.decimal[i] for i in ids.tolist()], offsets.tolist()
+        raw, at = ids.tobytes(), offsets.tolist()
         for word, a, b in zip(new, at[:-1], at[1:], strict=True):
-            known[word] = (raw[4 * a : 4 * b], " ".join(text[a:b]))
+            known[word] = raw[4 * a : 4 * b]
+        decimal = self.decimal
         for words in split:
-            found = [known[w] for w in words]
-            yield np.frombuffer(b"".join([f[0] for f in found]), np.int32), " ".join([f[1] for f in found])
+            found = np.frombuffer(b"".join([known[w] for w in words]), np.int32)
+            yield found, " ".join([decimal[i] for i in found.tolist()])
 
     def decode(self, ids: np.ndarray) -> bytes:
         sizes = self.sizes[ids]

@@ -199,7 +199,7 @@ def exact_classes(docs: DataFrame) -> DataFrame:
     owners = max(owners, min(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     sent = prints.select("print").mapInArrow(_sender(owners), "owner long, part long, number long, message binary, own binary")
     answers = sent.groupBy("owner").applyInPandas(_answer, "part long, number long, message binary, bitmap binary")
-    pages = answers.mapInArrow(_marks, "page long, bits binary").groupBy("page").applyInPandas(_either, "page long, bits binary").collect()
+    pages = staged(answers, "answers").mapInArrow(_marks, "page long, bits binary").groupBy("page").applyInPandas(_either, "page long, bits binary").collect()
     bits = bytearray(1 << (MARK_BITS - 3))
     for page, part in pages:
         bits[page << 16 : (page + 1) << 16] = part
