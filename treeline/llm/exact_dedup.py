@@ -216,10 +216,11 @@ def exact_classes(docs: DataFrame) -> DataFrame:
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, one for each distinct normalised text; of rows that repeat the kept id, one."""
     kept = exact_classes(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    squeezed = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    marked = docs.withColumn("_s", F.sha2(squeezed.cast("binary"), 256))
-    joined = marked.join(kept, marked.doc_id.eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_sha")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_s"]).select(*docs.columns)
+    squeezed = F.regexp_replace(F.coalesce("row.text", F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    packed = docs.select(F.struct("*").alias("row"))
+    marked = packed.select("row", "row.doc_id", F.sha2(squeezed.cast("binary"), 256).alias("s"))
+    joined = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("s") == F.col("_sha")), "left_semi")
+    return joined.dropDuplicates(["doc_id", "s"]).select("row.*")
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:

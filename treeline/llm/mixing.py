@@ -60,8 +60,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
-    key = F.shiftrightunsigned(F.xxhash64(F.xxhash64("doc_id", "text"), F.lit("mix")), 1)
-    return docs.withColumns({"_size": word_count("text"), "_hash": key})
+    """(row, size, hash, doc_id, source): rows as one column, so that no name of theirs can clash."""
+    key = F.shiftrightunsigned(F.xxhash64(F.xxhash64("row.doc_id", "row.text"), F.lit("mix")), 1)
+    packed = docs.select(F.struct("*").alias("row"))
+    return packed.select("row", word_count("row.text").alias("size"), key.alias("hash"), "row.doc_id", "row.source")
 
 
 def thresholds(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
@@ -109,7 +111,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3)
     the target as whole rows allow. Rows that repeat id and text share a hash and so stand on one side of it. Sources of
     no words take nothing.
     """
-    rows = staged(_hashed(docs).select("doc_id", F.col("_size").alias("size"), "source", F.col("_hash").alias("hash")), "sizes")
+    rows = staged(_hashed(docs).select("doc_id", "size", "source", "hash"), "sizes")
     out = rows.join(thresholds(rows, weights, most), F.col("source").eqNullSafe(F.col("s")))
     repeats = _repeats("size", "hash", most)
     return out.select("doc_id", "size", "source_size", "target", (repeats * F.col("size")).alias("taken"), "source", repeats.alias("repeats"))
@@ -118,10 +120,10 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3)
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it."""
     marked = _hashed(docs)
-    rows = staged(marked.select("source", F.col("_size").alias("size"), F.col("_hash").alias("hash")), "sizes")
+    rows = staged(marked.select("source", "size", "hash"), "sizes")
     joined = marked.join(thresholds(rows, weights, most), F.col("source").eqNullSafe(F.col("s")))
-    taken = joined.withColumn("_n", _repeats("_size", "_hash", most)).where("_n > 0")
-    return taken.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*[docs[c] for c in docs.columns])
+    taken = joined.select("row", _repeats("size", "hash", most).alias("n")).where("n > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("row.*")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

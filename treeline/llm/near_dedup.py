@@ -263,9 +263,10 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` that near_classes keeps, one for each class: of rows that repeat the kept id, one stays. A blank text stays."""
     classes = near_classes(docs, width, percent).where("kept").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    marked = docs.withColumn("_h", F.xxhash64("text"))
-    kept = marked.join(classes, marked.doc_id.eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_h"]).drop("_h").select(*docs.columns)
+    packed = docs.select(F.struct("*").alias("row"))
+    marked = packed.select("row", "row.doc_id", F.xxhash64("row.text").alias("h"))
+    kept = marked.join(classes, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_th")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "h"]).select("row.*")
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:

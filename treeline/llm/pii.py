@@ -129,6 +129,10 @@ def bootstrapped(found: DataFrame) -> DataFrame:
     return found_.join(believed, ["x", "pk"]).groupBy("rid", "s", "e").agg(F.min("pk").alias("k")).select("rid", "k", "s", "e")
 
 
+def _of(kind: int):
+    return lambda span: span["k"] == kind
+
+
 def personal_data(docs: DataFrame) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_<kind> and base_sha256 of the base patterns' spans, spans with the method's own.
 
@@ -138,28 +142,29 @@ def personal_data(docs: DataFrame) -> DataFrame:
     found = staged(base_spans(docs).withColumn("rid", F.monotonically_increasing_id()), "found")
     more = bootstrapped(found).groupBy("rid").agg(F.collect_list(F.struct("k", "s", "e")).alias("more"))
     out = found.join(more, "rid", "left")
-    counts = [F.size(F.filter("base", lambda b, k=k: b["k"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [F.size(F.filter("base", _of(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     every = F.concat("base", F.coalesce("more", F.array().cast("array<struct<k:int,s:int,e:int>>")))
     return out.select("doc_id", *counts, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(every).alias("spans"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """`docs` with each span of `text` replaced by its kind in brackets; of overlapping spans the first, then longest."""
-    keyed = staged(docs.withColumn("_rid", F.monotonically_increasing_id()), "keyed")
-    found = staged(base_spans(keyed, "_rid").withColumnRenamed("_rid", "rid"), "found")
+    keyed = staged(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("rid")), "keyed")
+    found = staged(base_spans(keyed.select("rid", "row.doc_id", "row.text"), "rid"), "found")
     more = bootstrapped(found).groupBy("rid").agg(F.collect_list(F.struct("k", "s", "e")).alias("more"))
     every = F.concat("base", F.coalesce("more", F.array().cast("array<struct<k:int,s:int,e:int>>")))
     order = F.array_sort(F.transform(every, lambda s: F.struct(s["s"].alias("s"), (-s["e"]).alias("e"), s["k"].alias("k"))))
-    spans = found.join(more, "rid", "left").select(F.col("rid").alias("_rid"), order.alias("_spans"))
-    text = F.coalesce("text", F.lit(""))
+    spans = found.join(more, "rid", "left").select("rid", order.alias("spans"))
+    text = F.coalesce("row.text", F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def add(a, s):
         put = F.concat(a["out"], F.substring(text, a["at"] + 1, s["s"] - a["at"]), F.lit("["), F.element_at(F.array(*map(F.lit, KINDS)), s["k"] + 1), F.lit("]"))
         return F.when(s["s"] >= a["at"], F.struct((-s["e"]).alias("at"), put.alias("out"))).otherwise(a)
 
-    clean = F.aggregate("_spans", start, add, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return keyed.join(spans, "_rid").withColumn("text", F.when(F.col("text").isNotNull(), clean)).select(*docs.columns)
+    clean = F.aggregate("spans", start, add, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    put = F.when(F.col("row.text").isNotNull(), clean)
+    return keyed.join(spans, "rid").select(F.col("row").withField("text", put).alias("row")).select("row.*")
 
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:
