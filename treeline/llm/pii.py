@@ -56,16 +56,23 @@ def _located(text, regex: str, keep, item):
     found, pieces = F.regexp_extract_all(text, F.lit(regex), F.lit(0)), F.split(text, regex, -1)
     both = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
     both = F.zip_with(both, F.slice(pieces, 2, F.greatest(F.size(found), F.lit(1))), lambda b, q: F.struct(b["p"].alias("p"), b["m"].alias("m"), q.alias("q")))
-    # one pass keeps the place beside the list, so that places need no sums over prefixes
+    # One pass keeps the place beside the list. Lists grow by copying, so they are built in blocks.
     empty = F.filter(F.transform(both, lambda b: item(F.lit(0), b)), lambda _: F.lit(False))
-    start = F.struct(F.lit(0).alias("to"), empty.alias("out"))
+    n = 256
+    count = lambda w: F.greatest(F.ceil(F.size(w) / n), F.lit(1)).cast("int")
+    blocks = F.transform(F.array(both), lambda w: F.transform(F.sequence(F.lit(1), count(w)), lambda i: F.slice(w, (i - 1) * n + 1, n)))[0]
 
     def add(a, b):
         at = a["to"] + F.length(b["p"])
         out = F.when(keep(b["m"]), F.concat(a["out"], F.array(item(at, b)))).otherwise(a["out"])
         return F.struct((at + F.length(b["m"])).alias("to"), out.alias("out"))
 
-    return F.aggregate(both, start, add, lambda a: a["out"])
+    def block(a, part):
+        begin = F.struct(a["to"].alias("to"), F.filter(F.transform(part, lambda b: item(F.lit(0), b)), lambda _: F.lit(False)).alias("out"))
+        return F.aggregate(part, begin, add, lambda r: F.struct(r["to"].alias("to"), F.concat(a["out"], F.array(r["out"])).alias("out")))
+
+    start = F.struct(F.lit(0).alias("to"), F.filter(F.array(empty), lambda _: F.lit(False)).alias("out"))
+    return F.aggregate(blocks, start, block, lambda a: F.flatten(a["out"]))
 
 
 def _base(kind: int):
