@@ -86,8 +86,3 @@ def semver(value):
     """Struct (major, minor, patch) of a plain semantic version, comparable; null if it has another shape."""
     part = lambda i: F.regexp_extract(value, r"^(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)$", i)
     return F.when(part(1) != "", F.struct(*(part(i).cast("long").alias(n) for i, n in ((1, "major"), (2, "minor"), (3, "patch")))))
-
-
-def folded(path):
-    """Collision key: two paths that a case-insensitive file system may not tell apart. Equal to full case folding for letters whose lower case is one to one."""
-    return F.lower(path)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import ancestors, at_or_below, folded
+from ..functions.paths import ancestors, at_or_below
+from ..functions.unicode import folded
 from ..model import DIRECTORY, FILE, SYMLINK
 
 _CONTENT = ("kind", "content_sha256", "bytes", "executable", "target")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..functions import unicode
 from ..model import MAX_ENTRIES, NESTED
 from .change_set import below_boundary
 
@@ -18,7 +19,7 @@ def finding(df: DataFrame, code: str, path="path", severity: str = "error") -> D
 
 def collisions(rows: DataFrame) -> DataFrame:
     """(key, n): collision keys that several distinct paths share."""
-    return rows.groupBy(P.folded(F.col("path")).alias("key")).agg(F.count_distinct("path").alias("n")).where("n > 1")
+    return rows.where("path is not null").groupBy(unicode.folded(F.col("path")).alias("key")).agg(F.count_distinct("path").alias("n")).where("n > 1")
 
 
 def repeated(rows: DataFrame, key: str) -> DataFrame:

@@ -61,6 +61,19 @@ _CHUNKS = "ch AS (SELECT 'o' || l_orderkey AS object_id, row_number() OVER w - 1
 _GRANTS = """gr AS (SELECT 'g' || lpad(c_custkey::VARCHAR, 9, '0') AS grant_id, 'root' || c_nationkey % 5 AS root_id, 'm' || c_custkey % 40 AS member_id, (['root', 'folder', 'object', 'view'])[1 + c_custkey % 4] AS scope_type, 'src' || c_custkey % 20 AS scope_path, c_custkey % 3 AS perm, c_custkey % 7 AS exp, c_custkey % 11 AS rev FROM customer),
 rq AS (SELECT o_orderkey AS request_id, 'root' || o_custkey % 5 AS root_id, 'm' || o_orderkey % 45 AS member_id, 'src' || o_orderkey % 20 || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '/en' END AS path, (['read', 'edit', 'share'])[1 + o_orderkey % 3] AS permission, o_orderkey % 8 AS at FROM orders)"""
 
+
+
+def _framed(text: str) -> str:
+    return f"printf('%08x', octet_length(encode({text}))) || lower(hex(encode({text})))"
+
+
+_DIGEST = f"""lv AS (SELECT right(object_id, 12)::BIGINT // 1000 AS v, path, object_id AS o, {_framed('path')} || {_framed('object_id')} || {_framed("'live'")} || '01' || {_framed('object_version_id')} || content_sha256 || printf('%016x', bytes) || printf('%02x', executable::INT) AS h FROM nb WHERE path IS NOT NULL AND content_sha256 IS NOT NULL),
+dd AS (SELECT right(object_id, 12)::BIGINT // 1000 AS v, path, object_id AS o, {_framed('path')} || {_framed('object_id')} || {_framed("'deleted'")} || '0101' || {_framed('last_object_version_id')} AS h FROM nt WHERE path IS NOT NULL),
+xx AS (SELECT regexp_extract(path, '([0-9]+)$', 1)::BIGINT // 1000 AS v, path, '' AS o, {_framed('path')} || CASE WHEN kind = 'nested_root' THEN '00' ELSE '01' END || {_framed('reason')} AS h FROM nx WHERE path IS NOT NULL),
+hd AS (SELECT DISTINCT doc_id // 1000 AS v FROM documents),
+tops AS (SELECT v, lower(hex(encode('treeline-version-v1'))) || '00' || {_framed("'1.0'")} || {_framed("'root'")} || {_framed("'v' || v")} || '01' || {_framed("'v'")} || {_framed("'2026-01-01T00:00:00Z'")} AS top FROM hd)"""
+_PART = "coalesce((SELECT printf('%08x', count(*)) || string_agg(h, '' ORDER BY path, o) FROM {t} WHERE {t}.v = tops.v), '00000000')"
+
 SQL = {
     "query_page": f"WITH {ENTRIES} SELECT {_LIVE}, {_NOIDS} FROM e WHERE {_PREFIX} AND kind = 'regular_file' AND bytes >= 1000 ORDER BY path LIMIT 101",
     "query_filter_prefix": f"WITH {ENTRIES} SELECT {_LIVE}, {_NOIDS} FROM e WHERE {_PREFIX}",
@@ -103,4 +116,5 @@ SQL = {
     "lineage_summary": "WITH r AS (SELECT conv_id, turn AS k, nullif(CASE WHEN turn % 4 = 3 THEN turn - 2 ELSE turn - 1 END, -1) AS p FROM (SELECT conv_id, turn - min(turn) OVER (PARTITION BY conv_id) AS turn FROM conversations)), u AS (SELECT conv_id, p, count(*) AS n FROM r WHERE p IS NOT NULL GROUP BY ALL) SELECT r.conv_id, count(*) AS records, count(*) FILTER (r.p IS NULL) AS roots, count(*) FILTER (u.n IS NULL) AS terminals, count(*) FILTER (u.n > 1) AS forks, count(*) FILTER (r.p IS NOT NULL AND NOT EXISTS (SELECT 1 FROM r q WHERE q.conv_id = r.conv_id AND q.k = r.p)) AS lost FROM r LEFT JOIN u ON r.conv_id = u.conv_id AND r.k = u.p GROUP BY r.conv_id",
     "workspace_listing": f"WITH {ENTRIES} SELECT path, kind, CASE WHEN kind = 'regular_file' THEN bytes ELSE 0 END AS bytes, coalesce(kind = 'regular_file' AND bytes <= 2097152, false) AS editable, false AS reconstructable FROM e",
     "text_digests": "SELECT conv_id, turn, octet_length(encode(text))::BIGINT AS bytes, sha256(text) AS sha256 FROM conversations",
+    "version_digests": f"WITH {VERSIONS}, {_DIGEST} SELECT 'v' || v AS version_id, sha256(unhex(top || " + " || ".join(_PART.format(t=t) for t in ("lv", "dd", "xx")) + ")) AS version_sha256 FROM tops",
 }

@@ -306,6 +306,18 @@ def content_chunks(spark, d):
     return chunking.chunked(objects, (256, 1024, 4096))
 
 
+def version_digests(spark, d):
+    """Digests of the new version's parts, a version for each thousand documents."""
+    from ..functions import digest
+
+    number = {"bindings": F.substring("object_id", -12, 12), "tombstones": F.substring("object_id", -12, 12), "exclusions": F.regexp_extract("path", "([0-9]+)$", 1)}
+    parts = {n: df.where("path is not null").withColumn("version_id", F.concat(F.lit("v"), F.floor(number[n].cast("long") / 1000).cast("string"))) for n, df in R.new_version(spark, d).items()}
+    parts["bindings"] = parts["bindings"].where("content_sha256 is not null")
+    made = R.table(spark, d, "documents").select(F.concat(F.lit("v"), F.floor(F.col("doc_id") / 1000).cast("string")).alias("version_id")).distinct()
+    headers = made.select("version_id", F.lit("1.0").alias("protocol"), F.lit("root").alias("root_id"), F.array(F.lit("v")).alias("parents"), F.lit("2026-01-01T00:00:00Z").alias("created_at"))
+    return digest.version_digests(headers, **parts)
+
+
 def entry(spark, d) -> DataFrame:
     return query_page(spark, d)
 
@@ -316,6 +328,6 @@ QUERIES = {
         query_page, query_filter_prefix, query_filter_families, query_live_identity, query_keyset_second_page, query_matched, query_exclusions, exclusions_capped, version_diff, diff_counts, version_findings, path_functions,
         id_and_digest_checks, boundary_containment, boundary_overlaps, collisions, duplicate_contents, rename_matches, change_set_deltas, change_set_conflicts, change_set_applied, scoped_projection, tombstones_carried, seal_identities,
         seal_unchanged, hidden_priors, version_ancestry, replica_reconciliation, applied_events, grant_decisions, readiness, inventory_summary, classified_paths, manifest_findings, transfer_progress, missing_chunk_page, storage_totals,
-        closure_problems, unresolved_targets, lineage_summary, workspace_listing, text_digests, ignore_pruned, content_chunks,
+        closure_problems, unresolved_targets, lineage_summary, workspace_listing, text_digests, ignore_pruned, content_chunks, version_digests,
     )
 } | {"query_historical": _historical}
