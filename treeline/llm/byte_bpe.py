@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from ._store import table
 from ._words import slices
 
-#: Words whose ids a task keeps between blocks; beyond it the store starts anew, which costs time only.
+#: Words whose ids a task keeps between blocks; beyond it only the last block's stay, which costs time only.
 KEPT_WORDS = 250_000
 #: Bytes of text in a block.
 BLOCK_BYTES = 4 << 20
@@ -83,35 +83,40 @@ class Merges:
         places = places[np.argsort(rank[places], kind="stable")]
         cuts = np.flatnonzero(np.diff(rank[places], prepend=-1))
         index = dict(zip(rank[places[cuts]].tolist(), (x.tolist() for x in np.split(places, cuts[1:])), strict=True)) if len(places) else {}
-        heap = sorted(index)
+        heap, listed = sorted(index), index.get
+        #: What the pair that starts at each position spells now; entries of the index that it no longer bears out are stale.
+        pair = rank.tolist()
         odd = []
         while heap:
             now = heapq.heappop(heap)
             found = index.pop(now)
             found.sort()
             for i in found:
-                j = after[i]
-                if j < 0 or token[i] < 0 or get(token[i] * size + token[j]) != now:
+                if pair[i] != now:
                     continue
-                token[i], token[j] = now, -1
+                j, h = after[i], before[i]
+                token[i], token[j], pair[j] = now, -1, -1
                 k = after[i] = after[j]
-                h = before[i]
+                new = -1
                 if k >= 0:
                     before[k] = i
-                    new = get(now * size + token[k])
-                    if new is not None:
-                        if new in index:
-                            index[new].append(i)
-                        elif new < now:
-                            odd.append(i)
-                        else:
-                            index[new] = [i]
-                            heapq.heappush(heap, new)
+                    new = get(now * size + token[k], -1)
+                pair[i] = new
+                if new >= 0:
+                    at = listed(new)
+                    if at is not None:
+                        at.append(i)
+                    elif new < now:
+                        odd.append(i)
+                    else:
+                        index[new] = [i]
+                        heapq.heappush(heap, new)
                 if h >= 0:
-                    new = get(token[h] * size + now)
-                    if new is not None:
-                        if new in index:
-                            index[new].append(h)
+                    new = pair[h] = get(token[h] * size + now, -1)
+                    if new >= 0:
+                        at = listed(new)
+                        if at is not None:
+                            at.append(h)
                         elif new < now:
                             odd.append(i)
                         else:
@@ -134,6 +139,7 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.merges, self.pattern, self.known = Merges(ranks), regex.compile(pattern), {}
+        self.latest: set[str] = set()
         self.decimal = [str(i) for i in range(self.merges.size)]
         pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
@@ -145,18 +151,19 @@ class Codec:
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str]]:
         """Of each text its ids and the same in decimal, joined by spaces."""
         if len(self.known) > KEPT_WORDS:
-            self.known = {}
+            self.known = {w: self.known[w] for w in self.latest} if len(self.latest) <= KEPT_WORDS else {}
         known = self.known
         split = [self.pattern.findall(t) for t in texts]
-        new = list(set().union(*split).difference(known))
+        self.latest = set().union(*split)
+        new = list(self.latest.difference(known))
         ids, offsets = self.merges.replay([w.encode() for w in new])
         raw, at = ids.tobytes(), offsets.tolist()
         for word, a, b in zip(new, at[:-1], at[1:], strict=True):
             known[word] = raw[4 * a : 4 * b]
         decimal = self.decimal
         for words in split:
-            found = np.frombuffer(b"".join([known[w] for w in words]), np.int32)
-            yield found, " ".join([decimal[i] for i in found.tolist()])
+            found = np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32)
+            yield found, " ".join(map(decimal.__getitem__, found.tolist()))
 
     def decode(self, ids: np.ndarray) -> bytes:
         sizes = self.sizes[ids]
