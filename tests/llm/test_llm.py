@@ -110,6 +110,18 @@ def test_personal_data(docs, empty, spark):
     assert clean.columns == docs.columns and {r.doc_id: r.text for r in clean.collect()}[12] == "[email] or [phone], [ip] é [card]"
 
 
+def test_personal_data_of_other_shapes(spark):
+    seeds = [f"my phone number is +1-555-010-{1000 + i} thanks" for i in range(40)] + [f"write me at user{i}@host{i}.org please" for i in range(40)]
+    seeds += [f"paid by card 4111 1111 1111 1111 ref{i}" for i in range(3)] + [f"+1 555 010 {2000 + i} is mine" for i in range(20)] + [f"{i} 10.0.0.{i} up" for i in range(20)]
+    new = {"phone": ["555-010-9999", "555 010 9999", "(555) 010 9998"], "email": ["user[at]host1.org", "user[at]host.org"]}
+    lines = {"phone": "my phone number is {} thanks", "email": "write me at {} please"}
+    rows = [(lines[k].format(x), k, x) for k, xs in new.items() for x in xs] + [("555 010 7777 is mine", "phone", "555 010 7777"), ("12 10.0.0.999 up", "ip", "10.0.0.999")]
+    texts = seeds + [t for t, *_ in rows] + ["chapter 12 of 40", "in 1999 2000 people"]
+    got = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = [f"{k}:{t.index(x)}:{t.index(x) + len(x)}" for t, k, x in rows]
+    assert [got[len(seeds) + i] for i in range(len(rows))] == want and got[len(texts) - 1] == got[len(texts) - 2] == ""
+
+
 def test_mixing(docs, empty, spark):
     import random
 

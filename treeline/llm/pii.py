@@ -1,9 +1,11 @@
 """Personal data by patterns and bootstrapped context, in DataFrame operations only.
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers. They seed a bootstrap: every identifier-shaped
-word of the corpus is an instance, and the two words before it with its shape are a lexical pattern. Over the graph of
+word or run of number words of the corpus is an instance, and the words around it are lexical patterns: two words before
+and one after, the two before, the one before, the one after; marks stand for the text's start and end. Over the graph of
 patterns and instances, a pattern's confidence in a kind is the share of its distinct instances already believed to be of
-that kind, and an instance is believed as far as its patterns are. Confident patterns add what the base patterns missed.
+that kind, and an instance is believed as far as its best pattern is and its shape agrees: a shape that mostly occurs
+elsewhere lowers the odds. Rounds go on until no belief changes. Confident patterns add what the base patterns missed.
 """
 
 from __future__ import annotations
@@ -23,9 +25,14 @@ _REGEX = {
     "card": r"[0-9]([\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_WORD = rf"(?<![^{_WS}])[^{_WS}0-9@]*+[0-9@][^{_WS}]*+"
-#: A pattern needs this many distinct believed instances, this confidence, and an instance this score; rounds of scoring.
-SUPPORT, CONFIDENCE, SCORE, ROUNDS = 3, 0.9, 0.9, 3
+_MARKED = r"[0-9@]|\p{L}[\[({]"
+#: Number words with spaces between them, else one word with a digit, an @ or a bracket after a letter.
+_NUMBERS = rf"[+(]*+[0-9][0-9()-]*\x20[0-9()\x20-]*[0-9](?=[^{_WS}\p{{L}}0-9]*+(?:[{_WS}]|\z))"
+_WORD = rf"(?<![^{_WS}])(?:{_NUMBERS}|(?=[^{_WS}]*?(?:{_MARKED}))[^{_WS}]++)"
+#: Marks of a text's start and end in contexts.
+_START, _END = "\x02", "\x03"
+#: A pattern needs this many distinct believed instances, this confidence, and an instance this score. A shape divides odds by LOWERED at most.
+SUPPORT, CONFIDENCE, SCORE, LOWERED = 3, 0.9, 0.9, 4
 
 
 def _digits(x):
@@ -48,30 +55,39 @@ def _valid(kind: str, x):
     return n.between(8, 15) if kind == "phone" else F.lit(True)
 
 
-def _located(text, regex: str, keep, item):
-    """Array of item(start, match, piece before, piece after) of the leftmost matches that `keep` holds for; places are code points.
+def _located(text, regex: str, keep, item, fields: str, context: bool = False):
+    """Array of item(start, match, piece before, piece after) (`fields`) of the leftmost matches that `keep` holds for; places are code points.
 
-    Matches and the pieces between them alternate, so running lengths give the places.
+    Matches and the pieces between them alternate, so running lengths give the places. With `context`, the piece before
+    begins with the word and match before it, or the start mark, and the piece after ends with the next match, or the end mark.
     """
     found, pieces = F.regexp_extract_all(text, F.lit(regex), F.lit(0)), F.split(text, regex, -1)
     both = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
     both = F.zip_with(both, F.slice(pieces, 2, F.greatest(F.size(found), F.lit(1))), lambda b, q: F.struct(b["p"].alias("p"), b["m"].alias("m"), q.alias("q")))
+    if context:
+        after = F.concat(F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0))), F.array(F.lit(f" {_END}")))
+        both = F.zip_with(both, after, lambda b, m: F.struct(b["p"].alias("p"), b["m"].alias("m"), F.concat(b["q"], m).alias("q")))
+        both = F.filter(both, lambda b: b["m"].isNotNull())
     # One pass keeps the place beside the list. Lists grow by copying, so they are built in blocks.
-    empty = F.filter(F.transform(both, lambda b: item(F.lit(0), b)), lambda _: F.lit(False))
     n = 256
     count = lambda w: F.greatest(F.ceil(F.size(w) / n), F.lit(1)).cast("int")
     blocks = F.transform(F.array(both), lambda w: F.transform(F.sequence(F.lit(1), count(w)), lambda i: F.slice(w, (i - 1) * n + 1, n)))[0]
 
     def add(a, b):
         at = a["to"] + F.length(b["p"])
-        out = F.when(keep(b["m"]), F.concat(a["out"], F.array(item(at, b)))).otherwise(a["out"])
-        return F.struct((at + F.length(b["m"])).alias("to"), out.alias("out"))
+        seen = {"p": F.concat(a["tail"], b["p"]), "m": b["m"], "q": b["q"]} if context else b
+        out = F.when(keep(b["m"]), F.concat(a["out"], F.array(item(at, seen)))).otherwise(a["out"])
+        tail = [F.concat(F.regexp_extract(seen["p"], rf"(?<![^{_WS}])[^{_WS}]++[{_WS}]++\z", 0), b["m"]).alias("tail")] if context else []
+        return F.struct((at + F.length(b["m"])).alias("to"), out.alias("out"), *tail)
 
     def block(a, part):
-        begin = F.struct(a["to"].alias("to"), F.filter(F.transform(part, lambda b: item(F.lit(0), b)), lambda _: F.lit(False)).alias("out"))
-        return F.aggregate(part, begin, add, lambda r: F.struct(r["to"].alias("to"), F.concat(a["out"], F.array(r["out"])).alias("out")))
+        tail = [a["tail"].alias("tail")] if context else []
+        begin = F.struct(a["to"].alias("to"), F.array().cast(f"array<struct<{fields}>>").alias("out"), *tail)
+        kept = lambda r: [r["tail"].alias("tail")] if context else []
+        return F.aggregate(part, begin, add, lambda r: F.struct(r["to"].alias("to"), F.concat(a["out"], F.array(r["out"])).alias("out"), *kept(r)))
 
-    start = F.struct(F.lit(0).alias("to"), F.filter(F.array(empty), lambda _: F.lit(False)).alias("out"))
+    tail = [F.lit(f"{_START} ").alias("tail")] if context else []
+    start = F.struct(F.lit(0).alias("to"), F.array().cast(f"array<array<struct<{fields}>>>").alias("out"), *tail)
     return F.aggregate(blocks, start, block, lambda a: F.flatten(a["out"]))
 
 
@@ -79,26 +95,34 @@ def _base(kind: int):
     text = F.col("text")
     gate = {"email": text.contains("@"), "phone": text.contains("+")}.get(KINDS[kind], text.rlike("[0-9]"))
     item = lambda at, b: F.struct(F.lit(kind).alias("k"), at.alias("s"), (at + F.length(b["m"])).alias("e"))
-    spans = _located(text, _REGEX[KINDS[kind]], lambda m: _valid(KINDS[kind], m), item)
+    spans = _located(text, _REGEX[KINDS[kind]], lambda m: _valid(KINDS[kind], m), item, "k:int,s:int,e:int")
     return F.when(gate, spans).otherwise(F.array().cast("array<struct<k:int,s:int,e:int>>"))
 
 
 def _shape(x):
-    return F.regexp_replace(F.regexp_replace(x, r"\p{L}+", "a"), "[0-9]+", "9")
+    return F.regexp_replace(F.regexp_replace(x, r"\p{L}+", "a"), "[0-9]", "9")
+
+
+def _plain(context):
+    spaced = F.trim(F.regexp_replace(F.lower(context), rf"[{_WS}]+", " "))
+    return F.regexp_replace(F.regexp_replace(spaced, rf"[^\p{{L}}0-9 :=#{_START}{_END}]", ""), "[0-9]+", "9")
 
 
 def _words():
-    """Identifier-shaped words: place, end, the word without outer punctuation, and its two words of context."""
+    """Identifier-shaped words and runs of number words: place, end, the match without outer punctuation, two words before and one after."""
     text = F.col("text")
 
     def item(at, b):
-        lead = F.length(F.regexp_extract(b["m"], r"^([^\p{L}0-9+]*)", 1))
-        bare = F.regexp_replace(F.regexp_replace(b["m"], r"^[^\p{L}0-9+]+", ""), r"[^\p{L}0-9]+$", "")
-        left = F.lower(F.regexp_extract(b["p"], rf"([^{_WS}]+[{_WS}]+[^{_WS}]+)[{_WS}]+$", 1))
-        left = F.regexp_replace(F.regexp_replace(left, rf"[{_WS}]+", " "), r"[^\p{L}0-9 :=#]", "")
-        return F.struct((at + lead).alias("s"), (at + lead + F.length(bare)).alias("e"), bare.alias("x"), left.alias("left"))
+        # A bracketed number that another follows, as in (555) 010, keeps its bracket.
+        outer = r"^(?!\([0-9]+\)[\x20-]?[0-9])[^\p{L}0-9+]+"
+        lead = F.length(F.regexp_extract(b["m"], outer, 0))
+        bare = F.regexp_replace(F.regexp_replace(b["m"], outer, ""), r"[^\p{L}0-9]+$", "")
+        left = _plain(F.regexp_extract(b["p"], rf"(?<![^{_WS}])(?:[^{_WS}]++[{_WS}]++){{1,2}}\z", 0))
+        right = _plain(F.regexp_extract(b["q"], rf"^[^{_WS}]*+[{_WS}]++([^{_WS}]++)", 1))
+        return F.struct((at + lead).alias("s"), (at + lead + F.length(bare)).alias("e"), bare.alias("x"), left.alias("left"), right.alias("right"))
 
-    return F.when(text.rlike("[0-9@]"), _located(text, _WORD, lambda m: F.lit(True), item)).otherwise(F.array().cast("array<struct<s:int,e:int,x:string,left:string>>"))
+    fields = "s:int,e:int,x:string,left:string,right:string"
+    return F.when(text.rlike(_MARKED), _located(text, _WORD, lambda m: F.lit(True), item, fields, True)).otherwise(F.array().cast(f"array<struct<{fields}>>"))
 
 
 def _joined(spans):
@@ -117,23 +141,40 @@ def bootstrapped(found: DataFrame) -> DataFrame:
     """(rid, k, s, e): spans that confident patterns add to the rows of `found` (rid, base, words)."""
     w = found.where(F.size("words") > 0).select("rid", "base", F.explode("words").alias("w"))
     hits = F.filter("base", lambda b: (b["s"] < F.col("w.e")) & (b["e"] > F.col("w.s")))
-    uses = w.select("rid", F.col("w.s").alias("s"), F.col("w.e").alias("e"), F.col("w.x").alias("x"), F.concat_ws("|", "w.left", _shape(F.col("w.x"))).alias("p"), F.get(hits, F.lit(0))["k"].alias("k"), (F.col("w.left") != "").alias("placed"))
+    uses = w.select("rid", *[F.col(f"w.{c}").alias(c) for c in ("s", "e", "x", "left", "right")], F.get(hits, F.lit(0))["k"].alias("k"))
     uses = staged(uses.where("x <> '' and s < e"), "uses")
-    edges = staged(uses.where("placed").groupBy("p", "x").agg(F.max("k").alias("k")), "graph")
-    total = edges.groupBy("p").agg(F.count("*").alias("n"))
-    seeds = edges.where("k is not null").groupBy("x", "k").agg(F.lit(1.0).alias("score"))
-    belief = staged(seeds, "belief")
-    patterns = None
-    for _ in range(ROUNDS):
-        support = edges.select("p", "x").join(belief, "x").groupBy("p", "k").agg(F.sum("score").alias("mass"), F.count("*").alias("m"))
-        patterns = staged(support.where(f"m >= {SUPPORT}").join(total, "p").withColumn("conf", F.col("mass") / F.col("n")).where(f"conf >= {CONFIDENCE}").select("p", "k", "conf"), "patterns")
-        new = edges.where("k is null").select("p", "x").join(patterns, "p").groupBy("x", "k").agg((1 - F.exp(F.sum(F.log(1 - F.least("conf", F.lit(0.999)))))).alias("score"))
-        new = new.where(f"score >= {SCORE}").join(seeds.select("x").distinct(), "x", "left_anti")
-        last, belief = belief, staged(seeds.unionByName(new), "belief")
-        unstage(last)
-    found_ = uses.where("k is null").drop("k").join(patterns.select("p", F.col("k").alias("pk")), "p")
+    around = [F.concat_ws("|", "left", "right"), F.concat("left", F.lit("|*")), F.concat(F.lit("* "), F.substring_index("left", " ", -1), F.lit("|*")), F.concat(F.lit("*|"), "right")]
+    placed = uses.withColumn("p", F.explode(F.array(*around)))
+    linked = staged(placed.groupBy("p", "x").agg(F.max("k").alias("k")), "links")
+    total = linked.groupBy("p").agg(F.count("*").alias("n")).where(f"n >= {SUPPORT}")
+    edges = staged(linked.join(total, "p"), "graph")
+    unstage(linked)
+    seeds = staged(uses.where("k is not null").select("x", "k").distinct().withColumn("score", F.lit(1.0)), "seeds")
+    shapes = staged(uses.select("x").distinct().groupBy(_shape(F.col("x")).alias("shape")).agg(F.count("*").alias("of")), "shapes")
+    known = seeds.select("x").distinct()
+    belief, patterns, size = staged(seeds, "belief"), None, None
+    while True:
+        last, spent = belief, patterns
+        support = edges.select("p", "x", "n").join(belief, "x").groupBy("p", "k").agg(F.sum("score").alias("mass"), F.count("*").alias("m"), F.max("n").alias("n"))
+        patterns = staged(support.where(f"m >= {SUPPORT}").withColumn("conf", F.col("mass") / F.col("n")).where(f"conf >= {CONFIDENCE}").select("p", "k", "conf"), "patterns")
+        best = edges.where("k is null").select("p", "x").join(patterns, "p").groupBy("x", "k").agg(F.max("conf").alias("conf"))
+        best = staged(best.join(known, "x", "left_anti").withColumn("shape", _shape(F.col("x"))), "best")
+        inside = seeds.select("k", _shape(F.col("x")).alias("shape")).unionByName(best.select("k", "shape")).groupBy("shape", "k").agg(F.count("*").alias("in"))
+        odds = F.greatest((F.col("in") + 1) / (F.col("of") + 1), F.lit(1 / LOWERED)) * F.col("conf")
+        new = best.join(inside, ["shape", "k"]).join(shapes, "shape").select("x", "k", (odds / (odds + 1 - F.col("conf"))).alias("score")).where(f"score >= {SCORE}")
+        # Scores only rise from round to round; in thousandths they can't do so for ever, and equal sums are equal beliefs.
+        belief = staged(seeds.unionByName(new.withColumn("score", F.floor(F.col("score") * 1000 + 1e-6) / 1000)), "belief")
+        for old in (last, best, spent):
+            if old is not None:
+                unstage(old)
+        now = belief.agg(F.count("*"), F.sum(F.round(F.col("score") * 1000).cast("long"))).first()
+        if now == size:
+            break
+        size = now
+    placed = placed.where("k is null").drop("k").join(patterns.select("p", F.col("k").alias("pk"), "conf"), "p")
     believed = belief.select("x", F.col("k").alias("pk"))
-    return found_.join(believed, ["x", "pk"]).groupBy("rid", "s", "e").agg(F.min("pk").alias("k")).select("rid", "k", "s", "e")
+    best = F.max(F.struct("conf", (-F.col("pk")).alias("k")))["k"]
+    return placed.join(believed, ["x", "pk"]).groupBy("rid", "s", "e").agg((-best).alias("k")).select("rid", "k", "s", "e")
 
 
 def _of(kind: int):
