@@ -215,6 +215,23 @@ def test_language(spark, empty):
     assert 0 <= got[902].score <= 1 and language_id.predict(empty, language_id.train(empty)).count() == 0
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "STEPS", 60)
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    rows = [(i, "word text", f"l{i % 69}") for i in range(69 * 6)] + [(1000 + i, "rare one", "rare") for i in range(3)]
+    assert language_id.train(frame(rows)).names == sorted({k for *_, k in rows})
+    rng = np.random.default_rng(1)
+    parts = {"en": ("the ing tion and er".split(), 30, ""), "de": ("sch ung der keit ein".split(), 1500, "1" * 6000 + " ")}
+    rows = [(i, parts[k][2] + " ".join("".join(rng.choice(parts[k][0], 2)) for _ in range(parts[k][1])), k) for i, k in enumerate(["en", "de"] * 20)]
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(frame(rows), language_id.train(frame(rows))).collect()}
+    assert np.mean([got[i] == k for i, _, k in rows]) > 0.95
+    monkeypatch.setattr(language_id, "BATCH", 4)
+    words = [np.frombuffer(bytes([97 + k] * 4), np.uint8) for k in range(10)]
+    model = language_id.fit(words, np.arange(10), [str(k) for k in range(10)])
+    data, start, end, _ = language_id.word_spans(__import__("pyarrow").array([bytes(w).decode() for w in words]))
+    assert len(model.names) == 10 and language_id.position_sums(model, data, start, end).argmax(axis=1).tolist() == list(range(10))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

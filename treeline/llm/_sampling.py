@@ -15,9 +15,11 @@ def held_out(column: str = "doc_id"):
     return fold(column) == 2
 
 
-def sampled(rows: DataFrame, label: str, per_label: int, labels: int) -> DataFrame:
-    """Of `rows` (doc_id, label), up to `per_label` by hash of each of the `labels` most frequent labels; the window keeps only that many from each task."""
-    top = rows.groupBy(label).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), label).limit(labels)
+def sampled(rows: DataFrame, label: str, per_label: int, labels: int | None = None) -> DataFrame:
+    """Of `rows` (doc_id, label), up to `per_label` by hash of each of the `labels` most frequent labels, or of each label; the window keeps only that many from each task."""
+    top = rows.groupBy(label).agg(F.count("*").alias("_n"))
+    if labels is not None:
+        top = top.orderBy(F.desc("_n"), label).limit(labels)
     known = rows.join(F.broadcast(top), label)
     order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
     return known.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= per_label).drop("_at")

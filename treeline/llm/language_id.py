@@ -12,14 +12,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _words as W
 from ._sampling import held_out, sampled
 from ._store import table
 
-#: Rows of each language that training reads, the longest text among them in characters, and the most languages learned.
+#: Rows of each language that training reads, characters read of a text, and the languages beyond which the rows of each grow fewer.
 TRAIN_ROWS, TRAIN_CHARS, LANGUAGES = 300, 5_000, 64
 #: Units of each direction; bytes of a piece of a word; steps and words a step of training.
 UNITS, PIECE, STEPS, BATCH = 12, 24, 500, 384
@@ -115,8 +115,16 @@ def fit(words: list[np.ndarray], labels: np.ndarray, names: list[str]) -> Model:
     net = [p.astype(np.float32) for p in [*net, rng.normal(0, 0.3, (2 * u, n)), np.zeros(n)]]
     moment, square = [np.zeros_like(p) for p in net], [np.zeros_like(p) for p in net]
     by = [np.flatnonzero(labels == k) for k in range(n)]
-    for step in range(1, STEPS + 1) if n > 1 else ():
-        pick = np.concatenate([rng.choice(i, max(1, BATCH // n)) for i in by])
+    # More languages than a batch holds take turns, in more steps of smaller batches, so that each is read as often.
+    batch = min(n, max(32, BATCH * BATCH // n)) if n > BATCH else n
+    steps = STEPS * -(-n // max(1, batch))
+    for step in range(1, steps + 1) if n > 1 else ():
+        if batch == n:
+            turn = by
+        else:
+            at = (step - 1) * batch % n
+            turn = [by[(at + i) % n] for i in range(batch)]
+        pick = np.concatenate([rng.choice(i, max(1, BATCH // n)) for i in turn])
         ahead, back, on = _padded([words[i] for i in pick])
         logits, both, place, kept_f, kept_b = _logits(net, ahead, back, on)
         d = _softmax(logits)
@@ -129,7 +137,7 @@ def fit(words: list[np.ndarray], labels: np.ndarray, names: list[str]) -> Model:
         grads += _direction_back(net[4:8], back, on, kept_b, d_hind)
         grads += [both.reshape(-1, 2 * u).T @ d.reshape(-1, n), d.sum(axis=(0, 1))]
         scale = min(1.0, 1.0 / max(1e-9, np.sqrt(sum(float((g * g).sum()) for g in grads))))
-        rate = 0.02 * (1 - step / (STEPS + 1))
+        rate = 0.02 * (1 - step / (steps + 1))
         for p, g, m, s in zip(net, grads, moment, square, strict=True):
             g = g * scale
             m += 0.1 * (g - m)
@@ -158,26 +166,40 @@ def position_sums(model: Model, data: np.ndarray, start: np.ndarray, end: np.nda
     out = np.empty((len(start), len(model.names)), np.float32)
     for size in np.unique(sizes):
         group = np.flatnonzero(sizes == size)
-        for i in range(0, len(group), 4096):
-            some = group[i : i + 4096]
+        most = max(32, 4096 * 64 // max(64, len(model.names)))
+        for i in range(0, len(group), most):
+            some = group[i : i + most]
             ahead = data[start[some][None, :] + np.arange(size)[:, None]]
             logits = _logits(model.net, ahead, ahead[::-1], np.ones(ahead.shape, np.float32))[0]
             out[some] = _softmax(logits).sum(axis=0)
     return out
 
 
+def _excerpt():
+    """The text, or of a longer one TRAIN_CHARS characters of its words, from a place by hash of the id."""
+    words = F.trim(F.regexp_replace("text", r"[^\p{L}\p{M}]+", " "))
+    at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length(words) - TRAIN_CHARS + 1, F.lit(1))).cast("int") + 1
+    return F.when(F.length("text") <= TRAIN_CHARS, F.col("text")).otherwise(F.substring(words, at, F.lit(TRAIN_CHARS)))
+
+
 def train(docs: DataFrame) -> Model:
-    """Fits on a bounded sample: TRAIN_ROWS of each of the LANGUAGES most frequent languages, texts of up to TRAIN_CHARS, rows that aren't held out. Null lang or text doesn't count."""
-    usable = docs.where("lang is not null and doc_id is not null").where(F.length("text").between(1, TRAIN_CHARS)).where(~held_out())
-    chosen = sampled(usable.select("doc_id", "lang"), "lang", TRAIN_ROWS, LANGUAGES).select("doc_id", "lang").distinct()
-    rows = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
-    got = rows.orderBy(F.xxhash64("doc_id"), "text").limit(2 * TRAIN_ROWS * LANGUAGES).collect()
+    """Fits on a bounded sample of the rows that aren't held out: TRAIN_ROWS of every language, or as many as keep all of them to TRAIN_ROWS * LANGUAGES, but one at least; up to TRAIN_CHARS of a text. Null lang and texts without letters don't count."""
+    usable = docs.where("lang is not null and doc_id is not null").where(F.col("text").rlike(r"\p{L}")).where(~held_out())
+    languages = usable.select("lang").distinct().count()
+    quota = min(TRAIN_ROWS, max(1, TRAIN_ROWS * LANGUAGES // max(1, languages)))
+    chosen = sampled(usable.select("doc_id", "lang"), "lang", quota).select("doc_id", "lang").distinct()
+    rows = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).withColumn("text", _excerpt())
+    # Repeated ids can bring more rows than were chosen.
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "text")
+    got = rows.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= 2 * quota).drop("_at").orderBy(F.xxhash64("doc_id"), "text", "lang").collect()
     names = sorted({r["lang"] for r in got})
     data, start, end, offsets = word_spans(pa.array([r["text"] for r in got], pa.string()))
-    labels = np.repeat(np.array([names.index(r["lang"]) for r in got], np.int64), np.diff(offsets))
+    place = {x: k for k, x in enumerate(names)}
+    labels = np.repeat(np.array([place[r["lang"]] for r in got], np.int64), np.diff(offsets))
     words = [data[a:b] for a, b in zip(start, end, strict=True)]
-    names_ = [x for k, x in enumerate(names) if (labels == k).any()]
-    labels = np.searchsorted([k for k in range(len(names)) if (labels == k).any()], labels)
+    some = np.unique(labels)
+    names_ = [names[k] for k in some.tolist()]
+    labels = np.searchsorted(some, labels)
     return fit(words, labels, names_)
 
 
@@ -188,7 +210,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for whole in batches:
-            for batch in W.slices(whole, "text"):
+            for batch in W.slices(whole, "text", max(1 << 16, (4 << 20) * 64 // max(64, len(m.names)))):
                 texts = batch.column("text")
                 data, start, end, rows = word_spans(texts)
                 n, k = batch.num_rows, len(m.names)
