@@ -50,7 +50,7 @@ STAGES = [
     ("mixing", mix_sources),
     ("byte-level BPE", to_tokens),
 ]
-#: The trained tagger, hash thresholds and token merges have no SQL; tests hold run() against a brute-force version.
+#: The trained tagger, hash thresholds and token merges have no SQL, and no test holds run() against a brute-force version.
 ORACLE_SQL = None
 
 

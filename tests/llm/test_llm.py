@@ -38,6 +38,25 @@ def test_near_classes(docs, empty):
     assert near_dedup.near_classes(empty).count() == 0
 
 
+def test_near_classes_equal_all_pairs(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for _ in range(12):
+        base = rng.choice(WORDS, 40).tolist()
+        for _ in range(8):
+            text = list(base)
+            for _ in range(int(rng.integers(0, 4))):
+                text[rng.integers(40)] = f"x{rng.integers(9)}"
+            rows.append((len(rows), " ".join(text)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(36)} for _, t in rows]
+    least = list(range(len(rows)))
+    for i, j in [(i, j) for i in least for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]:
+        low, high = sorted((least[i], least[j]))
+        least = [low if x == high else x for x in least]
+    got = {r.doc_id: (r.component_id, r.kept) for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert got == {i: (least[i], least[i] == i) for i in range(len(rows))} and 12 < len(set(least)) < len(rows)
+
+
 def test_estimates_lie_near_similarity():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 2000, dtype=np.uint64)
