@@ -123,9 +123,15 @@ def _trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def field(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column of a batch, or `column.field` of a struct."""
+    column, _, inner = name.partition(".")
+    return pc.struct_field(batch.column(column), inner) if inner else batch.column(column)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
-    """The batch in runs of rows of about `most` bytes of `column`; a longer row is a run of its own."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    """The batch in runs of rows of about `most` bytes of `column` (or `column.field`); a longer row is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(field(batch, column)), 0).to_numpy(zero_copy_only=False)
     begin, held = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if held and held + n > most:

@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._sampling import held_out, sampled
-from ._store import table
+from ._sampling import first_rows, held_out, place, sampled, stretches
+from ._store import staged, table
 
-#: Labelled rows of each class that training reads, and the longest text among them, in characters.
+#: Labelled rows of each class that training reads, and characters read of a text.
 TRAIN_ROWS, TRAIN_CHARS = 1500, 12_000
 #: Windows of tokens that the chain is trained on, their length, and steps of training.
 WINDOWS, WINDOW, STEPS = 24_000, 24, 120
@@ -275,11 +275,17 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fits on a bounded sample (TRAIN_ROWS of each class, texts of up to TRAIN_CHARS) of the rows that aren't held out. Rows without text, id or label don't count."""
+    """Fits on a bounded sample of the labelled texts that aren't held out: TRAIN_ROWS of each class, up to TRAIN_CHARS of a text, of a longer one four stretches.
+
+    Rows without text, id or label don't count. An id with several labels is toxic if one says so; of texts that repeat an
+    id, one counts.
+    """
     marked = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = sampled(marked, "toxic", TRAIN_ROWS, 2)
-    rows = docs.where(F.length("text") <= TRAIN_CHARS).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = rows.orderBy(F.xxhash64("doc_id"), "text").limit(4 * TRAIN_ROWS).collect()
+    texts = docs.where(F.length("text") > 0).select("doc_id", "text")
+    ids = staged(marked.join(texts.select("doc_id").distinct(), "doc_id", "left_semi"), "labelled")
+    chosen = staged(sampled(ids, "toxic", TRAIN_ROWS), "sample")
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "_n", place().alias("place"), stretches("text", TRAIN_CHARS).alias("text"))
+    got = first_rows(rows.groupBy("doc_id", "toxic", "_n", "place").agg(F.min("text").alias("text")).collect(), "toxic", TRAIN_ROWS)
     toxic = np.array([r["toxic"] for r in got], np.int64)
     sizes = np.bincount(toxic, minlength=2)
     weight = np.array([r["_n"] / sizes[r["toxic"]] for r in got], float)
