@@ -1,8 +1,9 @@
 """Language by a bidirectional gated recurrent network over bytes.
 
-Words (runs of letters, A-Z as a-z) are read byte by byte in both directions; every position is labelled with
-probabilities of the languages, and a document pools the positions of all its words. A word's positions depend on the
-word alone, so each distinct word of a block of texts is read once. Training is backpropagation through time in numpy.
+The network reads running text (A-Z as a-z) byte by byte in both directions and labels every position with probabilities
+of the languages; a document pools its letters' positions. For reading, texts are cut into chunks side by side; a chunk's
+state starts from the CONTEXT bytes on either side of it, so words are read in the context of those around them. Training is
+backpropagation through time in numpy, on windows of running text.
 """
 
 from __future__ import annotations
@@ -12,19 +13,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._sampling import held_out, sampled
-from ._store import table
+from ._sampling import first_rows, held_out, place, sampled, stretches
+from ._store import staged, table
 
 #: Rows of each language that training reads, characters read of a text, and the languages beyond which the rows of each grow fewer.
 TRAIN_ROWS, TRAIN_CHARS, LANGUAGES = 300, 5_000, 64
-#: Units of each direction; bytes of a piece of a word; steps and words a step of training.
-UNITS, PIECE, STEPS, BATCH = 12, 24, 500, 384
-_STOP = np.ones(256, bool)
-_STOP[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
+#: Units of each direction; bytes of a training window; steps, windows of a step, and the share of a step's rate by which weights decay.
+UNITS, WINDOW, STEPS, BATCH, DECAY = 12, 24, 600, 384, 1.0
+#: Bytes that a chunk labels, bytes read on either side of it, and chunks read side by side.
+CHUNK, CONTEXT, SIDE = 192, 24, 2048
+#: A step that leaves the state as it is: beyond a text's ends.
+PAD = 256
+_LETTER = np.zeros(257, bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -32,197 +37,214 @@ _LOWER[65:91] += 32
 @dataclass
 class Model:
     names: list[str]
-    net: list[np.ndarray]  # for each direction: bytes to gates, state to gates, state to candidate, bias; then output and its bias
+    net: list[np.ndarray]  # of each direction: bytes to update, reset and candidate, state to these; then output of each direction and bias
 
 
 def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
-
-
-def _direction(net, steps: np.ndarray, on: np.ndarray):
-    """States after each byte, in order of reading, and what going back needs. steps, on: (length, n)."""
-    into, gate, cand, bias = net
-    units = len(cand)
-    x = into[steps] + bias
-    h = np.zeros((steps.shape[1], units), into.dtype)
-    states, kept = [], []
-    for t in range(len(steps)):
-        g = _sigmoid(x[t, :, : 2 * units] + h @ gate)
-        z, r = g[:, :units], g[:, units:]
-        c = np.tanh(x[t, :, 2 * units :] + (r * h) @ cand)
-        new = h + on[t, :, None] * z * (c - h)
+    return np.tanh(x * 0.5) * 0.5 + 0.5
+
+
+def _read(net, steps: np.ndarray):
+    """State before each of `steps` (length, n), what made the next, and the last state."""
+    by_z, by_r, by_c, to_z, to_r, to_c = net
+    h = np.zeros((steps.shape[1], len(to_z)), by_z.dtype)
+    kept = []
+    for s in steps:
+        z, r = _sigmoid(by_z[s] + h @ to_z), _sigmoid(by_r[s] + h @ to_r)
+        c = np.tanh(by_c[s] + (r * h) @ to_c)
         kept.append((h, z, r, c))
-        h = new
-        states.append(h)
-    return states, kept
+        h = h + z * (c - h)
+    return kept, h
 
 
-def _direction_back(net, steps, on, kept, d_states):
-    """Gradients of one direction by going back through time."""
-    into, gate, cand, bias = net
-    units = len(cand)
-    grads = [np.zeros_like(p) for p in net]
+def _read_back(net, steps, kept, d_states):
+    """Gradients of one direction by going back through time. d_states: of the state after each step."""
+    to_z, to_r, to_c = net[3:]
+    d_to = [np.zeros_like(p) for p in net[3:]]
+    d_by = [np.empty((*steps.shape, len(to_z)), to_z.dtype) for _ in range(3)]
     dh = np.zeros_like(kept[0][0])
     for t in range(len(steps) - 1, -1, -1):
         h, z, r, c = kept[t]
         dh = dh + d_states[t]
-        m = on[t, :, None]
-        dc = dh * m * z * (1 - c * c)
-        dz = dh * m * (c - h) * z * (1 - z)
-        back = dc @ cand.T
+        dc, dz = dh * z * (1 - c * c), dh * (c - h) * z * (1 - z)
+        back = dc @ to_c.T
         dr = back * h * r * (1 - r)
-        gates = np.concatenate([dz, dr], 1)
-        every = np.concatenate([gates, dc], 1)
-        np.add.at(grads[0], steps[t], every)
-        grads[1] += h.T @ gates
-        grads[2] += (r * h).T @ dc
-        grads[3] += every.sum(axis=0)
-        dh = dh * (1 - m * z) + back * r + gates @ gate.T
-    return grads
-
-
-def _padded(words: list[np.ndarray]):
-    """Words as (length, n) bytes, forward and reversed, with their mask."""
-    size = max(map(len, words))
-    ahead, back, on = np.zeros((size, len(words)), np.uint8), np.zeros((size, len(words)), np.uint8), np.zeros((size, len(words)), np.float32)
-    for i, w in enumerate(words):
-        ahead[: len(w), i], back[: len(w), i], on[: len(w), i] = w, w[::-1], 1
-    return ahead, back, on
-
-
-def _logits(net, ahead, back, on):
-    fore, kept_f = _direction(net[:4], ahead, on)
-    hind, kept_b = _direction(net[4:8], back, on)
-    sizes = on.sum(axis=0).astype(np.int64)
-    place = np.clip(sizes[None, :] - 1 - np.arange(len(on))[:, None], 0, None)
-    hind_at = np.stack(hind)[place, np.arange(on.shape[1])[None, :]]
-    both = np.concatenate([np.stack(fore), hind_at], 2)
-    return both @ net[8] + net[9], both, place, kept_f, kept_b
-
-
-def _softmax(x):
-    e = np.exp(x - x.max(axis=-1, keepdims=True))
-    return e / e.sum(axis=-1, keepdims=True)
-
-
-def fit(words: list[np.ndarray], labels: np.ndarray, names: list[str]) -> Model:
-    """Trains on words (bytes) with labels; every position of a word has the word's label."""
-    rng = np.random.Generator(np.random.PCG64(5))
-    n, u = len(names), UNITS
-    net = []
+        for d, x, left in zip(d_to, (dz, dr, dc), (h, h, r * h), strict=True):
+            d += left.T @ x
+        for d, x in zip(d_by, (dz, dr, dc), strict=True):
+            d[t] = x
+        dh = dh * (1 - z) + back * r + dz @ to_z.T + dr @ to_r.T
+    flat = steps.ravel()
+    tables = [np.stack([np.bincount(flat, x, PAD + 1) for x in d.reshape(len(flat), -1).T], 1).astype(d.dtype) for d in d_by]
+    for d in tables:
+        d[PAD] = 0
+    return tables + d_to
+
+
+def gradients(net, steps: np.ndarray, weight: np.ndarray, labels: np.ndarray):
+    """(mean loss, gradients) of windows (length, n) of bytes; every position has its window's label. weight (length, n): 0 for positions that don't count."""
+    back = steps[::-1]
+    fore, last_f = _read(net[:6], steps)
+    hind, last_h = _read(net[6:12], back)
+    ahead = np.stack([k[0] for k in fore[1:]] + [last_f])
+    behind = np.stack([k[0] for k in hind[1:]] + [last_h])[::-1]
+    logits = ahead @ net[12] + behind @ net[13] + net[14]
+    p = np.exp(logits - logits.max(axis=2, keepdims=True))
+    p /= p.sum(axis=2, keepdims=True)
+    n, total = np.arange(len(labels)), max(weight.sum(), 1e-9)
+    loss = -(np.log(p[:, n, labels] + 1e-30) * weight).sum() / total
+    d = p.copy()
+    d[:, n, labels] -= 1
+    d *= (weight / total)[:, :, None]
+    k = d.shape[2]
+    out = [ahead.reshape(-1, ahead.shape[2]).T @ d.reshape(-1, k), behind.reshape(-1, behind.shape[2]).T @ d.reshape(-1, k), d.sum(axis=(0, 1))]
+    grads = _read_back(net[:6], steps, fore, d @ net[12].T) + _read_back(net[6:12], back, hind, (d @ net[13].T)[::-1])
+    return loss, grads + out
+
+
+def first_net(languages: int, rng: np.random.Generator, kind=np.float32) -> list[np.ndarray]:
+    u, net = UNITS, []
     for _ in range(2):
-        net += [rng.normal(0, 0.3, (256, 3 * u)), rng.normal(0, u**-0.5, (u, 2 * u)), rng.normal(0, u**-0.5, (u, u)), np.zeros(3 * u)]
-    net = [p.astype(np.float32) for p in [*net, rng.normal(0, 0.3, (2 * u, n)), np.zeros(n)]]
+        tables = [rng.normal(0, 0.3, (PAD + 1, u)) for _ in range(3)]
+        for d, value in zip(tables, (-60, 0, 0), strict=True):
+            d[PAD] = value
+        net += tables + [rng.normal(0, u**-0.5, (u, u)) for _ in range(3)]
+    return [p.astype(kind) for p in [*net, rng.normal(0, 0.3, (u, languages)), rng.normal(0, 0.3, (u, languages)), np.zeros(languages)]]
+
+
+def _windows(texts: list[np.ndarray], pick: np.ndarray, rng) -> np.ndarray:
+    """A window of each picked text from any place, as (WINDOW, n) bytes with pads behind; half of them are shorter, as short texts are."""
+    out = np.full((WINDOW, len(pick)), PAD, np.int64)
+    for i, k in enumerate(pick.tolist()):
+        text, size = texts[k], WINDOW if i % 2 else int(rng.integers(8, WINDOW))
+        at = int(rng.integers(0, max(1, len(text) - size + 1)))
+        part = text[at : at + size]
+        out[: len(part), i] = part
+    return out
+
+
+def fit(texts: list[np.ndarray], labels: np.ndarray, names: list[str]) -> Model:
+    """Trains on texts (bytes in lower case) with labels; letters count as positions."""
+    rng = np.random.Generator(np.random.PCG64(5))
+    n = len(names)
+    net = first_net(n, rng)
     moment, square = [np.zeros_like(p) for p in net], [np.zeros_like(p) for p in net]
     by = [np.flatnonzero(labels == k) for k in range(n)]
-    # More languages than a batch holds take turns, in more steps of smaller batches, so that each is read as often.
-    batch = min(n, max(32, BATCH * BATCH // n)) if n > BATCH else n
+    # More languages than a batch holds take turns, in more steps, so that each is read as often.
+    batch = min(n, BATCH)
     steps = STEPS * -(-n // max(1, batch))
     for step in range(1, steps + 1) if n > 1 else ():
-        if batch == n:
-            turn = by
-        else:
-            at = (step - 1) * batch % n
-            turn = [by[(at + i) % n] for i in range(batch)]
-        pick = np.concatenate([rng.choice(i, max(1, BATCH // n)) for i in turn])
-        ahead, back, on = _padded([words[i] for i in pick])
-        logits, both, place, kept_f, kept_b = _logits(net, ahead, back, on)
-        d = _softmax(logits)
-        d[:, np.arange(len(pick)), labels[pick]] -= 1
-        d *= on[:, :, None] / on.sum()
-        d_both = d @ net[8].T
-        d_hind = np.zeros_like(d_both[:, :, u:])
-        np.add.at(d_hind, (place, np.arange(len(pick))[None, :]), d_both[:, :, u:])
-        grads = _direction_back(net[:4], ahead, on, kept_f, d_both[:, :, :u])
-        grads += _direction_back(net[4:8], back, on, kept_b, d_hind)
-        grads += [both.reshape(-1, 2 * u).T @ d.reshape(-1, n), d.sum(axis=(0, 1))]
+        turn = [by[((step - 1) * batch + i) % n] for i in range(batch)]
+        pick = np.concatenate([rng.choice(i, max(1, BATCH // batch)) for i in turn])
+        seen = _windows(texts, pick, rng)
+        _, grads = gradients(net, seen, _LETTER[seen].astype(np.float32), labels[pick])
         scale = min(1.0, 1.0 / max(1e-9, np.sqrt(sum(float((g * g).sum()) for g in grads))))
         rate = 0.02 * (1 - step / (steps + 1))
         for p, g, m, s in zip(net, grads, moment, square, strict=True):
             g = g * scale
+            p[:PAD] *= 1 - rate * DECAY
             m += 0.1 * (g - m)
             s += 0.01 * (g * g - s)
             p -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     return Model(names, net)
 
 
-def word_spans(column: pa.Array):
-    """(bytes in lower case, starts, ends, word offsets of rows): words, longer ones in pieces of PIECE bytes."""
-    data, at = W.column_bytes(column)
-    start, end, rows = W.spans(data, at, _STOP)
-    pieces = -(-(end - start) // PIECE)
-    if len(pieces) and pieces.max() > 1:
-        first = np.concatenate([[0], np.cumsum(pieces)])
-        of = np.repeat(np.arange(len(start)), pieces)
-        start = start[of] + (np.arange(len(of)) - first[of]) * PIECE
-        end = np.minimum(start + PIECE, end[of])
-        rows = first[rows]
-    return _LOWER[data], start, end, rows
-
-
-def position_sums(model: Model, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Of each word the sum of its positions' probabilities, read in groups of equal length."""
-    sizes = end - start
-    out = np.empty((len(start), len(model.names)), np.float32)
-    for size in np.unique(sizes):
-        group = np.flatnonzero(sizes == size)
-        most = max(32, 4096 * 64 // max(64, len(model.names)))
-        for i in range(0, len(group), most):
-            some = group[i : i + most]
-            ahead = data[start[some][None, :] + np.arange(size)[:, None]]
-            logits = _logits(model.net, ahead, ahead[::-1], np.ones(ahead.shape, np.float32))[0]
-            out[some] = _softmax(logits).sum(axis=0)
+def _states(net, steps: np.ndarray, first: int, count: int) -> np.ndarray:
+    """(count, n, units): the states after steps first, first + 1, ... of `steps` (length, n)."""
+    by, to = net[:3], net[3:]
+    shape = (steps.shape[1], len(to[0]))
+    h, z, r, c, x = (np.zeros(shape, np.float32) for _ in range(5))
+    out = np.empty((count, *shape), np.float32)
+    for t, s in enumerate(steps[: first + count]):
+        for gate, table_, weight in ((z, by[0], to[0]), (r, by[1], to[1])):
+            np.take(table_, s, axis=0, out=gate)
+            gate += np.matmul(h, weight, out=x)
+            gate *= 0.5
+            np.tanh(gate, out=gate)
+            gate *= 0.5
+            gate += 0.5
+        r *= h
+        np.take(by[2], s, axis=0, out=c)
+        c += np.matmul(r, to[2], out=x)
+        np.tanh(c, out=c)
+        c -= h
+        c *= z
+        h += c
+        if t >= first:
+            out[t - first] = h
     return out
 
 
-def _excerpt():
-    """The text, or of a longer one TRAIN_CHARS characters of its words, from a place by hash of the id."""
-    words = F.trim(F.regexp_replace("text", r"[^\p{L}\p{M}]+", " "))
-    at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length(words) - TRAIN_CHARS + 1, F.lit(1))).cast("int") + 1
-    return F.when(F.length("text") <= TRAIN_CHARS, F.col("text")).otherwise(F.substring(words, at, F.lit(TRAIN_CHARS)))
+def pooled(model: Model, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, positions): of each text data[at[i]:at[i + 1]] the sum of its letters' probabilities, and their number."""
+    n, k = len(at) - 1, len(model.names)
+    sums, positions = np.zeros((n, k)), np.zeros(n)
+    low, letters = _LOWER[data], np.concatenate([[0], np.cumsum(_LETTER[data])])
+    sizes = np.diff(at)
+    cuts = -(-sizes // CHUNK)
+    owner = np.repeat(np.arange(n), cuts)
+    begin = at[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * CHUNK
+    full = letters[np.minimum(begin + CHUNK, at[owner + 1])] > letters[begin]
+    owner, begin = owner[full], begin[full]
+    length = CHUNK + 2 * CONTEXT
+    side = max(64, SIDE * 64 // max(64, k))
+    for i in range(0, len(owner), side):
+        who, start = owner[i : i + side], begin[i : i + side]
+        where = start - CONTEXT + np.arange(length)[:, None]
+        inside = (where >= at[who]) & (where < at[who + 1])
+        steps = np.where(inside, low[np.clip(where, 0, len(low) - 1)], PAD)
+        ahead = _states(model.net[:6], steps, CONTEXT, CHUNK)
+        behind = _states(model.net[6:12], steps[::-1], CONTEXT, CHUNK)[::-1]
+        p = model.net[12].T @ ahead.reshape(-1, UNITS).T + model.net[13].T @ behind.reshape(-1, UNITS).T + model.net[14][:, None]
+        p -= p.max(axis=0)
+        np.exp(p, out=p)
+        p /= p.sum(axis=0)
+        count = (_LETTER[steps[CONTEXT : CONTEXT + CHUNK]]).astype(np.float32)
+        p = (p.reshape(k, CHUNK, -1) * count).sum(axis=1)
+        for j in range(k):
+            sums[:, j] += np.bincount(who, p[j], n)
+        positions += np.bincount(who, count.sum(axis=0), n)
+    return sums, positions
 
 
 def train(docs: DataFrame) -> Model:
-    """Fits on a bounded sample of the rows that aren't held out: TRAIN_ROWS of every language, or as many as keep all of them to TRAIN_ROWS * LANGUAGES, but one at least; up to TRAIN_CHARS of a text. Null lang and texts without letters don't count."""
+    """Fits on a bounded sample of the rows that aren't held out: TRAIN_ROWS of every language, or as many as keep all of them to TRAIN_ROWS * LANGUAGES, but one at least; up to TRAIN_CHARS of a text, of a longer one four stretches of its words.
+
+    Null lang or id and texts without letters don't count; of rows that repeat an id and lang, one does.
+    """
     usable = docs.where("lang is not null and doc_id is not null").where(F.col("text").rlike(r"\p{L}")).where(~held_out())
-    languages = usable.select("lang").distinct().count()
+    ids = staged(usable.select("doc_id", "lang").distinct(), "labelled")
+    languages = ids.select("lang").distinct().count()
     quota = min(TRAIN_ROWS, max(1, TRAIN_ROWS * LANGUAGES // max(1, languages)))
-    chosen = sampled(usable.select("doc_id", "lang"), "lang", quota).select("doc_id", "lang").distinct()
-    rows = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).withColumn("text", _excerpt())
-    # Repeated ids can bring more rows than were chosen.
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "text")
-    got = rows.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= 2 * quota).drop("_at").orderBy(F.xxhash64("doc_id"), "text", "lang").collect()
+    chosen = staged(sampled(ids, "lang", quota), "sample").select("doc_id", "lang")
+    rows = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
+    words = F.when(F.length("text") <= TRAIN_CHARS, F.col("text")).otherwise(F.trim(F.regexp_replace("text", r"[^\p{L}\p{M}]+", " ")))
+    rows = rows.withColumn("text", words).select("doc_id", "lang", place().alias("place"), stretches("text", TRAIN_CHARS).alias("text"))
+    got = first_rows(rows.groupBy("doc_id", "lang", "place").agg(F.min("text").alias("text")).collect(), "lang", quota)
     names = sorted({r["lang"] for r in got})
-    data, start, end, offsets = word_spans(pa.array([r["text"] for r in got], pa.string()))
-    place = {x: k for k, x in enumerate(names)}
-    labels = np.repeat(np.array([place[r["lang"]] for r in got], np.int64), np.diff(offsets))
-    words = [data[a:b] for a, b in zip(start, end, strict=True)]
-    some = np.unique(labels)
-    names_ = [names[k] for k in some.tolist()]
-    labels = np.searchsorted(some, labels)
-    return fit(words, labels, names_)
+    spot = {x: k for k, x in enumerate(names)}
+    texts = [_LOWER[np.frombuffer(r["text"].encode(), np.uint8)] for r in got]
+    return fit(texts, np.array([spot[r["lang"]] for r in got], np.int64), names)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score) of each whole text: the language whose mean probability over all positions is largest, and that mean. `und` with score 0 if the text is null or has no letter."""
+    """(doc_id, lang_pred, score) of each whole text: the language whose mean probability over the letters' positions is largest, of equal ones the first by name, and that mean.
+
+    `und` with score 0 if the text is null or has no letter, or no language was learned. Rows are independent: repeated and
+    null ids stay as they are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for whole in batches:
-            for batch in W.slices(whole, "text", max(1 << 16, (4 << 20) * 64 // max(64, len(m.names)))):
-                texts = batch.column("text")
-                data, start, end, rows = word_spans(texts)
-                n, k = batch.num_rows, len(m.names)
-                best, score = np.zeros(n, np.int64), np.zeros(n)
-                letters = np.array([t is not None and any(c.isalpha() for c in t) for t in texts.to_pylist()], bool) if k else np.zeros(n, bool)
-                if k and len(start):
-                    some, inverse = W.distinct(data, start, end)
-                    sums = position_sums(m, data, start[some], end[some]).astype(float)
-                    size = (end - start)[some].astype(float)
-                    doc = np.repeat(np.arange(n), np.diff(rows))
-                    total = np.stack([np.bincount(doc, sums[:, j][inverse], n) for j in range(k)], 1)
-                    share = total / np.maximum(np.bincount(doc, size[inverse], n), 1)[:, None]
+            for batch in W.slices(whole, "text", 2 << 20):
+                texts, k = batch.column("text"), len(m.names)
+                letters = np.array([t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], bool) & (k > 0)
+                best, score = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+                if letters.any():
+                    sums, positions = pooled(m, *W.column_bytes(texts))
+                    share = sums / np.maximum(positions, 1)[:, None]
                     best, score = share.argmax(axis=1), np.clip(share.max(axis=1), 0, 1)
                 names = [m.names[b] if ok else "und" for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0))], names=["doc_id", "lang_pred", "score"])
