@@ -1,11 +1,12 @@
 """Exact duplicates by exchange of Golomb-coded fingerprints.
 
-1. Blocks of rows fold equal texts locally, take a 64-bit fingerprint of each text, and send each owner (a range of
-   fingerprints) the sorted distinct fingerprints of its range as a Golomb-Rice coded message.
-2. Owners decode their messages and answer each with a bitmap: which of its fingerprints other blocks hold too.
-3. Blocks turn bitmaps into suspects. A bit table of fixed size marks them, so that only suspects' texts are shuffled;
-   a chance mark costs a shuffle of that text and no more. Equal bytes, not equal fingerprints, make a group.
-A block folds its own copies before anything moves, so a group of any size sends each owner one fingerprint a block.
+1. Normalised texts are staged once, in blocks of bounded size, with a 64-bit fingerprint of each.
+2. Each block sends each owner (a range of fingerprints) the sorted distinct fingerprints of its range as a Golomb-Rice
+   coded message. Owners decode them and send each block a bitmap: which of its fingerprints other blocks hold too.
+3. Blocks turn their bitmaps into suspects, fold equal texts of theirs, and only suspects' texts are shuffled. There,
+   equal bytes make a group; a fingerprint shared by chance costs a shuffle of that text and no more.
+Blocks are buckets of the staged table, so neither messages nor bitmaps move any text. A block sends one fingerprint for
+all its copies of a text, so a group of any size costs an owner one fingerprint a block.
 """
 
 from __future__ import annotations
@@ -14,18 +15,16 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._store import staged, table
-from ._words import slices
+from ._store import Blocks, block_ids, staged, table, with_facts
+from ._words import field, slices
 
-#: Most distinct texts and bytes of texts that a block holds.
-BLOCK_ROWS, BLOCK_BYTES = 1 << 16, 24 << 20
-#: Bits of the table of suspects: 4 MB to each executor, at any size of input.
-MARK_BITS = 25
+#: Rows and bytes of texts after which a block is closed.
+BLOCK_ROWS, BLOCK_BYTES = 1 << 16, 8 << 20
 #: Fingerprints that an owner handles, about.
 OWNER_ROWS = 1 << 20
 _SPACE = bytes.maketrans(b"\t\n\v\f\r", b"     ")
@@ -71,156 +70,141 @@ def rice_decode(data: bytes) -> np.ndarray:
     return np.concatenate([[first], first + np.cumsum(gaps, dtype=np.uint64)]).astype(np.uint64)
 
 
-def _rows(batch: pa.RecordBatch):
-    for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-        yield doc_id, normal(text)
+def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, place, print, sha, row) of structs `row` (doc_id, text, ...)."""
+    from pyspark import TaskContext
 
-
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids, rows, size = block_ids(TaskContext.get().partitionId()), 0, 0
+    block = next(ids)
     for whole in batches:
-        for batch in slices(whole, "text"):
-            ids, digests = [], []
-            for doc_id, text in _rows(batch):
-                ids.append(doc_id)
-                digests.append(hashlib.sha256(text).digest())
+        for batch in slices(whole, "row.text", BLOCK_BYTES):
+            texts = [normal(t) for t in field(batch, "row.text").to_pylist()]
+            digests = [hashlib.sha256(t).digest() for t in texts]
             prints = np.frombuffer(b"".join(x[:8] for x in digests), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints), pa.array(digests, pa.binary())], names=["doc_id", "print", "sha"])
+            columns = [pa.array(np.full(len(texts), block)), pa.array(np.arange(rows, rows + len(texts))), pa.array(prints), pa.array(digests, pa.binary()), batch.column("row")]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "place", "print", "sha", "row"])
+            rows, size = rows + len(texts), size + sum(map(len, texts))
+            if rows >= BLOCK_ROWS or size >= BLOCK_BYTES:
+                block, rows, size = next(ids), 0, 0
 
 
-def _sender(owners: int):
+def _distinct(rows: pa.Table, owners: int):
+    """Sorted distinct fingerprints of a block, how often each occurs, and places where each owner's range begins, with the owners."""
+    prints, counts = np.unique(rows.column("print").to_numpy().view(np.uint64), return_counts=True)
     width = -(-(1 << 64) // owners)
+    to = (prints // np.uint64(width)).astype(np.int64) if owners > 1 else np.zeros(len(prints), np.int64)
+    cuts = np.flatnonzero(np.diff(to, prepend=-1))
+    return prints, counts, cuts, to[cuts]
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-        def flush():
-            prints, counts = np.unique(np.concatenate(held), return_counts=True)
-            prints = prints.astype(np.uint64)
-            to = (prints // np.uint64(width)).astype(np.int64) if owners > 1 else np.zeros(len(prints), np.int64)
-            cuts = np.flatnonzero(np.diff(to, prepend=-1))
-            ends = np.append(cuts[1:], len(prints))
-            rows = [(int(to[a]), part, number, rice_encode(prints[a:b]), np.packbits(counts[a:b] > 1).tobytes()) for a, b in zip(cuts, ends, strict=True)]
-            return pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["owner", "part", "number", "message", "own"]), preserve_index=False)
-
-        for batch in batches:
-            held.append(batch.column("print").to_numpy().view(np.uint64))
-            size += batch.num_rows
-            if size >= BLOCK_ROWS:
-                yield flush()
-                number, held, size = number + 1, [], 0
-        if size:
-            yield flush()
+
+def _sender(owners: int):
+    def send(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        prints, counts, cuts, to = _distinct(rows, owners)
+        ends = np.append(cuts[1:], len(prints))
+        parts = [(rice_encode(prints[a:b]), np.packbits(counts[a:b] > 1).tobytes()) for a, b in zip(cuts, ends, strict=True)]
+        block = pa.array(np.full(len(cuts), key[0].as_py()))
+        return pa.table({"owner": pa.array(to), "block": block, "message": pa.array([p[0] for p in parts], pa.binary()), "own": pa.array([p[1] for p in parts], pa.binary())})
 
     return send
 
 
-def _answer(messages: pd.DataFrame) -> pd.DataFrame:
-    """Of each message of one owner, a bitmap of the fingerprints that this or another block holds more than once."""
-    lists = [rice_decode(m) for m in messages["message"]]
+def _answer(messages: pa.Table) -> pa.Table:
+    """Of each message of one owner, a bitmap of the fingerprints that this or another block holds more than once, if there are any."""
+    lists = [rice_decode(m) for m in messages.column("message").to_pylist()]
     values, counts = np.unique(np.concatenate(lists), return_counts=True)
     values = values[counts > 1]
     out = []
-    for prints, own in zip(lists, messages["own"], strict=True):
-        at = np.searchsorted(values, prints)
-        shared = (at < len(values)) & (values[np.minimum(at, max(len(values) - 1, 0))] == prints) if len(values) else np.zeros(len(prints), bool)
+    for prints, own in zip(lists, messages.column("own").to_pylist(), strict=True):
+        shared = np.isin(prints, values, assume_unique=True)
         shared |= np.unpackbits(np.frombuffer(own, np.uint8), count=len(prints)).astype(bool)
-        out.append(np.packbits(shared).tobytes())
-    return messages[["part", "number", "message"]].assign(bitmap=out)
-
-
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The suspects of answered messages as set bits of the fixed table, in its 64 KB pages."""
-    bits, any_ = np.zeros(1 << MARK_BITS, bool), False
-    for batch in batches:
-        for message, bitmap in zip(batch.column("message").to_pylist(), batch.column("bitmap").to_pylist(), strict=True):
-            prints = rice_decode(message)
-            suspects = prints[np.unpackbits(np.frombuffer(bitmap, np.uint8), count=len(prints)).astype(bool)]
-            bits[(suspects >> np.uint64(64 - MARK_BITS)).astype(np.int64)] = True
-            any_ = any_ or len(suspects) > 0
-    if any_:
-        pages = np.packbits(bits).reshape(-1, 1 << 16)
-        full = np.flatnonzero(pages.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([pages[i].tobytes() for i in full], pa.binary())], names=["page", "bits"])
-
-
-def _either(pages: pd.DataFrame) -> pd.DataFrame:
-    bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pages["bits"]])
-    return pd.DataFrame({"page": [pages["page"].iloc[0]], "bits": [bits.tobytes()]})
-
-
-def _folder(marks):
-    """Marked texts, equal ones of a block folded: (print, text, least id, rows)."""
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_, held, size = marks.value, {}, 0
-
-        def flush():
-            keys = list(held)
-            prints = np.frombuffer(b"".join(hashlib.sha256(k).digest()[:8] for k in keys), np.int64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(prints), pa.array(keys, pa.binary()), pa.array([held[k][0] for k in keys], pa.int64()), pa.array([held[k][1] for k in keys], pa.int64())],
-                names=["print", "bytes", "least_id", "rows"],
-            )
-
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                for doc_id, text in _rows(batch):
-                    at = int.from_bytes(hashlib.sha256(text).digest()[:8], "little") >> (64 - MARK_BITS)
-                    if not table_[at >> 3] >> (7 - (at & 7)) & 1:
-                        continue
-                    if text in held:
-                        least, n = held[text]
-                        held[text] = (doc_id if least is None or doc_id is not None and doc_id < least else least, n + 1)
-                    else:
-                        held[text] = (doc_id, 1)
-                        size += len(text)
-                if size >= BLOCK_BYTES or len(held) >= BLOCK_ROWS:
-                    yield flush()
-                    held, size = {}, 0
-        if held:
-            yield flush()
+        out.append(np.packbits(shared).tobytes() if shared.any() else None)
+    full = pa.array([x is not None for x in out])
+    return pa.table({"block": messages.column("block"), "owner": messages.column("owner"), "bitmap": pa.array(out, pa.binary())}).filter(full)
+
+
+_FOLDED = "block long, place long, print long, bytes binary, least_id long, rows long"
+
+
+def _folder(owners: int):
+    """Texts of a block that its bitmaps mark, equal ones folded; place: that of the first row with the least id."""
+
+    def fold(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        held: dict[bytes, tuple] = {}
+        if answers.num_rows:
+            prints, _, cuts, to = _distinct(rows, owners)
+            marked = np.zeros(len(prints), bool)
+            ranges = {o: (a, b) for o, a, b in zip(to.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(prints)], strict=True)}
+            for owner, bitmap in zip(answers.column("owner").to_pylist(), answers.column("bitmap").to_pylist(), strict=True):
+                a, b = ranges[owner]
+                marked[a:b] = np.unpackbits(np.frombuffer(bitmap, np.uint8), count=b - a).astype(bool)
+            chosen = rows.filter(pa.array(np.isin(rows.column("print").to_numpy().view(np.uint64), prints[marked])))
+            for block, place, print_, row in zip(*(chosen.column(c).to_pylist() for c in ("block", "place", "print", "row")), strict=True):
+                text, mine = normal(row["text"]), (row["doc_id"] is None, row["doc_id"], place)
+                _, first, _, n = held.get(text, (block, mine, print_, 0))
+                less = not mine[0] and (first[0] or mine < first)
+                held[text] = (block, mine if less else first, print_, n + 1)
+        found = list(held.values())
+        columns = [[x[0] for x in found], [x[1][2] for x in found], [x[2] for x in found], list(held), [x[1][1] for x in found], [x[3] for x in found]]
+        return pa.table([pa.array(c, pa.binary() if i == 3 else pa.int64()) for i, c in enumerate(columns)], names=["block", "place", "print", "bytes", "least_id", "rows"])
 
     return fold
 
 
+def suspects(blocks: Blocks, owners: int) -> DataFrame:
+    """The texts of each block whose fingerprints occur again, there or in other blocks (_FOLDED)."""
+    sent = blocks.grouped("print").applyInArrow(_sender(owners), "owner long, block long, message binary, own binary")
+    answers = staged(sent.groupBy("owner").applyInArrow(_answer, "block long, owner long, bitmap binary"), "answers")
+    texts = blocks.grouped("place", "print", F.struct("row.doc_id", "row.text").alias("row"))
+    return texts.cogroup(answers.groupBy("block")).applyInArrow(_folder(owners), _FOLDED)
+
+
+def _groups(docs: DataFrame) -> tuple[Blocks, DataFrame, int]:
+    """Blocks of `docs`, groups of equal texts (sha, keep_id, group_size, and block and place of the row to keep), and the number of rows."""
+    spark, packed = docs.sparkSession, docs.select(F.struct("*").alias("row"))
+    fields = T.StructType.fromDDL("block long, place long, print long, sha binary").add("row", packed.schema["row"].dataType)
+    blocks = Blocks(packed.mapInArrow(_block, fields), "texts")
+    total = blocks.rows.count()
+    owners = max(1, -(-total // OWNER_ROWS), min(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    keeper = F.min(F.struct(F.col("least_id").isNull().alias("none"), F.col("least_id").alias("id"), "block", "place")).alias("keeper")
+    groups = suspects(blocks, owners).groupBy("print", "bytes").agg(keeper, F.sum("rows").alias("group_size")).where("group_size > 1")
+    groups = groups.select(F.unhex(F.sha2("bytes", 256)).alias("sha"), F.col("keeper.id").alias("keep_id"), "group_size", F.col("keeper.block").alias("keep_block"), F.col("keeper.place").alias("keep_place"))
+    return blocks, staged(groups, "groups"), total
+
+
 def exact_classes(docs: DataFrame) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
-    Texts are equal when identical after each run of ASCII white space became one space; null counts as empty. The row
-    with the least doc_id stays; of rows that repeat that id in one group, all are kept. Null doc_id: never the least
-    unless all ids of the group are null; then keep_id is null and the rows are kept.
+    Texts are equal when identical after each run of ASCII white space became one space; null counts as empty. Groups are
+    made by equal bytes; rows then find theirs by the bytes' SHA-256. The row with the least doc_id stays; of rows that
+    repeat that id in one group, all are kept. Null doc_id: never the least unless all ids of the group are null; then
+    keep_id is null and the rows are kept. The rows are staged once meanwhile: disk of about the input's size.
     """
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    prints = staged(docs.mapInArrow(_fingerprints, "doc_id long, print long, sha binary"), "prints")
-    owners = max(1, -(-prints.count() // OWNER_ROWS))
-    owners = max(owners, min(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    sent = prints.select("print").mapInArrow(_sender(owners), "owner long, part long, number long, message binary, own binary")
-    answers = sent.groupBy("owner").applyInPandas(_answer, "part long, number long, message binary, bitmap binary")
-    pages = staged(answers, "answers").mapInArrow(_marks, "page long, bits binary").groupBy("page").applyInPandas(_either, "page long, bits binary").collect()
-    bits = bytearray(1 << (MARK_BITS - 3))
-    for page, part in pages:
-        bits[page << 16 : (page + 1) << 16] = part
-    marks = spark.sparkContext.broadcast(bytes(bits))
-    folded = docs.mapInArrow(_folder(marks), "print long, bytes binary, least_id long, rows long")
-    groups = folded.groupBy("print", "bytes").agg(F.min("least_id").alias("keep_id"), F.sum("rows").alias("group_size"))
-    groups = staged(groups.where("group_size > 1").select(F.unhex(F.sha2("bytes", 256)).alias("sha"), "keep_id", "group_size"), "groups")
-    out = prints.join(groups, "sha", "left")
+    blocks, groups, total = _groups(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    prints = staged(blocks.rows.select("row.doc_id", "sha"), "prints")
+    blocks.close()
+    out = with_facts(prints, groups, "sha", "group_size", total, "left")
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def _staying(rows: pa.Table, leaving: pa.Table) -> pa.Table:
+    stays = ~np.isin(rows.column("place").to_numpy(), leaving.column("place").to_numpy())
+    return pa.table({"row": rows.column("row").filter(pa.array(stays))})
+
+
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, one for each distinct normalised text; of rows that repeat the kept id, one."""
-    kept = exact_classes(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    squeezed = F.regexp_replace(F.coalesce("row.text", F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    packed = docs.select(F.struct("*").alias("row"))
-    marked = packed.select("row", "row.doc_id", F.sha2(squeezed.cast("binary"), 256).alias("s"))
-    joined = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("s") == F.col("_sha")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "s"]).select("row.*")
+    """The rows of `docs` that stay, one for each distinct normalised text: of those with the least id, or of all if none has one, a first one.
+
+    Blocks get the places of the rows that leave; rows themselves don't move.
+    """
+    blocks, groups, total = _groups(docs)
+    prints = staged(blocks.rows.select("block", "place", "sha"), "prints")
+    leaving = with_facts(prints, groups, "sha", "group_size", total).where("block <> keep_block or place <> keep_place").select("block", "place")
+    kept = blocks.grouped("place", "row").cogroup(leaving.groupBy("block")).applyInArrow(_staying, T.StructType().add("row", docs.schema))
+    out = staged(kept.select("row.*"), "kept")
+    blocks.close()
+    return out
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:
