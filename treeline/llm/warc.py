@@ -1,8 +1,9 @@
 """WARC archives with revisit records.
 
-Headers (digest, length, id) are shuffled by payload digest to find each group's original; pages are joined with these
-decisions and written as gzip members, one a record. An archive is a row of (archive, content): content is a valid
-.warc.gz file of bounded size, written by Spark's own committer, so lost executors leave no half archives.
+Pages are staged once in blocks, each of which becomes an archive. Only headers (digest, length, id, and where the record
+lies) are shuffled by payload digest, to find each group's original; the decisions go back to the blocks, which write their
+records with fresh headers as gzip members. An archive is a row of (archive, content): content is a valid .warc.gz file
+of bounded size, written by Spark's own committer, so lost executors leave no half archives.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import staged, table
+from ._store import Blocks, block_ids, staged, table, unstage, with_facts
 from ._words import slices
 
 #: Bytes of payload after which an archive is closed.
@@ -65,15 +67,21 @@ def write_record(kind: str, page_id, url, digest: str, payload: bytes, origin, d
     return packer.compress(raw) + packer.flush()
 
 
+#: Bytes of an archive that the reader hands to the decompressor at a time.
+_STEP = 1 << 16
+
+
 def read_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each gzip member of an archive."""
-    while content:
-        reader = zlib.decompressobj(31)
-        raw = reader.decompress(content) + reader.flush()
-        if not reader.eof:
-            raise ValueError("an archive is cut short")
-        content = reader.unused_data
-        head, _, rest = raw.partition(b"\r\n\r\n")
+    """(headers, block) of each gzip member of an archive, in time that grows with the archive's size."""
+    view, at = memoryview(content), 0
+    while at < len(view):
+        reader, parts = zlib.decompressobj(31), []
+        while not reader.eof:
+            if at >= len(view):
+                raise ValueError("an archive is cut short")
+            parts.append(reader.decompress(view[at : at + _STEP]))
+            at += min(_STEP, len(view) - at) - len(reader.unused_data)
+        head, _, rest = b"".join(parts).partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         headers = dict(x.split(": ", 1) for x in lines[1:])
         size = int(headers["Content-Length"])
@@ -82,58 +90,62 @@ def read_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, rest[:size]
 
 
-def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, place, page_id, url, payload, digest, size) of pages; a block closes after ARCHIVE_BYTES."""
+    from pyspark import TaskContext
+
+    ids, rows, size = block_ids(TaskContext.get().partitionId()), 0, 0
+    block = next(ids)
     for whole in batches:
-        for batch in slices(whole, "html"):
+        for batch in slices(whole, "html", ARCHIVE_BYTES // 2):
             raw = [(h or "").encode() for h in batch.column("html").to_pylist()]
-            digests, sizes = [hashlib.sha1(r).digest() + hashlib.sha256(r).digest()[:12] for r in raw], [len(r) for r in raw]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64())], names=["page_id", "digest", "size"])
+            digests = [hashlib.sha1(r).digest() + hashlib.sha256(r).digest()[:12] for r in raw]
+            n = len(raw)
+            columns = [pa.array(np.full(n, block)), pa.array(np.arange(rows, rows + n)), batch.column("page_id"), batch.column("url"), pa.array(raw, pa.binary()), pa.array(digests, pa.binary()), pa.array([len(r) for r in raw], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "place", "page_id", "url", "payload", "digest", "size"])
+            rows, size = rows + n, size + sum(map(len, raw)) + 500 * n
+            if size >= ARCHIVE_BYTES:
+                block, rows, size = next(ids), 0, 0
 
 
-def originals(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(digest, origin, members) of payloads of at least `least_bytes` that several rows of `pages` (page_id, html) share; origin: the largest page_id."""
-    heads = pages.select("page_id", "html").mapInArrow(_headers, "page_id long, digest binary, size long").where(F.col("size") >= least_bytes)
-    return heads.groupBy("digest").agg(F.max("page_id").alias("origin"), F.count("*").alias("members")).where("members > 1 and origin is not null")
+def originals(heads: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """(digest, origin, members) of payloads of at least `least_bytes` that several rows of `heads` (page_id, digest, size) share; origin: the largest page_id."""
+    groups = heads.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("origin"), F.count("*").alias("members"))
+    return groups.where("members > 1 and origin is not null")
 
 
 def _writer(date: str):
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-        def close():
-            name = f"part-{part:05d}-{number:05d}.warc.gz"
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(held)], pa.binary())], names=["archive", "content"])
-
-        for whole in batches:
-            for batch in slices(whole, "html"):
-                for page_id, url, html, origin in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "origin")), strict=True):
-                    payload = (html or "").encode()
-                    kind = "response" if origin is None or origin == page_id else "revisit"
-                    held.append(write_record(kind, page_id, url, payload_digest(payload), payload, origin, date))
-                    size += len(payload) + 500
-                    if size >= ARCHIVE_BYTES:
-                        yield close()
-                        number, held, size = number + 1, [], 0
-        if held:
-            yield close()
+    def write(pages: pa.Table, decided: pa.Table) -> pa.Table:
+        origins = dict(zip(decided.column("place").to_pylist(), decided.column("origin").to_pylist(), strict=True))
+        members = []
+        for place, page_id, url, payload, digest in zip(*(pages.column(c).to_pylist() for c in ("place", "page_id", "url", "payload", "digest")), strict=True):
+            origin = origins.get(place)
+            kind = "response" if origin is None else "revisit"
+            members.append(write_record(kind, page_id, url, base64.b32encode(digest[:20]).decode(), payload, origin, date))
+        name = f"block-{pages.column('block')[0].as_py():016x}.warc.gz"
+        return pa.table({"archive": [name], "content": pa.array([b"".join(members)], pa.binary())})
 
     return write
 
 
 def write_archives(pages: DataFrame, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """(archive, content) rows of the archives of `pages` (page_id, url, html).
+    """(archive, content) rows of the archives of `pages` (page_id, url, html), staged.
 
     Of rows with equal payloads of at least `least_bytes` bytes, that with the largest page_id is a response and others
     are revisits of it; rows that repeat that page_id are responses too, and so are all rows of a group without ids and
     all smaller payloads. Null html is an empty payload; a null url has no target header; a row with null page_id
-    in a group with ids is a revisit.
+    in a group with ids is a revisit. Other columns are left out. A payload beyond ARCHIVE_BYTES ends its archive.
     """
-    firsts = originals(pages, least_bytes)
-    key = F.concat(F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary"))), F.substring(F.unhex(F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)), 1, 12))
-    decided = pages.select("page_id", "url", "html", key.alias("_key")).join(firsts, F.col("_key") == F.col("digest"), "left")
-    return decided.select("page_id", "url", "html", "origin").mapInArrow(_writer(date), "archive string, content binary")
+    kept = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    blocks = Blocks(kept.mapInArrow(_block, "block long, place long, page_id long, url string, payload binary, digest binary, size long"), "pages")
+    heads = blocks.rows.select("block", "place", "page_id", "digest", "size")
+    firsts = staged(originals(heads, least_bytes), "firsts")
+    revisits = with_facts(heads, firsts, "digest", "members", heads.count()).where(~F.col("page_id").eqNullSafe(F.col("origin"))).select("block", "place", "origin")
+    both = blocks.grouped("place", "page_id", "url", "payload", "digest").cogroup(revisits.groupBy("block"))
+    archives = staged(both.applyInArrow(_writer(date), "archive string, content binary"), "warc")
+    blocks.close()
+    unstage(blocks.rows)
+    return archives
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,8 +178,7 @@ def resolved(records: DataFrame) -> DataFrame:
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
-    archives = staged(write_archives(table(spark, sf_dir, "pages")), "warc")
-    return read_archives(archives).drop("url", "payload")
+    return read_archives(write_archives(table(spark, sf_dir, "pages"))).drop("url", "payload")
 
 
 OP8_SQL = """
