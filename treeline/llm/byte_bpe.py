@@ -1,8 +1,11 @@
 """Byte-level BPE by corpus-level merge replay.
 
-The distinct words of a block of the corpus are laid out as one array of tokens. An inverted index maps the rank of each
-mergeable pair to the positions where it stands; merges are applied in rank order to all words at once, and each
-application touches only the two neighbouring pairs. Words' ids are kept for later blocks of the same task.
+1. Each block of texts becomes one list of its distinct words and, for each text, the numbers of its words in that list.
+2. The blocks' lists make one table of the corpus's distinct words. It is laid out as arrays of tokens, one for each
+   partition of the table; an inverted index maps the rank of each mergeable pair to the positions where it stands; merges
+   are applied in rank order to all words at once, and each application touches only the two neighbouring pairs.
+3. Each block gets its words' ids back and spells out its texts' ids from the numbers.
+Blocks are buckets of a staged table, so only distinct words of blocks are shuffled, never texts or their tokens.
 """
 
 from __future__ import annotations
@@ -14,18 +17,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import table
-from ._words import slices
+from ._store import Blocks, block_ids, staged, table, unstage
+from ._words import field, slices
 
-#: Words whose ids a task keeps between blocks; beyond it only the last block's stay, which costs time only.
-KEPT_WORDS = 250_000
-#: Bytes of text in a block.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text after which a block is closed, and words that are replayed side by side.
+BLOCK_BYTES, REPLAY_WORDS = 16 << 20, 1 << 17
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -34,14 +37,30 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def _alone(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """One word by itself: the lowest-ranked pair, leftmost first, until none is left."""
-    parts = [word[i : i + 1] for i in range(len(word))]
-    while len(parts) > 1:
-        best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 60))
-        if parts[best] + parts[best + 1] not in ranks:
-            break
-        parts[best : best + 2] = [parts[best] + parts[best + 1]]
-    return [ranks[p] for p in parts]
+    """One word by itself: the lowest-ranked pair, leftmost first, until none is left, from a heap of pairs."""
+    size, get = len(word), ranks.get
+    end = list(range(1, size + 1))  # of the part that starts there; 0: no part starts there
+    before = list(range(-1, size - 1))
+    heap = [(r, i, i + 2) for i in range(size - 1) if (r := get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = end[i]
+        if not j or j >= size or end[j] != stop:  # what stood there has changed
+            continue
+        end[i], end[j] = stop, 0
+        if stop < size:
+            before[stop] = i
+            if (r := get(word[i : end[stop]])) is not None:
+                heapq.heappush(heap, (r, i, end[stop]))
+        h = before[i]
+        if h >= 0 and (r := get(word[h:stop])) is not None:
+            heapq.heappush(heap, (r, h, stop))
+    out, i = [], 0
+    while i < size:
+        out.append(ranks[word[i : end[i]]])
+        i = end[i]
+    return out
 
 
 class Merges:
@@ -135,12 +154,10 @@ class Merges:
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary. encode() takes a block of texts, decode() one array of ids."""
+    """The vocabulary of a worker: merges, and decoding of ids."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.merges, self.pattern, self.known = Merges(ranks), regex.compile(pattern), {}
-        self.latest: set[str] = set()
-        self.decimal = [str(i) for i in range(self.merges.size)]
+    def __init__(self, ranks: dict[bytes, int]):
+        self.merges = Merges(ranks)
         pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             pieces[rank] = token
@@ -148,23 +165,6 @@ class Codec:
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]) if pieces else np.zeros(0, np.int64)
         self.spelled = np.frombuffer(b"".join(pieces), np.uint8)
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str]]:
-        """Of each text its ids and the same in decimal, joined by spaces."""
-        if len(self.known) > KEPT_WORDS:
-            self.known = {w: self.known[w] for w in self.latest} if len(self.latest) <= KEPT_WORDS else {}
-        known = self.known
-        split = [self.pattern.findall(t) for t in texts]
-        self.latest = set().union(*split)
-        new = list(self.latest.difference(known))
-        ids, offsets = self.merges.replay([w.encode() for w in new])
-        raw, at = ids.tobytes(), offsets.tolist()
-        for word, a, b in zip(new, at[:-1], at[1:], strict=True):
-            known[word] = raw[4 * a : 4 * b]
-        decimal = self.decimal
-        for words in split:
-            found = np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32)
-            yield found, " ".join(map(decimal.__getitem__, found.tolist()))
-
     def decode(self, ids: np.ndarray) -> bytes:
         sizes = self.sizes[ids]
         ends = np.cumsum(sizes)
@@ -174,19 +174,14 @@ class Codec:
         return self.spelled[shift + np.arange(ends[-1])].tobytes()
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        yield from slices(whole, "text", BLOCK_BYTES)
-
-
-_codecs: dict[tuple[str, str], Codec] = {}
+_codecs: dict[str, Codec] = {}
 
 
-def _codec(name: str, pattern: str) -> Codec:
+def _codec(name: str) -> Codec:
     """The worker's own codec of a vocabulary that the driver has sent along."""
-    if (name, pattern) not in _codecs:
-        _codecs[name, pattern] = Codec(load_ranks(SparkFiles.get(name)), pattern)
-    return _codecs[name, pattern]
+    if name not in _codecs:
+        _codecs[name] = Codec(load_ranks(SparkFiles.get(name)))
+    return _codecs[name]
 
 
 def _sent(docs: DataFrame, path: str) -> str:
@@ -194,29 +189,117 @@ def _sent(docs: DataFrame, path: str) -> str:
     return path.rsplit("/", 1)[-1]
 
 
+def _splitter(pattern: str, columns: list[str]):
+    """Blocks of rows (block, row, refs, words): `columns` of a row, its text's words as numbers in the block's list, and that list in a row of its own."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        found = regex.compile(pattern).findall
+        ids, size = block_ids(TaskContext.get().partitionId()), 0
+        block, numbers, kind = next(ids), {}, None
+
+        def listed() -> pa.RecordBatch:
+            words = pa.array([[w.encode() for w in numbers]], pa.list_(pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, kind), pa.nulls(1, pa.binary()), words], names=["block", "row", "refs", "words"])
+
+        for whole in batches:
+            for batch in slices(whole, "row.text"):
+                row = batch.column("row")
+                row = pa.StructArray.from_arrays([row.field(c) for c in columns], fields=[row.type.field(c) for c in columns])
+                kind, refs = row.type, []
+                for text in field(batch, "row.text").to_pylist():
+                    words = found(text or "")
+                    for word in set(words).difference(numbers):
+                        numbers[word] = len(numbers)
+                    refs.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)).tobytes())
+                    size += len(text or "")
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), row, pa.array(refs, pa.binary()), pa.nulls(n, pa.list_(pa.binary()))], names=["block", "row", "refs", "words"])
+                if size >= BLOCK_BYTES:
+                    yield listed()
+                    block, numbers, size = next(ids), {}, 0
+        if kind is not None and size:
+            yield listed()
+
+    return split
+
+
+def _replayer(name: str):
+    """(word, ids) of distinct words; ids: little-endian 32-bit numbers."""
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merges, held, size = _codec(name).merges, [], 0
+
+        def flush() -> pa.RecordBatch:
+            ids, at = merges.replay(held)
+            raw, at = ids.astype("<i4").tobytes(), at.tolist()
+            return pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array([raw[4 * a : 4 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["word", "ids"])
+
+        for batch in batches:
+            for word in batch.column("word").to_pylist():
+                held.append(word)
+                size += len(word)
+                if len(held) >= REPLAY_WORDS or size >= BLOCK_BYTES:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return replay
+
+
+def word_table(words: DataFrame, name: str) -> DataFrame:
+    """The staged table (word, ids) of the distinct words of `words`."""
+    return staged(words.select("word").distinct().mapInArrow(_replayer(name), "word binary, ids binary"), "words")
+
+
+def _spelled(docs: DataFrame, path: str, pattern: str, columns: list[str], use, fields: T.StructType) -> DataFrame:
+    """use(words, rows, refs) of each block: ids of its words (bytes by number), rows with `columns`, and each row's numbers."""
+    name = _sent(docs, path)
+    packed = docs.select(F.struct(*dict.fromkeys([*columns, "text"])).alias("row"))
+    row = T.StructType([packed.schema["row"].dataType[c] for c in columns])
+    schema = T.StructType().add("block", "long").add("row", row).add("refs", "binary").add("words", T.ArrayType(T.BinaryType()))
+    split = packed.mapInArrow(_splitter(pattern, columns), schema)
+    blocks = Blocks(split, "refs")
+    words = blocks.rows.where("words is not null").select("block", F.posexplode("words").alias("number", "word"))
+    known = word_table(words, name)
+    back = words.join(known, "word").select("block", "number", "ids")
+
+    def spell(rows: pa.Table, ids: pa.Table) -> pa.Table:
+        of: list[bytes] = [b""] * ids.num_rows
+        for number, raw in zip(ids.column("number").to_pylist(), ids.column("ids").to_pylist(), strict=True):
+            of[number] = raw
+        rows = rows.filter(rows.column("refs").is_valid())
+        return use(of, rows.column("row"), [np.frombuffer(r, np.int32) for r in rows.column("refs").to_pylist()])
+
+    out = staged(blocks.grouped("row", "refs").cogroup(back.groupBy("block")).applyInArrow(spell, fields), "spelled")
+    blocks.close()
+    unstage(blocks.rows)
+    return out
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """`docs` with a column `ids` (array<int>) of each whole text; null counts as empty. path: a file of ranks on the driver."""
-    name = _sent(docs, path)
-    fields = docs.drop("ids").schema.add("ids", T.ArrayType(T.IntegerType()))
+    docs = docs.drop("ids")
+    fields = T.StructType().add("row", docs.schema).add("ids", T.ArrayType(T.IntegerType()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(name, pattern)
-        for batch in _blocks(batches):
-            ids = [x for x, _ in codec.encode([t or "" for t in batch.column("text").to_pylist()])]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-            yield batch.append_column("ids", lists)
+    def use(of, rows, refs) -> pa.Table:
+        ids = [np.frombuffer(b"".join(map(of.__getitem__, r.tolist())), np.int32) for r in refs]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+        return pa.table({"row": rows, "ids": lists})
 
-    return docs.drop("ids").mapInArrow(run, fields)
+    return _spelled(docs, path, pattern, docs.columns, use, fields).select("row.*", "ids")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """`encoded` with a column `bytes` of what its `ids` spell; null ids give null."""
     name = _sent(encoded, path)
-    fields = encoded.drop("bytes").schema.add("bytes", T.BinaryType())
+    fields = T.StructType(encoded.drop("bytes").schema.fields).add("bytes", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(name, pattern)
+        codec = _codec(name)
         for batch in batches:
             out = [None if x is None else codec.decode(np.asarray(x, np.int64)) for x in batch.column("ids").to_pylist()]
             yield batch.append_column("bytes", pa.array(out, pa.binary()))
@@ -227,20 +310,32 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row: every whole text is encoded and its ids decoded again.
 
-    Null counts as empty: no tokens, digests of the empty string.
+    Null counts as empty: no tokens, digests of the empty string. Rows are independent: repeated and null ids stay as they
+    are. What ids spell, in decimal and decoded, is worked out once for each distinct word of a block.
     """
-    name = _sent(docs, path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(name, pattern)
-        for batch in _blocks(batches):
-            rows = []
-            for ids, decimal in codec.encode([t or "" for t in batch.column("text").to_pylist()]):
-                rows.append((len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
-            n, coded, back = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(coded), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    name = path.rsplit("/", 1)[-1]
+    fields = T.StructType.fromDDL("doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+    def use(of, rows, refs) -> pa.Table:
+        codec = _codec(name)
+        ids = [np.frombuffer(raw, np.int32) for raw in of]
+        counts = np.array([len(x) for x in ids], np.int64)
+        flat = np.concatenate([np.zeros(0, np.int32), *ids])
+        ends = np.concatenate([[0], np.cumsum(codec.sizes[flat])])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        spelled = codec.decode(flat)
+        back = [spelled[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        decimal = ["".join([f"{i} " for i in x.tolist()]).encode() for x in ids]
+        n, coded, decoded = [], [], []
+        for r in refs:
+            numbers = r.tolist()
+            n.append(int(counts[r].sum()))
+            coded.append(hashlib.sha256(b"".join(map(decimal.__getitem__, numbers))[:-1]).hexdigest())
+            decoded.append(hashlib.sha256(b"".join(map(back.__getitem__, numbers))).hexdigest())
+        ids_ = pc.struct_field(rows.combine_chunks(), "doc_id") if rows.length() else pa.array([], pa.int64())
+        return pa.table({"doc_id": ids_, "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(coded, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _spelled(docs, path, pattern, ["doc_id"], use, fields)
 
 
 def vocabulary() -> tuple[str, str]:
