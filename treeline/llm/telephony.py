@@ -1,8 +1,8 @@
 """Telephony audio: mu-law and A-law expansion, IMA ADPCM decoding, resampling, and WAV files around them.
 
 A media column holds RIFF/WAVE files of one channel. G.711 bytes expand by 256-entry tables; ADPCM files are decoded with
-numpy across blocks (one step of all blocks at a time, as blocks are independent); decoded audio can be stored as
-resampled 16-bit PCM.
+numpy across blocks (one step of all blocks at a time, as blocks are independent); decoded audio is stored as resampled
+16-bit PCM. Long audio is expanded, resampled and stored in parts of bounded size.
 """
 
 from __future__ import annotations
@@ -15,11 +15,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ._store import staged, table
-from ._words import slices
+from ._words import column_bytes, slices
 
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 0x11
+#: Coded bytes that are expanded at a time, and of which a part of stored PCM is made.
+STEP = 1 << 20
+#: Packing of stored audio: large pages and a high level, as PCM repeats itself over long stretches.
+PACKED = {"parquet.page.size": 8 << 20, "parquet.compression.codec.zstd.level": 12}
 
 
 def _mulaw_table() -> np.ndarray:
@@ -63,21 +68,22 @@ def adpcm_blocks(blocks: np.ndarray) -> np.ndarray:
     return out.T
 
 
-def wav(data: bytes, kind: int, rate: int, block: int = 1) -> bytes:
-    """A one-channel WAVE file around coded bytes. block: bytes of a block (ADPCM) or a sample."""
-    bits = {PCM: 16, ADPCM: 4}.get(kind, 8)
+def wav(data: bytes, kind: int, rate: int, block: int = 1, fill: bytes = b"") -> bytes:
+    """A one-channel WAVE file around coded bytes and what fills them up. block: bytes of a block (ADPCM) or a sample."""
+    bits, size = {PCM: 16, ADPCM: 4}.get(kind, 8), len(data) + len(fill)
     per_block = 2 * block - 7 if kind == ADPCM else 1
     fmt = struct.pack("<HHIIHH", kind, 1, rate, rate * block // per_block, block, bits)
     fact = b""
     if kind != PCM:
         fmt += struct.pack("<HH", 2, per_block) if kind == ADPCM else struct.pack("<H", 0)
-        fact = struct.pack("<4sII", b"fact", 4, len(data) // block * per_block)
-    body = b"WAVE" + struct.pack("<4sI", b"fmt ", len(fmt)) + fmt + fact + struct.pack("<4sI", b"data", len(data)) + data + b"\0" * (len(data) & 1)
-    return b"RIFF" + struct.pack("<I", len(body)) + body
+        fact = struct.pack("<4sII", b"fact", 4, size // block * per_block)
+    head = b"WAVE" + struct.pack("<4sI", b"fmt ", len(fmt)) + fmt + fact + struct.pack("<4sI", b"data", size)
+    return b"".join([b"RIFF", struct.pack("<I", len(head) + size + (size & 1)), head, data, fill, b"\0" * (size & 1)])
 
 
-def read_wav(media: bytes) -> tuple[int, int, int, bytes]:
-    """(kind, rate, block, coded bytes) of a WAVE file."""
+def read_wav(media: bytes) -> tuple[int, int, int, memoryview]:
+    """(kind, rate, block, coded bytes) of a WAVE file; the bytes aren't copied."""
+    media = memoryview(media)
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a WAVE file")
     at, found = 12, {}
@@ -89,38 +95,56 @@ def read_wav(media: bytes) -> tuple[int, int, int, bytes]:
     return kind, rate, block, found[b"data"]
 
 
-def samples(media: bytes) -> tuple[np.ndarray, int]:
-    """Decoded 16-bit samples and the rate. A last ADPCM block that is cut short is dropped, as players do."""
-    kind, rate, block, data = read_wav(media)
-    coded = np.frombuffer(data, np.uint8)
+def expanded(coded: np.ndarray, kind: int, block: int) -> np.ndarray:
+    """16-bit samples of coded bytes. A last ADPCM block that is cut short is dropped, as players do."""
     if kind == MULAW:
-        return MULAW_TABLE[coded], rate
+        return MULAW_TABLE[coded]
     if kind == ALAW:
-        return ALAW_TABLE[coded], rate
+        return ALAW_TABLE[coded]
     if kind == PCM:
-        return coded[: len(coded) & ~1].view("<i2"), rate
+        return coded[: len(coded) & ~1].view("<i2")
     if kind == ADPCM:
-        return adpcm_blocks(coded[: len(coded) // block * block].reshape(-1, block)).ravel(), rate
+        return adpcm_blocks(coded[: len(coded) // block * block].reshape(-1, block)).ravel()
     raise ValueError(f"unknown WAVE kind {kind}")
 
 
-def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Linear interpolation between neighbours, in integers; equal rates and empty audio are returned as they are."""
+def samples(media: bytes) -> tuple[np.ndarray, int]:
+    """All decoded samples and the rate."""
+    kind, rate, block, data = read_wav(media)
+    return expanded(np.frombuffer(data, np.uint8), kind, block), rate
+
+
+def resample(x: np.ndarray, rate: int, to: int, begin: int = 0, after: int | None = None) -> np.ndarray:
+    """Linear interpolation between neighbours, in integers, of a stretch of audio: the samples at `to` whose left neighbour it holds.
+
+    begin: the stretch's first place in the audio; after: the sample that follows it, none at the audio's end, where the
+    last sample stands for it. Equal rates and empty audio are returned as they are.
+    """
     if rate == to or not len(x):
         return x
-    n = -(-len(x) * to // rate)
+    wide = np.append(x, x[-1] if after is None else after).astype(np.int32 if to == 2 * rate else np.int64)
     if to == 2 * rate:
-        out = np.empty(n, np.int16)
+        out = np.empty(2 * len(x), np.int16)
         out[::2] = x
-        wide = x.astype(np.int32)
-        out[1:-1:2] = (wide[:-1] + wide[1:]) >> 1
-        out[-1] = x[-1]
+        out[1::2] = (wide[:-1] + wide[1:]) >> 1
         return out
-    place = np.arange(n, dtype=np.int64) * rate
-    i, part = place // to, place % to
-    j = np.minimum(i + 1, len(x) - 1)
-    wide = x.astype(np.int64)
-    return ((wide[i] * (to - part) + wide[j] * part) // to).astype(np.int16)
+    first, end = -(-begin * to // rate), -(-(begin + len(x)) * to // rate)
+    place = np.arange(first, end, dtype=np.int64) * rate
+    i, part = place // to - begin, place % to
+    return ((wide[i] * (to - part) + wide[i + 1] * part) // to).astype(np.int16)
+
+
+def pcm_parts(media: bytes, to: int, step: int = STEP) -> Iterator[np.ndarray]:
+    """The audio at rate `to`, in parts made of `step` coded bytes, about."""
+    kind, rate, block, data = read_wav(media)
+    coded, begin = np.frombuffer(data, np.uint8), 0
+    unit = block if kind == ADPCM else 2 if kind == PCM else 1
+    coded = coded[: len(coded) // unit * unit]
+    step = max(1, step // unit) * unit
+    for a in range(0, len(coded), step):
+        x, after = expanded(coded[a : a + step], kind, block), expanded(coded[a + step : a + step + unit], kind, block)
+        yield resample(x, rate, to, begin, int(after[0]) if len(after) else None)
+        begin += len(x)
 
 
 def decode_media(df: DataFrame, column: str = "media", rate: int = 16000) -> DataFrame:
@@ -133,8 +157,7 @@ def decode_media(df: DataFrame, column: str = "media", rate: int = 16000) -> Dat
                 out = []
                 for media in batch.column(column).to_pylist():
                     try:
-                        x, own = samples(media)
-                        out.append(wav(resample(x, own, rate).astype("<i2").tobytes(), PCM, rate, 2))
+                        out.append(wav(b"".join(x.astype("<i2").tobytes() for x in pcm_parts(media, rate)), PCM, rate, 2))
                     except (TypeError, ValueError, KeyError, struct.error):
                         out.append(None)
                 yield batch.set_column(batch.schema.get_field_index(column), column, pa.array(out, pa.binary()))
@@ -143,59 +166,113 @@ def decode_media(df: DataFrame, column: str = "media", rate: int = 16000) -> Dat
 
 
 def store_text(docs: DataFrame, unit: int = 576, rate: int = 8000) -> DataFrame:
-    """(doc_id, n_bytes, media): each whole text as a mu-law WAVE file, one sample a byte.
+    """(rid, doc_id, n_bytes, media), staged: each whole text as a mu-law WAVE file, one sample a byte. rid numbers the rows.
 
-    Null counts as empty. Bytes 255 fill the text up to a positive multiple of `unit`.
+    Null counts as empty. Bytes 255 fill the text up to a positive multiple of `unit`. Rows are independent: repeated and
+    null ids stay as they are; other columns are left out.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-                media = [wav(t + b"\xff" * (max(1, -(-len(t) // unit)) * unit - len(t)), MULAW, rate) for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+                data, at = column_bytes(batch.column("text"))
+                view, at = memoryview(data), at.tolist()
+                sizes = [b - a for a, b in zip(at[:-1], at[1:], strict=True)]
+                media = [wav(view[a : a + n], MULAW, rate, fill=b"\xff" * (max(1, -(-n // unit)) * unit - n)) for a, n in zip(at, sizes, strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(pack, "doc_id long, n_bytes long, media binary")
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, "doc_id long, n_bytes long, media binary")
+    return staged(packed.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "n_bytes", "media"), "media", **PACKED)
 
 
-def _energy(counts: np.ndarray, values: np.ndarray) -> int:
-    return int((counts * values.astype(np.int64) ** 2).sum())
+def store_pcm(stored: DataFrame, rate: int = 16000) -> DataFrame:
+    """(rid, part, pcm), staged: stored media (rid, media) decoded and resampled, as WAVE files of 16-bit PCM, long audio in several parts."""
 
-
-def _feature(payload: np.ndarray, pcm: np.ndarray, decoded: np.ndarray) -> str:
-    """Whole-number features: mu-law and A-law energy, peak, zero crossings, and the ADPCM reading's energy."""
-    counts = np.bincount(payload, minlength=256)
-    low = pcm < 0
-    crossings = int(np.count_nonzero(low[1:] != low[:-1]))
-    peak = int(np.abs(MULAW_TABLE.astype(np.int32))[counts > 0].max())
-    wide = decoded.astype(np.int64)
-    return f"mulaw={_energy(counts, MULAW_TABLE)};alaw={_energy(counts, ALAW_TABLE)};peak={peak};crossings={crossings};adpcm={int((wide * wide).sum())}"
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["rid", "part", "pcm"]
+        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=names)
+        for whole in batches:
+            for batch in slices(whole, "media", STEP):
+                held, size = [], 0
+                for rid, media in zip(batch.column("rid").to_pylist(), batch.column("media"), strict=True):
+                    for part, x in enumerate(pcm_parts(media.as_buffer(), rate)):
+                        held.append((rid, part, wav(x.astype("<i2").tobytes(), PCM, rate, 2)))
+                        size += 2 * len(x)
+                        if size >= 4 * STEP:
+                            yield pack(held)
+                            held, size = [], 0
+                if held:
+                    yield pack(held)
+
+    return staged(stored.select("rid", "media").mapInArrow(decode, "rid long, part int, pcm binary"), "pcm", **PACKED)
+
+
+def _energy(x: np.ndarray) -> int:
+    wide = x.astype(np.int64)
+    return int(np.dot(wide, wide))
 
 
-def media_features(stored: DataFrame, block: int = 36, rate: int = 16000) -> DataFrame:
-    """Reads each stored WAVE file back and describes its payload; block: bytes of the ADPCM reading's blocks."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_crc32 long"
+def _feature(payload: np.ndarray, block: int) -> str:
+    """Whole-number features: mu-law and A-law energy, peak, zero crossings, and the ADPCM reading's energy."""
+    mulaw = alaw = adpcm = peak = crossings = 0
+    step, low = STEP // block * block, False
+    for a in range(0, len(payload), step):
+        part = payload[a : a + step]
+        x = MULAW_TABLE[part]
+        negative = x < 0
+        crossings += int(np.count_nonzero(negative[1:] != negative[:-1])) + int(a > 0 and low != negative[0])
+        low = negative[-1]
+        peak = max(peak, int(x.max()), -int(x.min()))
+        mulaw, alaw = mulaw + _energy(x), alaw + _energy(ALAW_TABLE[part])
+        adpcm += _energy(adpcm_blocks(part[: len(part) // block * block].reshape(-1, block)).ravel())
+    return f"mulaw={mulaw};alaw={alaw};peak={peak};crossings={crossings};adpcm={adpcm}"
+
+
+def _features(payloads: list[np.ndarray], block: int) -> list[str]:
+    """_feature of each payload; the ADPCM blocks of short ones are decoded together."""
+    if len(payloads) == 1:
+        return [_feature(payloads[0], block)]
+    blocks = adpcm_blocks(np.concatenate([p[: len(p) // block * block] for p in payloads]).reshape(-1, block)).astype(np.int64)
+    energy, at, out = np.concatenate([[0], np.cumsum((blocks * blocks).sum(axis=1))]), 0, []
+    for p in payloads:
+        x, n = MULAW_TABLE[p], len(p) // block
+        low = x < 0
+        crossings = int(np.count_nonzero(low[1:] != low[:-1]))
+        out.append(f"mulaw={_energy(x)};alaw={_energy(ALAW_TABLE[p])};peak={max(int(x.max()), -int(x.min()))};crossings={crossings};adpcm={int(energy[at + n] - energy[at])}")
+        at += n
+    return out
+
+
+def media_features(stored: DataFrame, block: int = 36) -> DataFrame:
+    """One row per row of stored media (rid, doc_id, n_bytes, media), read back; block: bytes of the ADPCM reading's blocks."""
+    schema = "rid long, doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "media", 2 << 20):
-                media = batch.column("media").to_pylist()
+            for batch in slices(whole, "media", STEP):
+                media = [memoryview(m.as_buffer()) for m in batch.column("media")]
                 payloads = [read_wav(m)[3] for m in media]
-                blocks = np.frombuffer(b"".join(payloads), np.uint8)
-                blocks = adpcm_blocks(blocks.reshape(-1, block))
-                rows, at = [], 0
-                for m, p in zip(media, payloads, strict=True):
-                    n = len(p) // block
-                    x, own = samples(m)
-                    pcm = resample(x, own, rate).astype("<i2").tobytes()
-                    feature = _feature(np.frombuffer(p, np.uint8), x, blocks[at : at + n])
-                    at += n
-                    rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature, len(pcm), zlib.crc32(pcm)))
+                features = _features([np.frombuffer(p, np.uint8) for p in payloads], block)
+                rows = [(len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest()) for m, p in zip(media, payloads, strict=True)]
                 cols = [pa.array(c) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *cols], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes", "pcm_crc32"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "doc_id", "n_bytes")), *cols, pa.array(features)], names=[x.split()[0] for x in schema.split(", ")])
+
+    return stored.select("rid", "doc_id", "n_bytes", "media").mapInArrow(describe, schema)
+
+
+def pcm_features(parts: DataFrame) -> DataFrame:
+    """(rid, pcm_bytes, pcm_energy) of stored PCM (rid, part, pcm), read back: bytes and sum of squares of all samples."""
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "pcm"):
+                found = [np.frombuffer(read_wav(m.as_buffer())[3], "<i2") for m in batch.column("pcm")]
+                yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array([x.nbytes for x in found], pa.int64()), pa.array([_energy(x) for x in found], pa.int64())], names=["rid", "bytes", "energy"])
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(describe, schema)
+    each = parts.select("rid", "pcm").mapInArrow(describe, "rid long, bytes long, energy long")
+    return each.groupBy("rid").agg(F.sum("bytes").alias("pcm_bytes"), F.sum("energy").alias("pcm_energy"))
 
 
 def op2_telephony(spark, sf_dir: str) -> DataFrame:
-    return media_features(staged(store_text(table(spark, sf_dir, "documents")), "media"))
+    stored = store_text(table(spark, sf_dir, "documents"))
+    return media_features(stored).join(pcm_features(store_pcm(stored)), "rid").drop("rid")
