@@ -7,8 +7,13 @@
 3. What passes is confirmed on full shingle sets. Confirmed links give connected components.
 4. In buckets whose members lie in several components, any link between components must share one of each text's rarest
    shingles (a prefix of its set, ordered by a sketch of frequencies, that is longer than a link may miss). Only pairs
-   that do are estimated and confirmed; so no link is lost, and a cloud of unlinked near copies isn't paired up.
-Buckets are never collected: pivots come from aggregates, and pairs from equi-joins on band keys and rare shingles.
+   that do are estimated and confirmed.
+Buckets are never collected: pivots come from aggregates, and pairs from equi-joins on band keys and rare shingles, where
+frequent keys are joined by broadcast and texts of frequent pivots in salted copies.
+
+What can be lost is chance alone: a pair at the threshold shares no band with probability 5.6e-11 (0.85) or 4.8e-8 (0.8), and
+its estimate lies more than MARGIN too low with 1.4e-6 or 7.2e-6; more similar pairs have less, and a class that other links
+hold together loses nothing.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._store import staged, table, unstage
+from ._store import staged, table, unstage, with_facts
 from .components import connected_components
 
 HASHES, ROWS, BITS = 128, 4, 2
@@ -125,14 +130,18 @@ def _confirmer(width: int, percent: int):
     return confirm
 
 
-#: Counters of the frequency sketch: 8 MB, whatever the input.
-SKETCH_BITS = 21
+#: Counters of the frequency sketch: 8 MB, whatever the input. Pages of so many tasks are added up in one step of a tree.
+SKETCH_BITS, FAN = 21, 64
+#: Pairs of a text beyond which copies of it share the pairs out.
+COPY_PAIRS = 2000
 
 
 def _counter(width: int):
-    """Frequencies of shingles by their leading bits, in pages of 64 K counters."""
+    """Frequencies of shingles by their leading bits, in pages of 64 K counters, with the task's number."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for whole in batches:
             for batch in W.slices(whole, "text"):
@@ -140,21 +149,26 @@ def _counter(width: int):
                 total += np.bincount(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), minlength=1 << SKETCH_BITS).astype(np.int64)
         pages = np.minimum(total, 2**31 - 1).astype(np.int32).reshape(-1, 1 << 16)
         full = np.flatnonzero(pages.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([pages[i].tobytes() for i in full], pa.binary())], names=["page", "counts"])
+        part = pa.array(np.full(len(full), TaskContext.get().partitionId()))
+        yield pa.RecordBatch.from_arrays([part, pa.array(full, pa.int64()), pa.array([pages[i].tobytes() for i in full], pa.binary())], names=["part", "page", "counts"])
 
     return count
 
 
 def _added(pages: pd.DataFrame) -> pd.DataFrame:
     total = sum(np.frombuffer(c, np.int32).astype(np.int64) for c in pages["counts"])
-    return pd.DataFrame({"page": [pages["page"].iloc[0]], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
+    return pd.DataFrame({"part": [pages["part"].iloc[0] // FAN], "page": [pages["page"].iloc[0]], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
 
 
 def _sketch(texts: DataFrame, width: int) -> np.ndarray:
-    out = np.zeros(1 << SKETCH_BITS, np.int32)
-    # pages of at most a few hundred tasks are summed at a time
-    pages = texts.coalesce(256).mapInArrow(_counter(width), "page long, counts binary")
-    for page, counts in pages.groupBy("page").applyInPandas(_added, "page long, counts binary").collect():
+    """Frequencies of the texts' shingles. A task reads as many texts as there are cores for, and pages are added up in a tree."""
+    out, schema = np.zeros(1 << SKETCH_BITS, np.int32), "part long, page long, counts binary"
+    tasks = max(FAN, texts.sparkSession.sparkContext.defaultParallelism)
+    pages = texts.coalesce(tasks).mapInArrow(_counter(width), schema)
+    while tasks > 1:
+        pages = pages.groupBy("page", F.floor(F.col("part") / FAN).alias("_of")).applyInPandas(_added, schema)
+        tasks = -(-tasks // FAN)
+    for page, counts in pages.select("page", "counts").collect():
         out[page << 16 : (page + 1) << 16] = np.frombuffer(counts, np.int32)
     return out
 
@@ -197,33 +211,50 @@ class _Run:
         return staged(found.groupBy("nid").agg(F.min("text").alias("text")), "texts")
 
     def confirmed(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """Of pairs (a, b) of nodes, those whose full sets pass."""
-        wide = pairs.join(texts.select(F.col("nid").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("nid").alias("a"), F.col("text").alias("text_a")), "a")
-        return staged(wide.mapInArrow(_confirmer(self.width, self.percent), "u long, v long"), "links")
+        """Of staged pairs (a, b) of nodes, those whose full sets pass.
+
+        A text of many pairs is copied, and its pairs are dealt out to the copies by the other side, before any text moves.
+        """
+        total, copies = pairs.count(), {}
+        for side, other in ("ab", "ba"):
+            counts = staged(pairs.groupBy(side).agg(F.count("*").alias("n")).withColumn(f"of_{side}", F.ceil(F.col("n") / COPY_PAIRS)), "counts")
+            pairs = with_facts(pairs, counts, side, "n", total).drop("n")
+            pairs = pairs.withColumn(f"copy_{side}", F.pmod(F.xxhash64(other), F.col(f"of_{side}"))).drop(f"of_{side}")
+            each = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"of_{side}") - 1)).alias(f"copy_{side}")
+            copies[side] = texts.join(counts, texts.nid == F.col(side)).select(side, F.col("text").alias(f"text_{side}"), each)
+        for side in "ba":
+            pairs = pairs.join(copies[side], [side, f"copy_{side}"])
+        return staged(pairs.mapInArrow(_confirmer(self.width, self.percent), "u long, v long"), "links")
 
     def passing(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs whose signatures estimate enough."""
-        a = pairs.distinct().join(self.sigs.alias("x"), F.col("a") == F.col("x.nid")).join(self.sigs.alias("y"), F.col("b") == F.col("y.nid"))
-        return staged(a.where(estimate("x", "y") >= self.percent / 100 - MARGIN).select("a", "b"), "pairs")
+        pairs = staged(pairs.distinct(), "candidates")
+        counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
+        x = staged(self.sigs.join(counts, F.col("nid") == F.col("a")).select("a", "n", F.struct("s0", "s1", "s2", "s3").alias("x")), "pivot-sigs")
+        y = self.sigs.select(F.col("nid").alias("b"), F.struct("s0", "s1", "s2", "s3").alias("y"))
+        both = with_facts(pairs, x, "a", "n", pairs.count()).join(y, "b")
+        return staged(both.where(estimate("x", "y") >= self.percent / 100 - MARGIN).select("a", "b"), "pairs")
 
     def roots(self) -> DataFrame:
         """Rows (node, root) of all nodes that have links."""
         buckets = self.nodes.select("nid", F.explode("bands").alias("bucket"))
-        shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-        live = staged(buckets.join(shared, "bucket"), "live")
+        shared = staged(buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+        live = staged(with_facts(buckets, shared, "bucket", "size", self.nodes.count() * BANDS), "live")
+        total = live.count()
         score = live.groupBy("nid").agg(F.sum("size").alias("score"))
-        pivots = live.join(score, "nid").groupBy("bucket").agg(F.max(F.struct("score", "nid")).alias("p"))
-        main = staged(pivots.select("bucket", F.col("p.nid").alias("a")), "pivots")
+        pivots = live.join(score, "nid").groupBy("bucket").agg(F.max(F.struct("score", "nid")).alias("p"), F.count("*").alias("n"))
+        main = staged(pivots.select("bucket", F.col("p.nid").alias("a"), "n"), "pivots")
         texts = self.texts(live.select("nid").distinct())
-        pairs = live.join(main, "bucket").where("nid <> a").select("a", F.col("nid").alias("b"))
+        pairs = with_facts(live, main, "bucket", "n", total).where("nid <> a").select("a", F.col("nid").alias("b"))
         links = self.confirmed(self.passing(pairs), texts)
         comps = staged(connected_components(links), "roots")
 
         placed = live.join(comps.select(F.col("node").alias("nid"), "root"), "nid", "left").select("bucket", "nid", F.coalesce("root", "nid").alias("root"))
-        pivot_root = main.join(comps, F.col("a") == F.col("node"), "left").select("bucket", F.coalesce("root", "a").alias("main"))
-        sided = staged(placed.join(pivot_root, "bucket").withColumn("out", F.col("root") != F.col("main")), "sided")
-        mixed = sided.where("out").select("bucket").distinct()
-        open_ = staged(sided.join(mixed, "bucket").groupBy("nid", "root").agg(F.max("out").alias("out")), "open")
+        placed = staged(placed, "placed")
+        pivot_root = staged(main.join(comps, F.col("a") == F.col("node"), "left").select("bucket", F.coalesce("root", "a").alias("main"), "n"), "main")
+        sided = staged(with_facts(placed, pivot_root, "bucket", "n", total).withColumn("out", F.col("root") != F.col("main")).drop("n"), "sided")
+        mixed = staged(sided.groupBy("bucket").agg(F.max("out").alias("any"), F.count("*").alias("n")).where("any"), "mixed")
+        open_ = staged(with_facts(sided, mixed, "bucket", "n", total).groupBy("nid", "root").agg(F.max("out").alias("out")), "open")
         rare = texts.join(open_, "nid")
         sketch = self.docs.sparkSession.sparkContext.broadcast(_sketch(rare, self.width))
         schema = "nid long, root long, out boolean, s0 long, s1 long, s2 long, s3 long, shingle long, place long, size long"
