@@ -13,10 +13,10 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import staged, table, unstage
+from ._store import staged, table, unstage, with_facts
 
-#: Bits of the hash that one histogram resolves; 63 bits in 7 rounds at most.
-ROUND_BITS, ROUNDS = 9, 7
+#: Bits of the hash that one histogram resolves, and rounds until all 63 are.
+ROUND_BITS, ROUNDS = 16, 4
 
 
 def word_count(column: str):
@@ -59,43 +59,55 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return ranked.select("source", "source_size", F.when(capped, F.col("most").cast("double")).otherwise(share).alias("target"))
 
 
+def _key(source: str):
+    """The source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))
+
+
 def _hashed(docs: DataFrame) -> DataFrame:
-    """(row, size, hash, doc_id, source): rows as one column, so that no name of theirs can clash."""
+    """(row, size, hash, doc_id, source, k): rows as one column, so that no name of theirs can clash."""
     key = F.shiftrightunsigned(F.xxhash64(F.xxhash64("row.doc_id", "row.text"), F.lit("mix")), 1)
     packed = docs.select(F.struct("*").alias("row"))
-    return packed.select("row", word_count("row.text").alias("size"), key.alias("hash"), "row.doc_id", "row.source")
+    return packed.select("row", word_count("row.text").alias("size"), key.alias("hash"), "row.doc_id", "row.source", _key("row.source").alias("k"))
 
 
-def thresholds(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
-    """(s, source_size, target, times, low) of each source of `rows` (source, size, hash): whole repeats, and the hash below which a row is taken once more."""
-    plan = targets(rows.select("source", "size"), weights, most)
+def thresholds(rows: DataFrame, weights: tuple[int, ...], most: int) -> tuple[DataFrame, int]:
+    """(k, n, source_size, target, times, low) of each source of `rows` (source, k, size, hash), and the number of rows.
+
+    n: rows of the source; times: whole repeats; low: the hash below which a row is taken once more. Each round reads only
+    the rows of the buckets in which budgets ran out, rows of equal hash as one.
+    """
+    counts = rows.groupBy("k").agg(F.count("*").alias("n"))
+    plan = targets(rows.select("source", "size"), weights, most).withColumn("k", _key("source")).drop("source").join(counts, "k")
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = plan.withColumn("times", F.least(times, F.lit(most).cast("long")))
     # `low`: rows below it are in; `need`: words still wanted from the bucket that starts there
-    open_ = staged(plan.withColumn("low", F.lit(0).cast("long")).withColumn("need", F.col("target") - F.col("times") * F.col("source_size")), "plan")
-    end = F.lit((1 << 63) - 1)
+    facts = ["k", "n", "source_size", "target", "times"]
+    open_ = staged(plan.select(*facts, F.lit(0).cast("long").alias("low"), (F.col("target") - F.col("times") * F.col("source_size")).alias("need")), "plan")
+    end, total, pool = F.lit((1 << 63) - 1), rows.count(), rows.where("size > 0").select("k", "size", "hash")
     for r in range(ROUNDS):
-        shift = 63 - ROUND_BITS * (r + 1)
-        p = open_.select(F.col("source").alias("s"), "low")
-        inside = rows.where("size > 0").join(p, F.col("source").eqNullSafe(F.col("s")))
-        if r:
-            inside = inside.where(F.shiftright("hash", shift + ROUND_BITS) == F.shiftright("low", shift + ROUND_BITS))
-        counts = inside.groupBy("source", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("n"))
-        w = Window.partitionBy("s").orderBy("bucket")  # at most 2**ROUND_BITS rows of a source
-        upto = counts.withColumnRenamed("source", "s").withColumn("upto", F.sum("n").over(w))
-        joined = upto.join(open_.select("source", "need"), F.col("s").eqNullSafe(F.col("source")))
-        found = joined.groupBy(F.col("s").alias("of")).agg(F.min(F.when(F.col("upto") > F.col("need"), F.struct("bucket", "upto", "n"))).alias("c"), F.lit(True).alias("some"))
-        new = open_.join(found, F.col("source").eqNullSafe(F.col("of")), "left")
-        rest = F.col("need") - (F.col("c.upto") - F.col("c.n"))
+        shift = max(0, 63 - ROUND_BITS * (r + 1))
+        sums = pool.groupBy("k", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("words"))
+        w = Window.partitionBy("k").orderBy("bucket")  # at most 2**ROUND_BITS rows of a source
+        upto = sums.withColumn("upto", F.sum("words").over(w)).join(open_.select("k", "need"), "k")
+        found = upto.groupBy("k").agg(F.min(F.when(F.col("upto") > F.col("need"), F.struct("bucket", "upto", "words"))).alias("c"), F.lit(True).alias("some"))
+        rest = F.col("need") - (F.col("c.upto") - F.col("c.words"))
         if r < ROUNDS - 1:
             low = F.coalesce(F.shiftleft(F.col("c.bucket"), shift), end)
         else:  # a bucket is one hash: in or out, whichever is nearer
-            low = F.coalesce(F.col("c.bucket") + F.when(rest * 2 > F.col("c.n"), 1).otherwise(0), end)
+            low = F.coalesce(F.col("c.bucket") + F.when(rest * 2 > F.col("c.words"), 1).otherwise(0), end)
         done = (F.col("low") == end) | F.col("some").isNull()
-        last = open_
-        open_ = staged(new.select("source", "source_size", "target", "times", F.when(done, F.col("low")).otherwise(low).alias("low"), F.when(done, F.lit(0.0)).otherwise(F.coalesce(rest, F.lit(0.0))).alias("need")), "plan")
+        last, held = open_, pool
+        new = open_.join(found, "k", "left")
+        open_ = staged(new.select(*facts, F.when(done, F.col("low")).otherwise(low).alias("low"), F.when(done, F.lit(0.0)).otherwise(F.coalesce(rest, F.lit(0.0))).alias("need")), "plan")
+        if r < ROUNDS - 1:
+            border = with_facts(pool, open_.where(F.col("low") < end).select("k", "n", "low"), "k", "n", total)
+            border = border.where(F.shiftright("hash", shift) == F.shiftright("low", shift))
+            pool = staged(border.groupBy("k", "hash").agg(F.sum("size").alias("size")), "border")
         unstage(last)
-    return open_.select(F.col("source").alias("s"), "source_size", "target", "times", "low")
+        if r:
+            unstage(held)
+    return open_.select(*facts, "low"), total
 
 
 def _repeats(size: str, hash_: str, most: int):
@@ -107,12 +119,13 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3)
     """One row per row of `docs` (doc_id, text, source): doc_id, size, source_size, target, taken, source, repeats.
 
     size is the number of words (null text: 0); taken is a whole multiple of it, at most `most` times. Every row is taken
-    floor(target / source_size) times, and once more if its hash lies below the source's threshold, which comes as near
-    the target as whole rows allow. Rows that repeat id and text share a hash and so stand on one side of it. Sources of
-    no words take nothing.
+    floor(target / source_size) times, and once more if its hash lies below the source's threshold: a source's taken words
+    miss its target by half of the row at the threshold at most, however long that row is. Rows that repeat id and text share
+    a hash, so they count as that one row. Sources of no words take nothing. Ties and reruns agree, as hashes decide.
     """
-    rows = staged(_hashed(docs).select("doc_id", "size", "source", "hash"), "sizes")
-    out = rows.join(thresholds(rows, weights, most), F.col("source").eqNullSafe(F.col("s")))
+    rows = staged(_hashed(docs).select("doc_id", "size", "source", "k", "hash"), "sizes")
+    plan, total = thresholds(rows, weights, most)
+    out = with_facts(rows, plan, "k", "n", total)
     repeats = _repeats("size", "hash", most)
     return out.select("doc_id", "size", "source_size", "target", (repeats * F.col("size")).alias("taken"), "source", repeats.alias("repeats"))
 
@@ -120,9 +133,9 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3)
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it."""
     marked = _hashed(docs)
-    rows = staged(marked.select("source", "size", "hash"), "sizes")
-    joined = marked.join(thresholds(rows, weights, most), F.col("source").eqNullSafe(F.col("s")))
-    taken = joined.select("row", _repeats("size", "hash", most).alias("n")).where("n > 0")
+    rows = staged(marked.select("source", "k", "size", "hash"), "sizes")
+    plan, total = thresholds(rows, weights, most)
+    taken = with_facts(marked, plan, "k", "n", total).select("row", _repeats("size", "hash", most).alias("n")).where("n > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("row.*")
 
 
