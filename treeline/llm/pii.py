@@ -33,6 +33,8 @@ _WORD = rf"(?<![^{_WS}])(?:{_NUMBERS}|(?=[^{_WS}]*?(?:{_MARKED}))[^{_WS}]++)"
 _START, _END = "\x02", "\x03"
 #: A pattern needs this many distinct believed instances, this confidence, and an instance this score. A shape divides odds by LOWERED at most.
 SUPPORT, CONFIDENCE, SCORE, LOWERED = 3, 0.9, 0.9, 4
+#: Up to so many pairs of words and base spans a row's own arrays are compared; beyond it, cells of so many code points are joined.
+PAIRS, CELL = 1 << 14, 64
 
 
 def _digits(x):
@@ -137,12 +139,24 @@ def base_spans(docs: DataFrame, *more: str) -> DataFrame:
     return text.select("doc_id", *more, base.alias("base"), _words().alias("words"))
 
 
+def _uses(found: DataFrame) -> DataFrame:
+    """(rid, s, e, x, left, right, k) of every word; k: kind of the first base span (by kind, then place) that it overlaps."""
+    rows = found.where(F.size("words") > 0).select("rid", "base", "words")
+    many = F.size("base").cast("long") * F.size("words") > PAIRS
+    facts, real = [F.col(f"w.{c}").alias(c) for c in ("s", "e", "x", "left", "right")], "x <> '' and s < e"
+    hits = F.filter("base", lambda b: (b["s"] < F.col("w.e")) & (b["e"] > F.col("w.s")))
+    few = rows.where(~many).select("rid", "base", F.explode("words").alias("w")).select("rid", *facts, F.get(hits, F.lit(0))["k"].alias("k")).where(real)
+    words = rows.where(many).select("rid", F.explode("words").alias("w")).select("rid", *facts).where(real)
+    spans = rows.where(many).select(F.col("rid").alias("_rid"), F.explode("base").alias("b")).select("_rid", F.col("b.k").alias("k"), F.col("b.s").alias("_s"), F.col("b.e").alias("_e"))
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / CELL), F.floor((F.col(b) - 1) / CELL)))
+    met = words.select("rid", "s", "e", cells("s", "e").alias("cell")).join(spans.withColumn("_cell", cells("_s", "_e")), (F.col("rid") == F.col("_rid")) & (F.col("cell") == F.col("_cell")) & (F.col("_s") < F.col("e")) & (F.col("_e") > F.col("s")))
+    first = met.groupBy("rid", "s", "e").agg(F.min(F.struct("k", "_s"))["k"].alias("k"))
+    return few.unionByName(words.join(first, ["rid", "s", "e"], "left"))
+
+
 def bootstrapped(found: DataFrame) -> DataFrame:
     """(rid, k, s, e): spans that confident patterns add to the rows of `found` (rid, base, words)."""
-    w = found.where(F.size("words") > 0).select("rid", "base", F.explode("words").alias("w"))
-    hits = F.filter("base", lambda b: (b["s"] < F.col("w.e")) & (b["e"] > F.col("w.s")))
-    uses = w.select("rid", *[F.col(f"w.{c}").alias(c) for c in ("s", "e", "x", "left", "right")], F.get(hits, F.lit(0))["k"].alias("k"))
-    uses = staged(uses.where("x <> '' and s < e"), "uses")
+    uses = staged(_uses(found), "uses")
     around = [F.concat_ws("|", "left", "right"), F.concat("left", F.lit("|*")), F.concat(F.lit("* "), F.substring_index("left", " ", -1), F.lit("|*")), F.concat(F.lit("*|"), "right")]
     placed = uses.withColumn("p", F.explode(F.array(*around)))
     linked = staged(placed.groupBy("p", "x").agg(F.max("k").alias("k")), "links")
