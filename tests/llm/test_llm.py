@@ -73,7 +73,8 @@ def test_exact_classes(docs, empty):
     assert got[2].keep_id == 1 and got[2].group_size == 2 and not got[2].kept
     assert got[4].keep_id == got[5].keep_id == 4 and got[6].keep_id == 6 and got[7].group_size == 2 and got[8].keep_id == 8
     assert got[8].text_sha256 == hashlib.sha256(b"ONE two").hexdigest() and got[None].kept
-    assert exact_dedup.exact_dedup(docs).count() == 10 and exact_dedup.exact_classes(empty).count() == 0
+    kept = exact_dedup.exact_dedup(docs)
+    assert kept.columns == docs.columns and kept.count() == 10 and exact_dedup.exact_classes(empty).count() == exact_dedup.exact_dedup(empty).count() == 0
     for values in ([], [5], [0, 2**64 - 1], sorted(np.random.default_rng(1).integers(0, 2**64 - 1, 500, dtype=np.uint64).tolist())):
         assert exact_dedup.rice_decode(exact_dedup.rice_encode(np.array(values, np.uint64))).tolist() == values
 
@@ -86,32 +87,50 @@ def test_byte_bpe_equals_the_library(docs, empty):
     want = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     rng = np.random.default_rng(2)
     texts = ["", "a" * 3000, " \n\n  x", "don't 12 中😀", LONG[:9000]] + ["".join(rng.choice(list("abehint  é0.\n"), 200)) for _ in range(50)]
-    codec = byte_bpe.Codec(ranks, pattern)
-    for text, (ids, decimal) in zip(texts, codec.encode(texts), strict=True):
-        assert ids.tolist() == want.encode_ordinary(text) and decimal == " ".join(map(str, ids)) and codec.decode(ids) == text.encode()
-    back = byte_bpe.decode(byte_bpe.encode(docs, path, pattern), path, pattern).collect()
-    assert all(bytes(r.bytes) == (r.text or "").encode() for r in back)
-    assert byte_bpe.token_digests(empty, path, pattern).count() == 0
+    frame = docs.sparkSession.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in byte_bpe.encode(frame, path, pattern).collect():
+        assert r.ids == want.encode_ordinary(texts[r.doc_id])
+    got = {r.doc_id: r for r in byte_bpe.token_digests(frame, path, pattern).collect()}
+    for i, text in enumerate(texts):
+        ids = want.encode_ordinary(text)
+        assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()) and got[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    encoded = byte_bpe.encode(docs, path, pattern)
+    back = byte_bpe.decode(encoded, path).collect()
+    assert encoded.columns == [*docs.columns, "ids"] and len(back) == len(ROWS) and all(bytes(r.bytes) == (r.text or "").encode() for r in back)
+    assert byte_bpe.token_digests(docs, path, pattern).count() == len(ROWS) and byte_bpe.token_digests(empty, path, pattern).count() == 0
+
+
+def _plain_merges(word, ranks):
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while len(parts) > 1:
+        best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 60))
+        if parts[best] + parts[best + 1] not in ranks:
+            break
+        parts[best : best + 2] = [parts[best] + parts[best + 1]]
+    return [ranks[p] for p in parts]
 
 
 def test_merges_that_open_lower_ranks():
-    ranks = {bytes([i]): i for i in range(256)} | {b"bc": 256, b"abc": 257, b"ab": 300, b"cd": 301, b"abcd": 258}
+    ranks = {bytes([i]): i for i in range(256)} | {b"bc": 256, b"abc": 257, b"ab": 300, b"cd": 301, b"abcd": 258, b"aa": 302, b"aaa": 259}
     merges = byte_bpe.Merges(ranks)
-    words = [b"abcd", b"abab", b"abcabc", b"a", b"", b"bcd"]
+    rng = np.random.default_rng(5)
+    words = [b"abcd", b"abab", b"abcabc", b"a", b"", b"bcd", b"aaaaaaa", *(bytes(rng.choice(list(b"abcd"), 40).tolist()) for _ in range(200))]
     ids, at = merges.replay(words)
-    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [byte_bpe._alone(w, ranks) for w in words]
+    want = [_plain_merges(w, ranks) for w in words]
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want == [byte_bpe._alone(w, ranks) for w in words]
 
 
 def test_telephony(docs, empty, spark):
-    rows = telephony.media_features(telephony.store_text(docs)).collect()
+    rows = telephony.media_facts(telephony.store_pcm(telephony.store_text(docs))).collect()
     for r, (doc_id, text, *_) in zip(sorted(rows, key=lambda r: str(r.doc_id)), sorted(ROWS, key=lambda r: str(r[0])), strict=True):
         raw = (text or "").encode()
         payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
         assert (r.doc_id, r.n_bytes, r.payload_sha256, r.tail_crc32) == (doc_id, len(raw), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert r.pcm_bytes == 4 * len(payload) and r.payload_bytes == len(payload)
     media = [telephony.wav(bytes(range(72)), k, 8000, b) for k, b in ((telephony.MULAW, 1), (telephony.ALAW, 1), (telephony.ADPCM, 36))] + [b"no", None]
     out = telephony.decode_media(spark.createDataFrame([(m,) for m in media], "media binary")).collect()
     kinds = [None if r.media is None else telephony.read_wav(bytes(r.media))[:2] for r in out]
-    assert kinds == [(1, 16000)] * 3 + [None, None] and telephony.media_features(telephony.store_text(empty)).count() == 0
+    assert kinds == [(1, 16000)] * 3 + [None, None] and telephony.media_facts(telephony.store_pcm(telephony.store_text(empty))).count() == 0
     assert telephony.MULAW_TABLE[[0, 127, 255]].tolist() == [-32124, 0, 0] and telephony.ALAW_TABLE[[0x55, 0xD5]].tolist() == [-8, 8]
 
 
@@ -156,7 +175,8 @@ def test_mixing(docs, empty, spark):
     assert abs(sum({r.source: r.target for r in got}.values()) - total) < 1e-6
     assert sorted(map(str, got)) == sorted(map(str, mixing.mixed(frame.repartition(7)).collect()))
     assert mixing.mix(frame).count() == sum(r.repeats for r in got) and mixing.mixed(empty).count() == 0
-    assert mixing.mix(docs).columns == docs.columns
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.repeats for r in mixing.mixed(docs).collect())
 
 
 def test_url_verdicts(spark):
@@ -218,7 +238,8 @@ def test_toxicity(spark, docs):
     frame = spark.createDataFrame([(0, "v1 v2 nasty v3"), (1, "v1 v2 v3 v4"), (2, None), (3, "")], "doc_id long, text string")
     got = {r.doc_id: r for r in toxicity.tag(frame, model).collect()}
     assert got[0].score > 0.5 > got[1].score and got[0].offsets == "6:11" and got[2].score == got[3].score < 0.5
-    assert toxicity.clean(docs, model).columns == docs.columns
+    kept = toxicity.clean(docs, model)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
     none = toxicity.train(frame.limit(0), spark.createDataFrame([], "doc_id long, toxic int"))
     assert all(r.score < 0.3 for r in toxicity.tag(frame, none).collect())
 
@@ -245,10 +266,10 @@ def test_every_language_is_learned(spark, monkeypatch):
     got = {r.doc_id: r.lang_pred for r in language_id.predict(frame(rows), language_id.train(frame(rows))).collect()}
     assert np.mean([got[i] == k for i, _, k in rows]) > 0.95
     monkeypatch.setattr(language_id, "BATCH", 4)
-    words = [np.frombuffer(bytes([97 + k] * 4), np.uint8) for k in range(10)]
-    model = language_id.fit(words, np.arange(10), [str(k) for k in range(10)])
-    data, start, end, _ = language_id.word_spans(__import__("pyarrow").array([bytes(w).decode() for w in words]))
-    assert len(model.names) == 10 and language_id.position_sums(model, data, start, end).argmax(axis=1).tolist() == list(range(10))
+    texts = [np.frombuffer(bytes([97 + k] * 40), np.uint8) for k in range(10)]
+    model = language_id.fit(texts, np.arange(10), [str(k) for k in range(10)])
+    sums, n = language_id.pooled(model, np.concatenate(texts), np.arange(11) * 40)
+    assert len(model.names) == 10 and sums.argmax(axis=1).tolist() == list(range(10)) and np.allclose(sums.sum(axis=1), n)
 
 
 def test_pipeline(spark):
