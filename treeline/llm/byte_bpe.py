@@ -1,11 +1,12 @@
 """Byte-level BPE by corpus-level merge replay.
 
 1. Each block of texts becomes one list of its distinct words and, for each text, the numbers of its words in that list.
-2. The blocks' lists make one table of the corpus's distinct words. It is laid out as arrays of tokens, one for each
-   partition of the table; an inverted index maps the rank of each mergeable pair to the positions where it stands; merges
-   are applied in rank order to all words at once, and each application touches only the two neighbouring pairs.
-3. Each block gets its words' ids back and spells out its texts' ids from the numbers.
-Blocks are buckets of a staged table, so only distinct words of blocks are shuffled, never texts or their tokens.
+2. The blocks' lists are dealt by word, so that each distinct word of the corpus is in one place. The words of a place are
+   laid out as one array of tokens; an inverted index maps the rank of each mergeable pair to the positions where it stands;
+   merges are applied in rank order to all words at once, and each application touches only the two neighbouring pairs.
+3. Each block gets its words' ids back, packed, and spells out its texts' ids from the numbers.
+Blocks are buckets of a staged table, so only distinct words of blocks are shuffled, never texts or their tokens; a
+frequent word is one row a block.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import types as T
 from ._store import Blocks, block_ids, staged, table, unstage
 from ._words import field, slices
 
-#: Bytes of text after which a block is closed, and words that are replayed side by side.
-BLOCK_BYTES, REPLAY_WORDS = 16 << 20, 1 << 17
+#: Bytes of text after which a block is closed, rows of words that are replayed side by side, and words whose ids a task keeps (more cost time only).
+BLOCK_BYTES, REPLAY_ROWS, KEPT_WORDS = 32 << 20, 1 << 17, 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -184,6 +185,15 @@ def _codec(name: str) -> Codec:
     return _codecs[name]
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers below 2**31 as their first bytes, then their second bytes and so on, which packs far better."""
+    return x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 def _sent(docs: DataFrame, path: str) -> str:
     docs.sparkSession.sparkContext.addFile(path)
     return path.rsplit("/", 1)[-1]
@@ -212,7 +222,7 @@ def _splitter(pattern: str, columns: list[str]):
                     words = found(text or "")
                     for word in set(words).difference(numbers):
                         numbers[word] = len(numbers)
-                    refs.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)).tobytes())
+                    refs.append(_planes(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))))
                     size += len(text or "")
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), row, pa.array(refs, pa.binary()), pa.nulls(n, pa.list_(pa.binary()))], names=["block", "row", "refs", "words"])
@@ -225,33 +235,60 @@ def _splitter(pattern: str, columns: list[str]):
     return split
 
 
+_PACKED = "block long, words int, packed binary, bytes long"
+
+
 def _replayer(name: str):
-    """(word, ids) of distinct words; ids: little-endian 32-bit numbers."""
+    """Rows (block, number, word) to packed rows (_PACKED): of some words of a block the steps between their numbers, how many ids each has, and the ids."""
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, held, size = _codec(name).merges, [], 0
+        merges, known, held = _codec(name).merges, {}, []
 
         def flush() -> pa.RecordBatch:
-            ids, at = merges.replay(held)
+            nonlocal known
+            rows = pa.Table.from_batches(held)
+            words = rows.column("word").to_pylist()
+            if len(known) > KEPT_WORDS:
+                known = {}
+            new = list(set(words).difference(known))
+            ids, at = merges.replay(new)
             raw, at = ids.astype("<i4").tobytes(), at.tolist()
-            return pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array([raw[4 * a : 4 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["word", "ids"])
-
+            known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(new, at[:-1], at[1:], strict=True))
+            blocks, numbers = rows.column("block").to_numpy(), rows.column("number").to_numpy()
+            order = np.lexsort((numbers, blocks))
+            found = [known[words[i]] for i in order.tolist()]
+            counts, numbers, blocks = np.array([len(x) >> 2 for x in found]), numbers[order], blocks[order]
+            cuts = np.flatnonzero(np.diff(blocks, prepend=blocks[0] - 1))
+            ends, packed, sizes = np.append(cuts[1:], len(blocks)), [], []
+            for a, b in zip(cuts.tolist(), ends.tolist(), strict=True):
+                ids = np.frombuffer(b"".join(found[a:b]), "<i4")
+                data = _planes(np.concatenate([np.diff(numbers[a:b], prepend=0), counts[a:b], ids]))
+                packed.append(pa.compress(data, codec="zstd", asbytes=True))
+                sizes.append(len(data))
+            return pa.RecordBatch.from_arrays([pa.array(blocks[cuts]), pa.array(ends - cuts, pa.int32()), pa.array(packed, pa.binary()), pa.array(sizes, pa.int64())], names=["block", "words", "packed", "bytes"])
+
+        size = 0
         for batch in batches:
-            for word in batch.column("word").to_pylist():
-                held.append(word)
-                size += len(word)
-                if len(held) >= REPLAY_WORDS or size >= BLOCK_BYTES:
-                    yield flush()
-                    held, size = [], 0
-        if held:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= REPLAY_ROWS:
+                yield flush()
+                held, size = [], 0
+        if size:
             yield flush()
 
     return replay
 
 
-def word_table(words: DataFrame, name: str) -> DataFrame:
-    """The staged table (word, ids) of the distinct words of `words`."""
-    return staged(words.select("word").distinct().mapInArrow(_replayer(name), "word binary, ids binary"), "words")
+def _unpacked(rows: pa.Table) -> list[bytes]:
+    """The ids of a block's words by number."""
+    of: list[bytes] = [b""] * sum(rows.column("words").to_pylist())
+    for n, packed, size in zip(*(rows.column(c).to_pylist() for c in ("words", "packed", "bytes")), strict=True):
+        all_ = _from_planes(pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True))
+        numbers, ends, raw = np.cumsum(all_[:n]).tolist(), (4 * np.cumsum(all_[n : 2 * n], dtype=np.int64)).tolist(), all_[2 * n :].tobytes()
+        for number, a, b in zip(numbers, [0, *ends], ends, strict=False):
+            of[number] = raw[a:b]
+    return of
 
 
 def _spelled(docs: DataFrame, path: str, pattern: str, columns: list[str], use, fields: T.StructType) -> DataFrame:
@@ -263,15 +300,11 @@ def _spelled(docs: DataFrame, path: str, pattern: str, columns: list[str], use,
     split = packed.mapInArrow(_splitter(pattern, columns), schema)
     blocks = Blocks(split, "refs")
     words = blocks.rows.where("words is not null").select("block", F.posexplode("words").alias("number", "word"))
-    known = word_table(words, name)
-    back = words.join(known, "word").select("block", "number", "ids")
+    back = words.repartition("word").mapInArrow(_replayer(name), _PACKED)
 
     def spell(rows: pa.Table, ids: pa.Table) -> pa.Table:
-        of: list[bytes] = [b""] * ids.num_rows
-        for number, raw in zip(ids.column("number").to_pylist(), ids.column("ids").to_pylist(), strict=True):
-            of[number] = raw
         rows = rows.filter(rows.column("refs").is_valid())
-        return use(of, rows.column("row"), [np.frombuffer(r, np.int32) for r in rows.column("refs").to_pylist()])
+        return use(_unpacked(ids), rows.column("row"), [_from_planes(r) for r in rows.column("refs").to_pylist()])
 
     out = staged(blocks.grouped("row", "refs").cogroup(back.groupBy("block")).applyInArrow(spell, fields), "spelled")
     blocks.close()
