@@ -185,28 +185,6 @@ def store_text(docs: DataFrame, unit: int = 576, rate: int = 8000) -> DataFrame:
     return staged(packed.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "n_bytes", "media"), "media", **PACKED)
 
 
-def store_pcm(stored: DataFrame, rate: int = 16000) -> DataFrame:
-    """(rid, part, pcm), staged: stored media (rid, media) decoded and resampled, as WAVE files of 16-bit PCM, long audio in several parts."""
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["rid", "part", "pcm"]
-        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=names)
-        for whole in batches:
-            for batch in slices(whole, "media", STEP):
-                held, size = [], 0
-                for rid, media in zip(batch.column("rid").to_pylist(), batch.column("media"), strict=True):
-                    for part, x in enumerate(pcm_parts(media.as_buffer(), rate)):
-                        held.append((rid, part, wav(x.astype("<i2").tobytes(), PCM, rate, 2)))
-                        size += 2 * len(x)
-                        if size >= 4 * STEP:
-                            yield pack(held)
-                            held, size = [], 0
-                if held:
-                    yield pack(held)
-
-    return staged(stored.select("rid", "media").mapInArrow(decode, "rid long, part int, pcm binary"), "pcm", **PACKED)
-
-
 def _energy(x: np.ndarray) -> int:
     wide = x.astype(np.int64)
     return int(np.dot(wide, wide))
@@ -243,36 +221,65 @@ def _features(payloads: list[np.ndarray], block: int) -> list[str]:
     return out
 
 
-def media_features(stored: DataFrame, block: int = 36) -> DataFrame:
-    """One row per row of stored media (rid, doc_id, n_bytes, media), read back; block: bytes of the ADPCM reading's blocks."""
-    schema = "rid long, doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_FACTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def store_pcm(stored: DataFrame, rate: int = 16000, block: int = 36) -> DataFrame:
+    """(rid, part, parts, pcm, and facts of the media at part 0), staged: stored media read back, decoded and resampled, as WAVE files of 16-bit PCM.
+
+    Long audio lies in several parts. block: bytes of the blocks of the facts' ADPCM reading.
+    """
+    kinds = [(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in _FACTS.split(", ")]
+    names = ["rid", "part", "parts", "pcm", *(n for n, _ in kinds)]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), *(t for _, t in kinds)]
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def pack() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "media", STEP):
                 media = [memoryview(m.as_buffer()) for m in batch.column("media")]
                 payloads = [read_wav(m)[3] for m in media]
                 features = _features([np.frombuffer(p, np.uint8) for p in payloads], block)
-                rows = [(len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest()) for m, p in zip(media, payloads, strict=True)]
-                cols = [pa.array(c) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "doc_id", "n_bytes")), *cols, pa.array(features)], names=[x.split()[0] for x in schema.split(", ")])
+                for rid, doc_id, n, m, p, feature in zip(*(batch.column(c).to_pylist() for c in ("rid", "doc_id", "n_bytes")), media, payloads, features, strict=True):
+                    facts = (doc_id, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature)
+                    parts = -(-len(p) // STEP)
+                    for part, x in enumerate(pcm_parts(m, rate)):
+                        held.append((rid, part, parts, wav(x.astype("<i2").tobytes(), PCM, rate, 2), *(facts if part == 0 else [None] * len(facts))))
+                        size += 2 * len(x)
+                        if size >= 4 * STEP:
+                            yield pack()
+                            held, size = [], 0
+        if held:
+            yield pack()
 
-    return stored.select("rid", "doc_id", "n_bytes", "media").mapInArrow(describe, schema)
+    return staged(stored.select("rid", "doc_id", "n_bytes", "media").mapInArrow(decode, f"rid long, part int, parts int, pcm binary, {_FACTS}"), "pcm", **PACKED)
 
 
-def pcm_features(parts: DataFrame) -> DataFrame:
-    """(rid, pcm_bytes, pcm_energy) of stored PCM (rid, part, pcm), read back: bytes and sum of squares of all samples."""
+def media_facts(parts: DataFrame) -> DataFrame:
+    """One row per row of the stored media: its facts, and of the PCM read back pcm_bytes and pcm_energy (bytes and sum of squares of all samples).
+
+    Only audio of several parts is shuffled, without the samples.
+    """
+    facts = [c.split()[0] for c in _FACTS.split(", ")]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "pcm"):
                 found = [np.frombuffer(read_wav(m.as_buffer())[3], "<i2") for m in batch.column("pcm")]
-                yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array([x.nbytes for x in found], pa.int64()), pa.array([_energy(x) for x in found], pa.int64())], names=["rid", "bytes", "energy"])
+                new = [pa.array([x.nbytes for x in found], pa.int64()), pa.array([_energy(x) for x in found], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "parts", *facts)), *new], names=["rid", "parts", *facts, "pcm_bytes", "pcm_energy"])
+
+    def each(some: DataFrame) -> DataFrame:
+        return some.select("rid", "parts", "pcm", *facts).mapInArrow(describe, f"rid long, parts int, {_FACTS}, pcm_bytes long, pcm_energy long")
 
-    each = parts.select("rid", "pcm").mapInArrow(describe, "rid long, bytes long, energy long")
-    return each.groupBy("rid").agg(F.sum("bytes").alias("pcm_bytes"), F.sum("energy").alias("pcm_energy"))
+    whole = each(parts.where("parts = 1")).select(*facts, "pcm_bytes", "pcm_energy")
+    long = each(parts.where("parts > 1")).groupBy("rid").agg(*(F.first(c, ignorenulls=True).alias(c) for c in facts), F.sum("pcm_bytes").alias("pcm_bytes"), F.sum("pcm_energy").alias("pcm_energy"))
+    return whole.unionByName(long.drop("rid"))
 
 
 def op2_telephony(spark, sf_dir: str) -> DataFrame:
-    stored = store_text(table(spark, sf_dir, "documents"))
-    return media_features(stored).join(pcm_features(store_pcm(stored)), "rid").drop("rid")
+    return media_facts(store_pcm(store_text(table(spark, sf_dir, "documents"))))
