@@ -11,7 +11,7 @@ ENTRY = "path string, kind string, bytes long, executable boolean, symlink_targe
 
 
 def _live(spark):
-    rows = [("data", "directory", None, None, None), ("data/app.sqlite", "regular_file", 16, False, None), ("data/table.csv", "regular_file", 8, False, None), ("database.md", "regular_file", 20, False, None), ("notes.md", "regular_file", 9, False, None)]
+    rows = [("oak", "directory", None, None, None), ("oak/bark.bin", "regular_file", 310, False, None), ("oak/leaf.txt", "regular_file", 70, False, None), ("oakum.txt", "regular_file", 400, False, None), ("pine.txt", "regular_file", 95, False, None)]
     return query.live_rows(spark.createDataFrame(rows, ENTRY))
 
 
@@ -21,13 +21,13 @@ def _paths(df):
 
 def test_filter_algebra(spark):
     rows = _live(spark)
-    request = query.Request(paths=("data/app.sqlite", "database.md"), path_prefixes=("data",), kinds=("regular_file",), lifecycles=("live",), minimum_bytes=10, maximum_bytes=20)
-    assert _paths(query.filtered(rows, request)) == ["data/app.sqlite"]
-    assert sorted(_paths(query.filtered(rows, query.Request(path_prefixes=("data",))))) == ["data", "data/app.sqlite", "data/table.csv"]
+    request = query.Request(paths=("oak/bark.bin", "oakum.txt"), path_prefixes=("oak",), kinds=("regular_file",), lifecycles=("live",), minimum_bytes=100, maximum_bytes=400)
+    assert _paths(query.filtered(rows, request)) == ["oak/bark.bin"]
+    assert sorted(_paths(query.filtered(rows, query.Request(path_prefixes=("oak",))))) == ["oak", "oak/bark.bin", "oak/leaf.txt"]
     assert query.filtered(rows, query.Request(lifecycles=("deleted",))).count() == 0
 
 
-@pytest.mark.parametrize("bad", [{"limit": 0}, {"limit": 1001}, {"kinds": ("table",)}, {"minimum_bytes": -1}, {"minimum_bytes": 9, "maximum_bytes": 3}, {"path_prefixes": ("../outside",)}, {"paths": ("Notes.md", "notes.md")}])
+@pytest.mark.parametrize("bad", [{"limit": 0}, {"limit": 1001}, {"kinds": ("table",)}, {"minimum_bytes": -1}, {"minimum_bytes": 9, "maximum_bytes": 3}, {"path_prefixes": ("../outside",)}, {"paths": ("Pine.txt", "pine.txt")}, {"paths": ("con",)}, {"paths": ("a\x1f",)}, {"object_ids": ("obj_1",)}])
 def test_request_bounds(bad):
     with pytest.raises(query.QueryError):
         query.normalized(query.Request(**bad))
@@ -106,12 +106,14 @@ def test_grants(spark):
 
 def test_chunks_cover_objects_and_paths(spark):
     data = bytes(hashlib.sha256(str(i).encode()).digest()[0] for i in range(5000))
-    ends = chunking.cuts(data, 64, 256, 512)
+    ends, none = chunking.cuts([data, b""], 64, 256, 512)
+    many = [data[i:] for i in range(40)] + [b"", b"x"]
+    assert chunking.cuts(many, 64, 256, 512) == [chunking.cuts([x], 64, 256, 512)[0] for x in many]
     sizes = [b - a for a, b in zip([0, *ends], ends)]
-    assert ends[-1] == 5000 and max(sizes) <= 512 and min(sizes[:-1]) >= 64 and chunking.cuts(b"", 1, 2, 4) == []
-    cases = [("a/b", True), ("a//b", False), ("/a", False), ("a/../b", False), ("con", False), ("com1.txt", False), ("x.", False), ("é/ü", True), ("", False), ("a:b", False)]
+    assert ends[-1] == 5000 and max(sizes) <= 512 and min(sizes[:-1]) >= 64 and none == []
+    cases = [("a/b", True), ("a//b", False), ("/a", False), ("a/../b", False), ("con", False), ("com1.txt", False), ("x.", False), ("é/ü", True), ("", False), ("a:b", False), ("a\x7fb", True), ("a\n", False), ("COM¹.x", False), ("cone", True), ("a/nul ", False), (".TREELINE/x", False)]
     df = spark.createDataFrame(cases, "path string, want boolean")
-    assert df.where(paths.path_valid(F.col("path")) != F.col("want")).collect() == []
+    assert df.where(paths.path_valid(F.col("path")) != F.col("want")).collect() == [] and [paths.portable(p) for p, _ in cases] == [w for _, w in cases]
     links = spark.createDataFrame([("a/l", "../b", True), ("a/l", "../../b", False), ("l", "./x", True), ("l", "/x", False)], "l string, t string, want boolean")
     assert links.where(paths.symlink_valid(F.col("l"), F.col("t")) != F.col("want")).collect() == []
     versions = spark.createDataFrame([("plan v2.docx", True), ("x().txt", True), ("finalist.txt", False), ("copy3.md", True)], "path string, want boolean")
@@ -122,3 +124,54 @@ def test_queries_and_sql_agree_on_names():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and reduce(lambda a, b: a and b, map(str.islower, map(str, entry.oracle_sql())))
+
+
+def test_values_end_where_they_end(spark):
+    uuid = "019f0000-0000-7000-8000-000000000001"
+    cases = [(f"obj_{uuid}", "a" * 64, "2024-02-29T12:00:00Z", True), (f"obj_{uuid}\n", "a" * 64 + "\n", "2024-02-29T12:00:00Z\n", False), (f"\nobj_{uuid}", "\n" + "a" * 64, "\n2024-02-29T12:00:00Z", False)]
+    df = spark.createDataFrame(cases, "id string, sha string, at string, want boolean")
+    for test in (paths.id_valid(F.col("id"), "obj"), paths.sha256_valid(F.col("sha")), paths.timestamp_valid(F.col("at"))):
+        assert df.where(test != F.col("want")).collect() == []
+
+
+def test_publications_are_one_sequence(spark):
+    rows = [(i, "ab"[i % 2], f"l{i % 3}", "r") for i in range(40)]
+    got = sync.published(spark.createDataFrame(rows, "arrival long, path string, local_digest string, remote_digest string").repartition(5), 10).collect()
+    assert {r.arrival: r.publication for r in got} == {i: i + 11 for i in range(40)}
+    conflicts = spark.createDataFrame(rows, "arrival long, path string, local_digest string, remote_digest string")
+    kept = sync.report_order(sync.distinct_conflicts(conflicts)).collect()
+    assert [(r.path, r.local_digest, r.arrival) for r in kept] == [("a", "l0", 0), ("a", "l1", 4), ("a", "l2", 2), ("b", "l0", 3), ("b", "l1", 1), ("b", "l2", 5)]
+
+
+def test_templates_fill_in_one_pass(spark):
+    from treeline.operators import closure
+
+    texts = spark.createDataFrame([("a ${x} and ${y}!",), ("${z}",), ("plain",), ("${x",), ("${x}${x}",)], "t string")
+    got = [r[0] for r in texts.select(closure.rendered(F.col("t"), {"x": "${y}", "y": "Y"})).collect()]
+    assert got == ["a ${y} and Y!", None, "plain", None, "${y}${y}"]
+
+
+def test_refused_charges_leave_the_ledger(spark):
+    rows = [("a", 1, 6, 1), ("a", 2, 6, 1), ("a", 3, 4, 1), ("a", 4, 1, 1), ("b", 1, 0, 9), ("b", 2, 10, 1), ("b", 3, 1, 0)]
+    got = access.budget_charges(spark.createDataFrame(rows, "ledger string, at int, tokens long, cost long"), {"tokens": 10, "cost": 8}).collect()
+    assert {(r.ledger, r.at): r.accepted for r in got} == {("a", 1): True, ("a", 2): False, ("a", 3): True, ("a", 4): False, ("b", 1): False, ("b", 2): True, ("b", 3): False}
+
+
+def test_order_over_ranges(spark):
+    from treeline.operators import checks
+
+    rows = [(i, f"k{i:04d}") for i in range(500)]
+    frame = lambda r: spark.createDataFrame(r, "at int, key string").repartition(6)
+    assert checks.out_of_order(frame(rows), "key", "at").count() == 0
+    rows[250], rows[251] = (250, rows[251][1]), (251, rows[250][1])
+    rows[400] = (400, rows[399][1])
+    assert sorted(r.at for r in checks.out_of_order(frame(rows), "key", "at").collect()) == [251, 400]
+
+
+def test_manifest_changes_and_roots(spark):
+    facts = "object_version_id string, content_sha256 string, bytes long"
+    sides = [{"bindings": spark.createDataFrame([], "path string, object_id string, kind string, object_version_id string, content_sha256 string"), "manifest": spark.createDataFrame([(v, v, 1)], facts), "root_id": "r"} for v in ("v1", "v1", "v2")]
+    assert diff.diff(sides[0], sides[1]).count() == 0
+    assert [(r.change_type, r.previous_object_version_id, r.object_version_id, r.rank) for r in diff.diff(sides[0], sides[2]).collect()] == [("manifest_updated", "v1", "v2", 0)]
+    with pytest.raises(ValueError):
+        diff.diff(sides[0], sides[2] | {"root_id": "other"})

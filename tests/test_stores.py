@@ -72,7 +72,7 @@ def test_folder_scan(spark, tmp_path, splits):
         "a": ("directory", *none, None), "a/b": ("directory", *none, None), "a/b/one.txt": ("regular_file", 5, False, None, None),
         "a/two.tmp": (None, *none, "capture-ignore-policy"), "build": (None, *none, "capture-ignore-policy"),
         "nest": ("nested_root", *none, "nested-boundary"), "top.md": ("regular_file", 5, True, None, None),
-        "link": ("symlink", None, None, "top.md", None), "pipe": ("special", *none, "unsupported"),
+        "link": ("symlink", None, None, "top.md", None), "pipe": ("fifo", *none, "unsupported"),
         "hard1": ("hard_link", *none, "unsupported"), "hard2": ("hard_link", *none, "unsupported"),
     }
 

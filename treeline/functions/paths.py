@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..model import MAX_COMPONENT_BYTES, MAX_DEPTH, MAX_PATH_BYTES
@@ -9,7 +11,27 @@ from ..model import MAX_COMPONENT_BYTES, MAX_DEPTH, MAX_PATH_BYTES
 #: Name of the protocol's own directory.
 STATE_DIRECTORY = ".treeline"
 _UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}"
-_DEVICE = r"(?i)^(con|prn|aux|nul|com[1-9¹²³]|lpt[1-9¹²³])(\..*)?$"
+# Device names, characters and endings that the portable form refuses.
+_DEVICE = r"(?i)\A(con|prn|aux|nul|com[1-9¹²³]|lpt[1-9¹²³])(\.|\z)"
+_REFUSED = r'[\x00-\x1f<>:"|?*]'
+_ENDINGS = r"[. ]\z"
+_DRIVE = r"\A[A-Za-z]:"
+
+
+_BAD_COMPONENT = re.compile("|".join((_REFUSED, _ENDINGS, _DEVICE.removeprefix("(?i)"))).replace(r"\z", r"\Z"), re.IGNORECASE)
+
+
+def portable(path: str) -> bool:
+    """path_valid() of one path, on the driver."""
+    parts = path.split("/")
+    whole = path and len(path.encode()) <= MAX_PATH_BYTES and len(parts) <= MAX_DEPTH and "\\" not in path and not re.search(_DRIVE, path)
+    plain = lambda c: c not in ("", ".", "..") and len(c.encode()) <= MAX_COMPONENT_BYTES and c.lower() != STATE_DIRECTORY
+    return bool(whole) and all(plain(c) and not _BAD_COMPONENT.search(c) for c in parts)
+
+
+def identifier(value: str, prefix: str) -> bool:
+    """id_valid() of one value, on the driver."""
+    return re.fullmatch(f"{prefix}_{_UUID}", value) is not None
 
 
 def at_or_below(path, root):
@@ -36,13 +58,13 @@ def component_valid(c):
     """A portable path component: no reserved names, characters or endings."""
     return (
         (c != "") & (c != ".") & (c != "..") & (F.octet_length(c) <= MAX_COMPONENT_BYTES)
-        & ~c.rlike(r"[. ]$") & ~c.rlike(r'[\x00-\x1f\x7f<>:"|?*]') & (F.lower(c) != STATE_DIRECTORY) & ~c.rlike(_DEVICE)
+        & ~c.rlike(_ENDINGS) & ~c.rlike(_REFUSED) & (F.lower(c) != STATE_DIRECTORY) & ~c.rlike(_DEVICE)
     )
 
 
 def path_valid(path):
     """A portable relative path."""
-    whole = (path != "") & (F.octet_length(path) <= MAX_PATH_BYTES) & ~path.startswith("/") & ~path.endswith("/") & ~path.contains("\\") & ~path.contains("\0") & ~path.rlike("^[A-Za-z]:")
+    whole = (path != "") & (F.octet_length(path) <= MAX_PATH_BYTES) & ~path.startswith("/") & ~path.endswith("/") & ~path.contains("\\") & ~path.contains("\0") & ~path.rlike(_DRIVE)
     parts = F.split(path, "/")
     return whole & (F.size(parts) <= MAX_DEPTH) & F.forall(parts, component_valid)
 
@@ -60,29 +82,29 @@ def symlink_resolved(link, target):
 
 
 def symlink_valid(link, target):
-    """A portable target that stays inside the root and outside the protocol's directory."""
-    shape = (target != "") & (F.octet_length(target) <= MAX_PATH_BYTES) & ~target.startswith("/") & ~target.endswith("/") & ~target.contains("\\") & ~target.contains("\0") & ~target.contains("//") & ~target.rlike("^[A-Za-z]:")
+    """A portable target that stays inside the root and outside the protocol's directory; nested roots are looked up by checks.symlinks_into()."""
+    shape = (target != "") & (F.octet_length(target) <= MAX_PATH_BYTES) & ~target.startswith("/") & ~target.endswith("/") & ~target.contains("\\") & ~target.contains("\0") & ~target.contains("//") & ~target.rlike(_DRIVE)
     parts = F.forall(F.split(target, "/"), lambda c: c.isin(".", "..") | component_valid(c))
     to = symlink_resolved(link, target)
     return F.coalesce(shape & parts & ((to == "") | path_valid(to)), F.lit(False))
 
 
 def id_valid(value, prefix: str):
-    return value.rlike(f"^{prefix}_{_UUID}$")
+    return value.rlike(rf"\A{prefix}_{_UUID}\z")
 
 
 def sha256_valid(value):
-    return value.rlike("^[0-9a-f]{64}$")
+    return value.rlike(r"\A[0-9a-f]{64}\z")
 
 
 def timestamp_valid(value):
     """A canonical UTC time in whole seconds."""
-    shape = value.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z$")
+    shape = value.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z\z")
     parsed = F.try_to_timestamp(F.when(shape, value), F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))
     return F.coalesce(F.date_format(parsed, "yyyy-MM-dd'T'HH:mm:ss'Z'") == value, F.lit(False))
 
 
 def semver(value):
     """Struct (major, minor, patch) of a plain semantic version, comparable; null if it has another shape."""
-    part = lambda i: F.regexp_extract(value, r"^(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)$", i)
+    part = lambda i: F.regexp_extract(value, r"\A(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\z", i)
     return F.when(part(1) != "", F.struct(*(part(i).cast("long").alias(n) for i, n in ((1, "major"), (2, "minor"), (3, "patch")))))

@@ -8,7 +8,9 @@ DIRECTORY, FILE, SYMLINK, NESTED = "directory", "regular_file", "symlink", "nest
 LIFECYCLE_RANK = {LIVE: 0, DELETED: 1}
 KIND_RANK = {DIRECTORY: 0, FILE: 1, SYMLINK: 2, NESTED: 3}
 SOURCE_RANK = {"capture_plan": 0, "version": 1}
-NESTED_REASON, IGNORED_REASON = "nested-boundary", "capture-ignore-policy"
+NESTED_REASON, IGNORED_REASON, UNSUPPORTED_REASON = "nested-boundary", "capture-ignore-policy", "unsupported"
+#: Kinds of what a version leaves out, with the reason that each must have.
+EXCLUSION_REASONS = {NESTED: NESTED_REASON} | dict.fromkeys(("hard_link", "fifo", "socket", "block_device", "character_device", "special"), UNSUPPORTED_REASON)
 
 MAX_PAGE, MAX_EXCLUSIONS, MAX_VALUES = 1000, 1000, 256
 MAX_ENTRIES = 16_384

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import ancestors, at_or_below
 from ..functions.unicode import folded
 from ..model import DIRECTORY, FILE, SYMLINK
+from ..plans.staging import staged
 
 _CONTENT = ("kind", "content_sha256", "bytes", "executable", "target")
 _STATE = ("path", *_CONTENT)
@@ -70,6 +71,7 @@ def conflicts(changes: DataFrame, current: DataFrame, boundaries: DataFrame) ->
 
     boundaries (path): nested roots. Paths that collide only in case are aliases; of several the first by path is named.
     """
+    changes = staged(changes)
     d = changes.select("object_id", "before", "after", F.col("before.path").alias("bp"), F.col("after.path").alias("ap"))
     touched = d.select("object_id", F.explode(F.array("bp", "ap")).alias("path"), F.expr("0").alias("_")).where("path is not null")
     nested = below_boundary(touched, boundaries, keep=True).groupBy("object_id").agg(F.collect_set("path").alias("nested"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import unicode
-from ..model import MAX_ENTRIES, NESTED
+from ..model import EXCLUSION_REASONS, MAX_ENTRIES, MAX_OBJECT_BYTES, NESTED
+from ..plans.staging import ranged, staged
 from .change_set import below_boundary
 
 
@@ -34,9 +35,20 @@ def owners(bindings: DataFrame, tombstones: DataFrame) -> DataFrame:
 
 
 def out_of_order(rows: DataFrame, key: str, position: str, partition: str | None = None) -> DataFrame:
-    """Rows that don't strictly exceed the one before; a partition column spreads the work of many relations."""
-    w = (Window.partitionBy(partition) if partition else Window.partitionBy(F.lit(0))).orderBy(position)
-    return rows.withColumn("_p", F.lag(key).over(w)).where(F.col(key) <= F.col("_p")).drop("_p")
+    """Rows whose key doesn't exceed that of the row before, by position; with `partition`, of each of many relations.
+
+    One long relation is dealt out in ranges of positions; each range is compared within, and its first row with the last
+    one of the ranges before, a row for each range.
+    """
+    if partition:
+        w = Window.partitionBy(partition).orderBy(position)
+        return rows.withColumn("_p", F.lag(key).over(w)).where(F.col(key) <= F.col("_p")).drop("_p")
+    parts = ranged(rows.where(F.col(key).isNotNull()), position)
+    ends = parts.groupBy("_part").agg(F.max_by(key, "_at").alias("_end"))
+    border = ends.select("_part", F.lag("_end").over(Window.orderBy("_part")).alias("_border"))
+    w = Window.partitionBy("_part").orderBy("_at")
+    near = parts.join(F.broadcast(border), "_part").withColumn("_p", F.coalesce(F.lag(key).over(w), "_border"))
+    return near.where(F.col(key) <= F.col("_p")).select(*rows.columns)
 
 
 def overlaps(boundaries: DataFrame) -> DataFrame:
@@ -45,22 +57,55 @@ def overlaps(boundaries: DataFrame) -> DataFrame:
     return up.join(boundaries.select(F.col("path").alias("_up")), "_up", "left_semi").select("path").distinct()
 
 
+def symlinks_into(links: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """Links (path, target) that lead to or below a nested root (path), by folded paths."""
+    to = links.where(P.symlink_valid(F.col("path"), F.col("target"))).select(F.col("path").alias("_link"), unicode.folded(P.symlink_resolved(F.col("path"), F.col("target"))).alias("path"))
+    hit = below_boundary(to.where("path <> ''"), boundaries.select(unicode.folded(F.col("path")).alias("path")), keep=True)
+    return links.join(hit.select(F.col("_link").alias("path")).distinct(), "path", "left_semi")
+
+
 def version_findings(bindings: DataFrame, tombstones: DataFrame, exclusions: DataFrame) -> DataFrame:
-    """All findings (severity, code, path) of one version: paths, ids, digests, uniqueness, pairing, containment, links, size."""
-    every = bindings.select("path").unionByName(tombstones.select("path")).unionByName(exclusions.select("path"))
-    out = [
-        finding(every.distinct().where(~P.path_valid(F.col("path"))), "path_not_portable"),
-        finding(bindings.where(~P.id_valid(F.col("object_id"), "obj")), "object_id_invalid"),
-        finding(bindings.where("kind = 'regular_file'").where(~F.coalesce(P.sha256_valid(F.col("content_sha256")), F.lit(False))), "digest_invalid"),
+    """All findings (severity, code, path) of one version: paths, ids, digests, sizes, uniqueness, pairing, containment, links, count.
+
+    The three relations are read once, in one relation of paths with flags for what a row shows by itself; the rest are
+    joins and groups over it.
+    """
+    facts = ["kind", "object_id", "object_version_id", "content_sha256", "bytes", "target", "reason"]
+    none = lambda names: [F.lit(None).cast("long" if n == "bytes" else "string").alias(n) for n in names]
+    b = bindings.select(F.lit("b").alias("of"), "path", *facts[:6], *none(["reason"]))
+    t = tombstones.select(F.lit("t").alias("of"), "path", F.col("deleted_kind").alias("kind"), "object_id", F.col("last_object_version_id").alias("object_version_id"), *none(facts[3:]))
+    x = exclusions.select(F.lit("x").alias("of"), "path", "kind", *none(facts[1:6]), "reason")
+    every = staged(b.unionByName(t).unionByName(x))
+    of = lambda side: every.where(F.col("of") == side)
+    path, kind, file = F.col("path"), F.col("kind"), F.col("kind") == "regular_file"
+    bound, gone, version = F.col("of") == "b", F.col("of") == "t", F.col("object_version_id")
+    paired = F.lit(False)
+    for name, reason in EXCLUSION_REASONS.items():
+        paired = paired | ((kind == name) & (F.col("reason") == reason))
+    alone = [
+        ("path_not_portable", ~P.path_valid(path)),
+        ("object_id_invalid", (bound | gone) & ~P.id_valid(F.col("object_id"), "obj")),
+        ("object_version_id_invalid", ((bound & (kind != "directory")) | (gone & version.isNotNull())) & ~F.coalesce(P.id_valid(version, "version"), F.lit(False))),
+        ("digest_invalid", bound & file & ~F.coalesce(P.sha256_valid(F.col("content_sha256")), F.lit(False))),
+        ("object_too_large", bound & file & (F.col("bytes") > MAX_OBJECT_BYTES)),
+        ("tombstone_version_pairing", gone & ((kind == "directory") != version.isNull())),
+        ("exclusion_pairing", (F.col("of") == "x") & ~F.coalesce(paired, F.lit(False))),
+        ("symlink_unsafe", bound & (kind == "symlink") & ~P.symlink_valid(path, F.col("target"))),
+    ]
+    codes = F.filter(F.array(*(F.when(test, F.lit(code)) for code, test in alone)), lambda c: c.isNotNull())
+    out = [every.select(F.lit("error").alias("severity"), F.explode(codes).alias("code"), "path").distinct()]
+    nested = of("x").where(kind == NESTED).select("path")
+    inside = below_boundary(every.where(~((F.col("of") == "x") & (kind == NESTED))).select("path").distinct(), nested, keep=True)
+    dead = of("t").select("path", "object_id")
+    out += [
         finding(collisions(every), "path_collision", "key"),
-        finding(repeated(bindings, "object_id"), "object_bound_twice"),
-        finding(owners(bindings, tombstones), "version_owner_collision", "object_version_id"),
-        finding(tombstones.join(bindings.select("path", "object_id"), ["path", "object_id"], "left_semi"), "same_object_recreated"),
-        finding(tombstones.join(exclusions.select("path"), "path", "left_semi"), "tombstone_on_exclusion"),
-        finding(tombstones.where("(deleted_kind = 'directory') <> (last_object_version_id is null)"), "tombstone_version_pairing"),
-        finding(below_boundary(bindings, exclusions.where(F.col("kind") == NESTED), keep=True), "below_nested_boundary"),
-        finding(overlaps(exclusions.where(F.col("kind") == NESTED)), "boundary_overlap"),
-        finding(bindings.where("kind = 'symlink'").where(~P.symlink_valid(F.col("path"), F.col("target"))), "symlink_unsafe"),
+        finding(repeated(of("b"), "object_id"), "object_bound_twice"),
+        finding(owners(of("b"), of("t").withColumn("last_object_version_id", version)), "version_owner_collision", "object_version_id"),
+        finding(dead.join(of("b").select("path", "object_id"), ["path", "object_id"], "left_semi"), "same_object_recreated"),
+        finding(dead.join(of("x").select("path"), "path", "left_semi"), "tombstone_on_exclusion"),
+        finding(inside, "below_nested_boundary"),
+        finding(overlaps(nested), "boundary_overlap"),
+        finding(symlinks_into(of("b").where(kind == "symlink").select("path", "target"), nested), "symlink_into_nested_root"),
     ]
     n = every.agg(F.count("*").alias("n")).where(F.col("n") > MAX_ENTRIES).select(F.lit("").alias("path"))
     return reduce(DataFrame.unionByName, [*out, finding(n, "too_many_entries")])

@@ -48,8 +48,14 @@ def expansion(artifacts: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def rendered(template, answers: dict[str, str]):
-    """A template column with each ${id} replaced; a placeholder that no answer fills makes the result null."""
-    out = template
-    for name, value in sorted(answers.items()):
-        out = F.replace(out, F.lit("${" + name + "}"), F.lit(value))
-    return F.when(~out.contains("${"), out)
+    """A template column with each ${id} replaced in one pass, so that an answer's own text is left alone; a placeholder that no answer fills makes the result null."""
+    open_ = r"\$\{"
+    known = F.create_map(*[F.lit(x) for pair in sorted(answers.items()) for x in pair]) if answers else F.create_map().cast("map<string,string>")
+    pieces = F.split(template, open_, -1)
+
+    def filled(piece):
+        value = F.element_at(known, F.substring_index(piece, "}", 1))
+        return F.when(piece.contains("}"), F.concat(value, F.substring(piece, F.length(F.substring_index(piece, "}", 1)) + 2, F.length(piece))))
+
+    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), filled)
+    return F.when(F.forall(rest, lambda p: p.isNotNull()), F.concat(pieces[0], F.array_join(rest, "")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import DIFF_RANK
+from ..plans.staging import staged
 
 #: A binding's state without its path and identity.
 STATE = ("kind", "object_version_id", "content_sha256", "bytes", "executable", "target")
@@ -78,9 +79,24 @@ def record_changes(old: DataFrame, new: DataFrame, keys: tuple[str, ...], facts:
     return _union(parts)
 
 
+def manifest_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """`manifest_updated` if the one row of each side (object_version_id, content_sha256, bytes) differs, with both version ids; its path is empty."""
+    facts = ("object_version_id", "content_sha256", "bytes")
+    both = old.select(F.lit("").alias("_k"), *(F.col(c).alias(f"o_{c}") for c in facts)).join(new.select(F.lit("").alias("_k"), *(F.col(c).alias(f"n_{c}") for c in facts)), "_k")
+    return _change(both.where(_differs(both, facts)), "manifest_updated", path=F.col("_k"), previous_object_version_id=F.col("o_object_version_id"), object_version_id=F.col("n_object_version_id"))
+
+
 def diff(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> DataFrame:
-    """All changes between two versions, each a dict of `bindings`, `tombstones` and `exclusions`, with `rank`, the place of each type in the order."""
+    """All changes between two versions, each a dict of `bindings`, `tombstones`, `exclusions`, `manifest` and `root_id`, as far as there are any, with `rank`, the place of each type in the order.
+
+    Versions of different roots have no difference: an error.
+    """
+    if old.get("root_id") != new.get("root_id"):
+        raise ValueError("the versions are of different roots")
+    old, new = ({k: staged(x) if isinstance(x, DataFrame) else x for k, x in v.items()} for v in (old, new))
     parts = [binding_changes(old["bindings"], new["bindings"], new.get("tombstones"))]
+    if "manifest" in old:
+        parts.append(manifest_changes(old["manifest"], new["manifest"]))
     if "tombstones" in old:
         parts.append(record_changes(old["tombstones"], new["tombstones"], ("path", "object_id"), ("deleted_kind", "last_object_version_id"), "tombstone"))
     if "exclusions" in old:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .. import model as M
 from ..functions import paths as P
 
-#: Prefixes up to this many become a condition; more become a join on exploded ancestors.
+#: Prefixes up to this many become one comparison each; more are looked up among a path's ancestors.
 PREFIX_LIMIT = 16
 
 
@@ -46,15 +46,9 @@ class Request:
     scope: dict = field(default_factory=lambda: {"kind": "live"})
 
 
-def _portable(path: str) -> bool:
-    parts = path.split("/")
-    bad = not path or len(path.encode()) > M.MAX_PATH_BYTES or "\\" in path or "\0" in path or path[1:2] == ":" and path[0].isascii() and path[0].isalpha() or len(parts) > M.MAX_DEPTH
-    return not bad and all(c not in ("", ".", "..") and len(c.encode()) <= M.MAX_COMPONENT_BYTES and c[-1] not in ". " and not set(c) & set('<>:"|?*') and all(ord(x) >= 32 for x in c) and c.lower() != P.STATE_DIRECTORY for c in parts)
-
-
 def _normal_paths(values) -> tuple[str, ...]:
     values = tuple(sorted(set(values), key=lambda x: x.encode()))
-    if len(values) > M.MAX_VALUES or not all(map(_portable, values)):
+    if len(values) > M.MAX_VALUES or not all(map(P.portable, values)):
         raise QueryError("invalid_query_request", "a path is not portable, or there are too many")
     for key in (lambda x: unicodedata.normalize("NFC", x), lambda x: unicodedata.normalize("NFC", unicodedata.normalize("NFC", x).casefold())):
         if len({key(v) for v in values}) < len(values):
@@ -75,8 +69,9 @@ def normalized(request: Request) -> Request:
     if request.maximum_bytes is not None and (request.minimum_bytes or 0) > request.maximum_bytes:
         raise QueryError("invalid_query_request", "byte bounds are reversed")
     ids = [tuple(sorted(set(v))) for v in (request.object_ids, request.object_version_ids)]
-    if any(len(v) > M.MAX_VALUES for v in ids):
-        raise QueryError("invalid_query_request", "too many ids")
+    for values, prefix in zip(ids, ("obj", "version"), strict=True):
+        if len(values) > M.MAX_VALUES or not all(P.identifier(v, prefix) for v in values):
+            raise QueryError("invalid_query_request", "an id is malformed, or there are too many")
     return replace(request, paths=_normal_paths(request.paths), path_prefixes=_normal_paths(request.path_prefixes), kinds=kinds, lifecycles=lifecycles, object_ids=ids[0], object_version_ids=ids[1])
 
 

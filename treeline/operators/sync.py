@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import numbered
+
 
 def reconciled(local: DataFrame, remote: DataFrame) -> DataFrame:
     """(path, action, classification): local (path, digest, kind, base_digest) against canonical (path, digest, kind).
@@ -30,6 +32,16 @@ def applied_events(events: DataFrame) -> DataFrame:
 
 
 def published(changes: DataFrame, start: int = 0) -> DataFrame:
-    """Canonical publications of each path numbered in arrival order from `start` + 1; of repeated conflicts (path, local, remote digest) one is kept."""
-    order = Window.partitionBy("path").orderBy("arrival")
-    return changes.dropDuplicates(["path", "local_digest", "remote_digest"]).withColumn("publication", F.row_number().over(order) + start)
+    """`changes` (arrival, ...) with `publication`: one sequence over all paths, in arrival order, from `start` + 1. Rows of equal arrival have no order of their own."""
+    return numbered(changes, "arrival", "publication", start)
+
+
+def distinct_conflicts(conflicts: DataFrame) -> DataFrame:
+    """One row of conflicts (path, local_digest, remote_digest, arrival) that repeat the same path and digests: the first."""
+    key = ["path", "local_digest", "remote_digest"]
+    first = F.min(F.struct("arrival", *[c for c in conflicts.columns if c not in (*key, "arrival")])).alias("_f")
+    return conflicts.groupBy(*key).agg(first).select(*key, "_f.*").select(*conflicts.columns)
+
+
+def report_order(conflicts: DataFrame) -> DataFrame:
+    return conflicts.orderBy("path", "local_digest")

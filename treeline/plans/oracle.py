@@ -16,7 +16,7 @@ nb AS (SELECT doc_id, CASE WHEN doc_id % 13 = 1 THEN 'moved/' || path ELSE path
   CASE WHEN doc_id % 19 = 3 THEN {OBJ9} ELSE object_id END AS object_id, CASE WHEN doc_id % 17 = 2 OR doc_id % 19 = 3 THEN {VER9} ELSE object_version_id END AS object_version_id FROM f WHERE doc_id % 11 <> 0),
 ot AS (SELECT 'old/' || path AS path, {OBJF} AS object_id, 'regular_file' AS deleted_kind, {VERF} AS last_object_version_id FROM f WHERE doc_id % 29 = 5),
 nt AS (SELECT * FROM ot WHERE right(object_id, 1) <> '5' UNION ALL SELECT path, object_id, kind, object_version_id FROM ob WHERE object_id NOT IN (SELECT object_id FROM nb)),
-x AS (SELECT doc_id, 'ext/' || source || '/x' || doc_id AS path, CASE WHEN doc_id % 2 = 0 THEN 'nested_root' ELSE 'hard_link' END AS kind, CASE WHEN doc_id % 2 = 0 THEN 'nested-boundary' ELSE 'hard-link' END AS reason FROM documents),
+x AS (SELECT doc_id, 'ext/' || source || '/x' || doc_id AS path, CASE WHEN doc_id % 2 = 0 THEN 'nested_root' ELSE 'hard_link' END AS kind, CASE WHEN doc_id % 2 = 0 THEN 'nested-boundary' ELSE 'unsupported' END AS reason FROM documents),
 ox AS (SELECT path, kind, reason FROM x WHERE doc_id % 31 = 6),
 nx AS (SELECT path, kind, reason FROM x WHERE doc_id % 31 = 6 AND path NOT LIKE '%7' UNION ALL SELECT path, kind, reason FROM x WHERE doc_id % 31 = 9)"""
 EDITED = "((o.kind, o.object_version_id, o.content_sha256, o.bytes, o.executable) IS DISTINCT FROM (n.kind, n.object_version_id, n.content_sha256, n.bytes, n.executable))"

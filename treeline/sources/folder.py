@@ -15,6 +15,7 @@ from ..functions.ignore import compiled
 from ..functions.paths import STATE_DIRECTORY
 
 FORMAT = "folder_tree"
+_SPECIAL = ((stat.S_ISFIFO, "fifo"), (stat.S_ISSOCK, "socket"), (stat.S_ISBLK, "block_device"), (stat.S_ISCHR, "character_device"))
 #: Directories that a scan is split into, about, so that one large directory isn't one task.
 SPLITS = 64
 
@@ -73,9 +74,10 @@ class FolderReader(DataSourceReader):
             elif stat.S_ISLNK(facts.st_mode):
                 yield path, M.SYMLINK, None, None, os.readlink(full), None
             elif not stat.S_ISREG(facts.st_mode):
-                yield path, "special", None, None, None, "unsupported"
+                kind = next((k for test, k in _SPECIAL if test(facts.st_mode)), "special")
+                yield path, kind, None, None, None, M.UNSUPPORTED_REASON
             elif facts.st_nlink > 1:
-                yield path, "hard_link", None, None, None, "unsupported"
+                yield path, "hard_link", None, None, None, M.UNSUPPORTED_REASON
             else:
                 yield path, M.FILE, facts.st_size, bool(facts.st_mode & 0o111), None, None
 

@@ -39,7 +39,7 @@ def exclusions(spark, sf_dir, residue: int) -> DataFrame:
     d = table(spark, sf_dir, "documents").where(F.col("doc_id") % 31 == residue)
     path = F.concat(F.lit("ext/"), "source", F.lit("/x"), F.col("doc_id").cast("string"))
     nested = F.col("doc_id") % 2 == 0
-    return d.select(path.alias("path"), F.when(nested, M.NESTED).otherwise("hard_link").alias("kind"), F.when(nested, M.NESTED_REASON).otherwise("hard-link").alias("reason"))
+    return d.select(path.alias("path"), F.when(nested, M.NESTED).otherwise("hard_link").alias("kind"), F.when(nested, M.NESTED_REASON).otherwise(M.UNSUPPORTED_REASON).alias("reason"))
 
 
 def old_version(spark, sf_dir) -> dict[str, DataFrame]:

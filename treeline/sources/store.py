@@ -26,9 +26,13 @@ def install_blobs(objects: DataFrame, folder: str) -> None:
     spark = objects.sparkSession
     new = objects.where("content is not null").select(F.sha2("content", 256).alias("sha256"), "content").dropDuplicates(["sha256"])
     files, at = _file_system(spark, folder)
+    new = new.withColumn("prefix", F.concat(F.lit("x"), F.substring("sha256", 1, 2)))
     if files.exists(at):
-        new = new.join(spark.read.parquet(folder).select("sha256"), "sha256", "left_anti")
-    new.withColumn("prefix", F.concat(F.lit("x"), F.substring("sha256", 1, 2))).write.partitionBy("prefix").mode("append").parquet(folder)
+        # only the directories that the new digests fall into are read: at most 256
+        prefixes = [r["prefix"] for r in new.select("prefix").distinct().collect()]
+        held = spark.read.parquet(folder).where(F.col("prefix").isin(prefixes)).select("prefix", "sha256")
+        new = new.join(held, ["prefix", "sha256"], "left_anti")
+    new.select("sha256", "content", "prefix").write.partitionBy("prefix").mode("append").parquet(folder)
 
 
 def install_version(parts: dict[str, DataFrame], folder: str, version_id: str) -> str:

@@ -97,11 +97,21 @@ def first_deliveries(events: DataFrame, key: str = "event_id") -> DataFrame:
     return events.dropDuplicates([key])
 
 
+#: Folders that a journal is dealt out to by its keys' hashes.
+SLOTS = 256
+
+
 def append_new(batch: DataFrame, folder: str, key: str = "event_id") -> None:
-    """Append the rows of `batch` whose keys the Parquet journal in `folder` lacks; a replayed batch adds nothing. For foreachBatch."""
-    spark, new = batch.sparkSession, batch.where(F.col(key).isNotNull()).dropDuplicates([key])
+    """Append the rows of `batch` whose keys the Parquet journal in `folder` lacks; a replayed batch adds nothing. For foreachBatch.
+
+    The journal lies in SLOTS folders by the key's hash, and only the folders that the batch's keys fall into are read.
+    """
+    spark = batch.sparkSession
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")
+    new = batch.where(F.col(key).isNotNull()).dropDuplicates([key]).withColumn("_slot", slot)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        held = spark.read.schema(batch.schema).parquet(folder).select(key)
-        new = new.join(held, key, "left_anti").select(*batch.columns)
-    new.write.mode("append").parquet(folder)
+        slots = [r["_slot"] for r in new.select("_slot").distinct().collect()]  # at most SLOTS
+        held = spark.read.schema(f"{batch.schema.toDDL()}, _slot int").parquet(folder).where(F.col("_slot").isin(slots)).select("_slot", key)
+        new = new.join(held, ["_slot", key], "left_anti")
+    new.select(*batch.columns, "_slot").write.partitionBy("_slot").mode("append").parquet(folder)
