@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..model import FILE
+
 
 def closure(expected: DataFrame, supplied: DataFrame, key: str, facts: list[str]) -> DataFrame:
     """(key, problem) of every key that is missing, unexpected, supplied more than once, or differs in its facts."""
@@ -59,3 +61,8 @@ def rendered(template, answers: dict[str, str]):
 
     rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), filled)
     return F.when(F.forall(rest, lambda p: p.isNotNull()), F.concat(pieces[0], F.array_join(rest, "")))
+
+
+def file_tombstones(tombstones: DataFrame) -> DataFrame:
+    """Tombstones of files whose last version is known: what a package must hold besides live files."""
+    return tombstones.where((F.col("deleted_kind") == FILE) & F.col("last_object_version_id").isNotNull())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions import paths as P
-from ..model import DIRECTORY, FILE
+from ..model import DIRECTORY, EXCLUSION_REASONS, FILE, SYMLINK
 
 
 def summary(files: DataFrame) -> DataFrame:
@@ -52,3 +52,39 @@ def listing(entries: DataFrame) -> DataFrame:
 def plan_order(entries: DataFrame, manifest: str) -> DataFrame:
     """Directories by depth, then files by path with the manifest last."""
     return entries.orderBy(F.col("kind") != DIRECTORY, F.when(F.col("kind") == DIRECTORY, P.depth(F.col("path"))), F.col("path") == manifest, "path")
+
+
+def kind_label(column: str):
+    """A kind in words."""
+    return F.replace(F.col(column), F.lit("_"), F.lit(" "))
+
+
+def reason_of(column: str):
+    """The reason that an exclusion of a kind has; null for kinds that aren't excluded."""
+    out = F.lit(None).cast("string")
+    for kind, reason in EXCLUSION_REASONS.items():
+        out = F.when(F.col(column) == kind, reason).otherwise(out)
+    return out
+
+
+def reserved(path) -> list:
+    """Flags of a path: in the protocol's directory, in version control's (both in any case), in one that can be made again."""
+    parts = F.split(path, "/")
+    named = lambda name: F.exists(parts, lambda c: F.lower(c) == name)
+    return [named(P.STATE_DIRECTORY).alias("state"), named(".git").alias("version_control"), F.arrays_overlap(parts, F.array(*map(F.lit, C.RECONSTRUCTABLE))).alias("reconstructable")]
+
+
+def visible_hints(hints: DataFrame, private: str = f"{P.STATE_DIRECTORY}/state/private/index") -> DataFrame:
+    """Change hints (paths) without those all of whose paths lie in the engine's own index."""
+    return hints.where(~F.forall("paths", lambda p: P.at_or_below(p, F.lit(private))))
+
+
+def symlink_objects(bindings: DataFrame) -> DataFrame:
+    """Links as objects: their content is the target's text."""
+    return bindings.where(F.col("kind") == SYMLINK).withColumns({"content_sha256": F.sha2(F.col("target"), 256), "bytes": F.octet_length("target").cast("long")})
+
+
+def assignment_groups(scopes: DataFrame, most: int = 32) -> DataFrame:
+    """(root, kind, n, first, last): scopes (path) by first component and content kind (extension) where there are more than `most`; each for itself otherwise, with its path as root."""
+    root = F.substring_index("path", "/", 1) if scopes.count() > most else F.col("path")
+    return scopes.groupBy(root.alias("root"), C.extension(F.col("path")).alias("kind")).agg(F.count("*").alias("n"), F.min("path").alias("first"), F.max("path").alias("last"))
