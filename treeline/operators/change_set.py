@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import ancestors, at_or_below
+from ..functions.paths import ancestors, at_or_below, portable
 from ..functions.unicode import folded
 from ..model import DIRECTORY, FILE, SYMLINK
 from ..plans.staging import staged
@@ -121,3 +121,34 @@ def envelope_findings(changes: DataFrame, most: int = 16_384) -> DataFrame:
     ends = changes.where("after is not null").select("object_id", folded(F.col("after.path")).alias("k"))
     many = ends.groupBy("k").agg(F.count("*").alias("n"), F.min("object_id").alias("object_id")).where("n > 1").select(F.lit("final_path_collision").alias("code"), "object_id")
     return n.unionByName(empty).unionByName(same).unionByName(twice).unionByName(many)
+
+
+def checkout_findings(prefixes: list[str]) -> list[str]:
+    """What is wrong with the authorised prefixes of a checkout: `not_portable`, `not_sorted` (strictly, by bytes), `overlapping`."""
+    out = [] if all(map(portable, prefixes)) else ["not_portable"]
+    keys = [p.encode() for p in prefixes]
+    if any(a >= b for a, b in zip(keys, keys[1:], strict=False)):
+        out.append("not_sorted")
+    held = set(prefixes)
+    if any("/".join(p.split("/")[:i]) in held for p in prefixes for i in range(1, p.count("/") + 1)):
+        out.append("overlapping")
+    return out
+
+
+def checkout(bindings: DataFrame, boundaries: DataFrame, prefixes: list[str] | None) -> tuple[DataFrame, DataFrame]:
+    """The rows that a checkout of a version writes (path, object_id, state), none of them below a nested root, and its receipt: one row with the count and a digest of what was handed out, for the later change set to be compared with."""
+    if prefixes is not None and (found := checkout_findings(prefixes)):
+        raise ValueError(", ".join(found))
+    rows = below_boundary(projection(bindings, prefixes), boundaries).select("object_id", *_STATE)
+    digest = F.sha2(F.to_json(F.struct("object_id", *_STATE), {"ignoreNullFields": "false"}), 256)
+    sums = [F.coalesce(F.sum(F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string") for i in range(8)]
+    return rows, rows.agg(F.count("*").alias("entries"), F.sha2(F.concat_ws("/", *sums), 256).alias("receipt_sha256"))
+
+
+def applied_once(current: DataFrame, changes: DataFrame, conflicts_found: DataFrame, digests: DataFrame, digest: str) -> tuple[str, DataFrame]:
+    """(outcome, rows): `already_applied` for a change set whose digest is known, `conflicted` where there are conflicts (both leave rows as they were), else `applied` with the merged rows."""
+    if replay_safe(digests, digest):
+        return "already_applied", current
+    if not conflicts_found.isEmpty():
+        return "conflicted", current
+    return "applied", applied(current, changes)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import ancestors, path_valid, semver
+from ..functions.unicode import folded
 from ..model import FILE
 
 
@@ -66,3 +70,109 @@ def rendered(template, answers: dict[str, str]):
 def file_tombstones(tombstones: DataFrame) -> DataFrame:
     """Tombstones of files whose last version is known: what a package must hold besides live files."""
     return tombstones.where((F.col("deleted_kind") == FILE) & F.col("last_object_version_id").isNotNull())
+
+
+def coverage(expected: DataFrame, staged: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that only one side has, repeats included, with `side`: expected or staged. Nothing means that they are equal."""
+    e, s = expected.select(*columns), staged.select(*columns)
+    return e.exceptAll(s).withColumn("side", F.lit("expected")).unionByName(s.exceptAll(e).withColumn("side", F.lit("staged")))
+
+
+def reference_findings(bindings: DataFrame, records: DataFrame) -> DataFrame:
+    """(path, problem) of bindings (path, object_id, object_version_id, content_sha256) whose version record (object_version_id, object_id, sha256) is `missing`, of another object (`owner`) or of another content (`digest`). Directories have none."""
+    r = records.select("object_version_id", F.col("object_id").alias("_o"), F.col("sha256").alias("_s"))
+    j = bindings.where("object_version_id is not null").join(r, "object_version_id", "left")
+    problem = F.when(F.col("_o").isNull(), "missing").when(F.col("_o") != F.col("object_id"), "owner").when(F.col("_s") != F.col("content_sha256"), "digest")
+    return j.select("path", problem.alias("problem")).where("problem is not null")
+
+
+def manifest_closure(references: DataFrame, manifests: DataFrame) -> DataFrame:
+    """(manifest_sha256, problem): manifests of a package that no reference names (`unreferenced`), named ones that it lacks (`missing`), held ones that come twice (`duplicate`), and those whose object differs from the reference's (`identity`). Both sides: manifest_sha256, object_id."""
+    r = references.groupBy("manifest_sha256").agg(F.min("object_id").alias("_r"))
+    m = manifests.groupBy(F.col("manifest_sha256").alias("_m")).agg(F.count("*").alias("_n"), F.min("object_id").alias("_o"))
+    j = r.join(m, F.col("manifest_sha256") == F.col("_m"), "full_outer")
+    problem = F.when(F.col("_m").isNull(), "missing").when(F.col("manifest_sha256").isNull(), "unreferenced").when(F.col("_n") > 1, "duplicate").when(F.col("_r") != F.col("_o"), "identity")
+    return j.select(F.coalesce("manifest_sha256", "_m").alias("manifest_sha256"), problem.alias("problem")).where("problem is not null")
+
+
+def package_plan(bindings: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """What a package must hold to make a root again: live files and links, and deleted files whose version is known (object_id, object_version_id, kind, path, deleted)."""
+    live = bindings.where("kind <> 'directory'").select("object_id", "object_version_id", "kind", "path", F.lit(False).alias("deleted"))
+    dead = file_tombstones(tombstones).select("object_id", F.col("last_object_version_id").alias("object_version_id"), F.col("deleted_kind").alias("kind"), "path", F.lit(True).alias("deleted"))
+    return live.unionByName(dead)
+
+
+#: What each kind of operation needs of its paths before it runs: of `path`, and of `to`.
+REQUIREMENTS = {"create_directory": ("absent", None), "write_file": ("absent", None), "move": ("tracked", "absent"), "remove": ("tracked", None), "update": ("tracked", None)}
+
+
+def required(operations: DataFrame) -> DataFrame:
+    """(path, need) of operations (index, kind, path, to): what must be absent, tracked, or a directory (the parents of what is made), unless an operation makes that directory."""
+    needs = []
+    for kind, (of_path, of_to) in REQUIREMENTS.items():
+        mine = operations.where(F.col("kind") == kind)
+        needs.append(mine.select("path", F.lit(of_path).alias("need")))
+        if of_to:
+            needs.append(mine.select(F.col("to").alias("path"), F.lit(of_to).alias("need")))
+    made = operations.where(F.col("kind") == "create_directory").select("path")
+    new = operations.select(F.when(F.col("kind") == "move", F.col("to")).when(F.col("kind").isin("create_directory", "write_file"), F.col("path")).alias("path")).where("path like '%/%'")
+    parents = new.select(F.substring_index("path", "/", -1).alias("_n"), "path").select(F.expr("substring(path, 1, length(path) - length(_n) - 1)").alias("path")).distinct().join(made, "path", "left_anti")
+    needs.append(parents.withColumn("need", F.lit("directory")))
+    return reduce(DataFrame.unionByName, needs).distinct()
+
+
+def scope_problems(operations: DataFrame, declared: DataFrame) -> DataFrame:
+    """(path, problem): what operations need and the declared scope (path, need) doesn't have (`undeclared`), has without use (`unneeded`), or has otherwise (`differs`)."""
+    n = required(operations).groupBy("path").agg(F.array_sort(F.collect_set("need")).alias("_n"))
+    d = declared.groupBy(F.col("path").alias("_p")).agg(F.array_sort(F.collect_set("need")).alias("_d"))
+    j = n.join(d, F.col("path") == F.col("_p"), "full_outer")
+    problem = F.when(F.col("_p").isNull(), "undeclared").when(F.col("path").isNull(), "unneeded").when(F.col("_n") != F.col("_d"), "differs")
+    return j.select(F.coalesce("path", "_p").alias("path"), problem.alias("problem")).where("problem is not null")
+
+
+def early_operations(operations: DataFrame) -> DataFrame:
+    """Operations (index, kind, path, to) that make something below a directory that only a later operation creates."""
+    made = operations.where(F.col("kind") == "create_directory").select(F.col("path").alias("_up"), F.col("index").alias("_made"))
+    target = F.when(F.col("kind") == "move", F.col("to")).otherwise(F.col("path"))
+    each = operations.where(F.col("kind").isin("create_directory", "write_file", "move")).select("index", "kind", F.explode(ancestors(target)).alias("_up"))
+    return each.join(made, "_up").where("_made > index").select("index", "kind").distinct()
+
+
+#: Members that each kind of operation must and may have.
+OPERATION_FIELDS = {"create_directory": ({"path"}, set()), "write_file": ({"path", "sha256"}, set()), "move": ({"path", "to"}, set()), "remove": ({"path"}, set()), "update": ({"path", "sha256"}, set())}
+
+
+def operation_findings(operations: DataFrame) -> DataFrame:
+    """(index, problem) of operations (index, kind, path, to, sha256) that aren't of one known form: unknown_kind, missing_<member>, unexpected_<member>, path_not_portable."""
+    tests = [("unknown_kind", ~F.coalesce(F.col("kind").isin(*OPERATION_FIELDS), F.lit(False)))]
+    for name in ("path", "to", "sha256"):
+        must = F.col("kind").isin([k for k, (m, _) in OPERATION_FIELDS.items() if name in m])
+        none = F.col("kind").isin([k for k, (m, o) in OPERATION_FIELDS.items() if name not in m | o])
+        tests += [(f"missing_{name}", must & F.col(name).isNull()), (f"unexpected_{name}", none & F.col(name).isNotNull())]
+    tests.append(("path_not_portable", ~(path_valid(F.col("path")) & F.coalesce(path_valid(F.col("to")), F.lit(True)))))
+    found = F.filter(F.array(*(F.when(t, F.lit(c)) for c, t in tests)), lambda c: c.isNotNull())
+    return operations.select("index", F.explode(found).alias("problem"))
+
+
+def package_findings(template: DataFrame, artifacts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(template_id, problem) of template packages: template (template_id, version), artifacts (template_id, target), upgrade edges (template_id, from_version, to_version).
+
+    repeated_target (targets that collide when folded), unsafe_target, bad_version, edge_not_advancing, edge_beyond_version,
+    and forked_edge (two upgrades from one version). Edges that all advance have no cycle.
+    """
+    t = template.select("template_id", semver(F.col("version")).alias("_v"))
+    twice = artifacts.groupBy("template_id", folded(F.col("target")).alias("_k")).agg(F.count("*").alias("n")).where("n > 1").select("template_id", F.lit("repeated_target").alias("problem"))
+    unsafe = artifacts.where(~path_valid(F.col("target"))).select("template_id", F.lit("unsafe_target").alias("problem"))
+    bad = t.where("_v is null").select("template_id", F.lit("bad_version").alias("problem"))
+    e = edges.select("template_id", semver(F.col("from_version")).alias("_a"), semver(F.col("to_version")).alias("_b")).join(t, "template_id")
+    stuck = e.where(~F.coalesce(F.col("_a") < F.col("_b"), F.lit(False))).select("template_id", F.lit("edge_not_advancing").alias("problem"))
+    beyond = e.where(F.col("_b") > F.col("_v")).select("template_id", F.lit("edge_beyond_version").alias("problem"))
+    fork = e.groupBy("template_id", "_a").agg(F.count("*").alias("n")).where("n > 1").select("template_id", F.lit("forked_edge").alias("problem"))
+    return reduce(DataFrame.unionByName, [twice, unsafe, bad, stuck, beyond, fork]).distinct()
+
+
+def registry(templates: DataFrame) -> DataFrame:
+    """Templates (template_id, version, name) with `latest`, whether no other version of the template is higher."""
+    v = templates.withColumn("_v", semver(F.col("version")))
+    top = v.groupBy("template_id").agg(F.max("_v").alias("_top"))
+    return v.join(top, "template_id").withColumn("latest", F.col("_v").eqNullSafe(F.col("_top"))).drop("_v", "_top")

@@ -89,3 +89,50 @@ def restored(bindings: DataFrame, tombstones: DataFrame, path: str, object_id: s
     back = free.select("path", "object_id", F.col("deleted_kind").alias("kind"), F.col("last_object_version_id").alias("object_version_id"))
     left = tombstones.join(free.select("path", "object_id"), ["path", "object_id"], "left_anti")
     return bindings.unionByName(back, allowMissingColumns=True), left
+
+
+class SealError(RuntimeError):
+    """code: why a live observation can't become a version."""
+
+    def __init__(self, code: str):
+        super().__init__(code)
+        self.code = code
+
+
+def fenced(observe, tokens):
+    """observe() between two looks at tokens() (ignore rules, current version, manifest, root); `planning_state_changed` if they differ."""
+    before = tokens()
+    seen = observe()
+    if tokens() != before:
+        raise SealError("planning_state_changed")
+    return seen
+
+
+def sealed(live: DataFrame, exclusions: DataFrame, ignored: DataFrame, prior: dict[str, DataFrame], mint) -> dict[str, DataFrame] | None:
+    """The version that a live observation makes of the prior one: bindings, tombstones and exclusions; None if nothing changed.
+
+    live: path, kind, bytes, executable, target, content_sha256, physical_identity; prior bindings have physical_identity
+    too. A row keeps its object by path or by the same body elsewhere, and its object version if its content is the same;
+    others get ids by mint(prefix, text). Objects that are gone leave tombstones. Errors: `ambiguous_identity` if a body may
+    be that of several objects, `hidden_prior` if an ignored or excluded path covers a prior object.
+    """
+    from ..plans.staging import staged
+
+    named = staged(identities(live, prior["bindings"]))
+    if not named.where("ambiguous").isEmpty():
+        raise SealError("ambiguous_identity")
+    covered = exclusions.select("path").unionByName(ignored.select("path"))
+    if not hidden_priors(prior["bindings"], live, covered).isEmpty():
+        raise SealError("hidden_prior")
+    old = prior["bindings"].select("object_id", F.col("object_version_id").alias("_v"), F.col("content_sha256").alias("_s"), F.col("target").alias("_t"))
+    owner = F.coalesce("object_id", mint("obj", F.col("path")))
+    rows = named.drop("ambiguous").join(old, "object_id", "left")
+    same = F.col("_v").isNotNull() & F.col("_s").eqNullSafe(F.col("content_sha256")) & F.col("_t").eqNullSafe(F.col("target"))
+    content = F.coalesce("content_sha256", "target", F.lit(""))
+    version = F.when(F.col("kind") == "directory", None).when(same, F.col("_v")).otherwise(mint("version", F.concat(owner, F.lit("/"), content)))
+    bindings = staged(rows.select("path", "kind", "bytes", "executable", "target", "content_sha256", owner.alias("object_id"), version.alias("object_version_id"), "physical_identity"))
+    columns = ["path", "kind", "bytes", "executable", "target", "content_sha256", "object_id", "object_version_id"]
+    if unchanged(bindings, prior["bindings"], columns).first()["unchanged"] and unchanged(exclusions, prior["exclusions"], ["path", "kind", "reason"]).first()["unchanged"]:
+        return None
+    stones = tombstones_carried(prior["tombstones"], prior["bindings"], bindings)
+    return {"bindings": bindings, "tombstones": stones, "exclusions": exclusions.select("path", "kind", "reason")}

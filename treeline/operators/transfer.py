@@ -46,3 +46,18 @@ def progress(chunks: DataFrame, received: DataFrame) -> DataFrame:
 def storage_totals(chunks: DataFrame) -> DataFrame:
     """One row: distinct chunks, all chunks, bytes of all objects."""
     return chunks.agg(F.count_distinct("sha256").alias("distinct_chunks"), F.count("*").alias("n_chunks"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("object_bytes"))
+
+
+def accepted_chunks(manifest: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """Arrivals (object_id, index, bytes, sha256, arrival) of a transfer that can be resumed, with `outcome`.
+
+    unknown: no such chunk in the manifest (object_id, index, bytes, sha256); wrong_length, then wrong_digest; accepted: the
+    first good arrival of a chunk; present: any later one, which changes nothing.
+    """
+    m = manifest.select("object_id", "index", F.col("bytes").alias("_b"), F.col("sha256").alias("_s"))
+    j = arrivals.join(m, ["object_id", "index"], "left")
+    fault = F.when(F.col("_b").isNull(), "unknown").when(F.col("bytes") != F.col("_b"), "wrong_length").when(F.col("sha256") != F.col("_s"), "wrong_digest")
+    j = j.withColumn("_f", fault).drop("_b", "_s")
+    first = j.where("_f is null").groupBy("object_id", "index").agg(F.min("arrival").alias("_first"))
+    done = j.join(first, ["object_id", "index"], "left")
+    return done.withColumn("outcome", F.coalesce("_f", F.when(F.col("arrival") == F.col("_first"), "accepted").otherwise("present"))).drop("_f", "_first")
