@@ -116,8 +116,8 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-def _trim() -> None:
-    """Give freed memory back, as workers live on between tasks."""
+def trim() -> None:
+    """Give freed memory back, as workers live on between tasks and the driver after training."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
@@ -140,4 +140,4 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
         held += n
     if begin < batch.num_rows:
         yield batch.slice(begin)
-    _trim()
+    trim()

@@ -224,7 +224,9 @@ def train(docs: DataFrame) -> Model:
     names = sorted({r["lang"] for r in got})
     spot = {x: k for k, x in enumerate(names)}
     texts = [_LOWER[np.frombuffer(r["text"].encode(), np.uint8)] for r in got]
-    return fit(texts, np.array([spot[r["lang"]] for r in got], np.int64), names)
+    model = fit(texts, np.array([spot[r["lang"]] for r in got], np.int64), names)
+    W.trim()
+    return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

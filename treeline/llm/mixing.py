@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ._store import staged, table, unstage, with_facts
 
 #: Bits of the hash that one histogram resolves, and rounds until all 63 are.
-ROUND_BITS, ROUNDS = 16, 4
+ROUND_BITS, ROUNDS = 11, 6
 
 
 def word_count(column: str):

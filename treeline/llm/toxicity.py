@@ -289,7 +289,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     toxic = np.array([r["toxic"] for r in got], np.int64)
     sizes = np.bincount(toxic, minlength=2)
     weight = np.array([r["_n"] / sizes[r["toxic"]] for r in got], float)
-    return fit([r["text"] for r in got], toxic, weight / max(weight.sum(), 1e-9) * len(weight))
+    model = fit([r["text"] for r in got], toxic, weight / max(weight.sum(), 1e-9) * len(weight))
+    W.trim()
+    return model
 
 
 def tag(docs: DataFrame, model: Model) -> DataFrame:
