@@ -176,3 +176,23 @@ def registry(templates: DataFrame) -> DataFrame:
     v = templates.withColumn("_v", semver(F.col("version")))
     top = v.groupBy("template_id").agg(F.max("_v").alias("_top"))
     return v.join(top, "template_id").withColumn("latest", F.col("_v").eqNullSafe(F.col("_top"))).drop("_v", "_top")
+
+
+def initialisation(planned: DataFrame, existing: DataFrame) -> DataFrame:
+    """(path, action) of planned writes (path, kind): add, preserve what is there with the same kind, `collision` with another kind or with a path that differs only when folded."""
+    e = existing.groupBy(folded(F.col("path")).alias("_k")).agg(F.collect_set(F.struct("path", "kind")).alias("_here"))
+    p = planned.withColumn("_k", folded(F.col("path"))).join(e, "_k", "left")
+    same = F.array_contains("_here", F.struct("path", "kind"))
+    return p.select("path", F.when(F.col("_here").isNull(), "add").when(same & (F.size("_here") == 1), "preserve").otherwise("collision").alias("action"))
+
+
+def decoded_versions(texts: DataFrame, most_bytes: int = 64 << 20, most_entries: int = 16_384) -> DataFrame:
+    """(version_id, problem, root_id, parents, entries) of versions as JSON (version_id, json): too_large before anything is read, then invalid_json, then too_many_entries counted before any entry is made, and wrong_id."""
+    small = F.octet_length("json") <= most_bytes
+    v = texts.withColumn("_v", F.when(small, F.try_parse_json("json")))
+    size = lambda name: F.coalesce(F.size(F.try_variant_get("_v", f"$.{name}", "array<variant>")), F.lit(0))
+    entries = size("bindings") + size("tombstones") + size("exclusions")
+    own = F.try_variant_get("_v", "$.version_id", "string")
+    problem = F.when(~small, "too_large").when(F.col("_v").isNull(), "invalid_json").when(entries > most_entries, "too_many_entries").when(~own.eqNullSafe(F.col("version_id")), "wrong_id")
+    good = problem.isNull()
+    return v.select("version_id", problem.alias("problem"), F.when(good, F.try_variant_get("_v", "$.root_id", "string")).alias("root_id"), F.when(good, F.try_variant_get("_v", "$.parents", "array<string>")).alias("parents"), F.when(good, entries).alias("entries"))

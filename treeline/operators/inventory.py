@@ -88,3 +88,23 @@ def assignment_groups(scopes: DataFrame, most: int = 32) -> DataFrame:
     """(root, kind, n, first, last): scopes (path) by first component and content kind (extension) where there are more than `most`; each for itself otherwise, with its path as root."""
     root = F.substring_index("path", "/", 1) if scopes.count() > most else F.col("path")
     return scopes.groupBy(root.alias("root"), C.extension(F.col("path")).alias("kind")).agg(F.count("*").alias("n"), F.min("path").alias("first"), F.max("path").alias("last"))
+
+
+def in_order(classes: DataFrame) -> DataFrame:
+    return classes.orderBy("path", "rank")
+
+
+def report(files: DataFrame) -> DataFrame:
+    """(section, path, detail) of an inspection of files (path, bytes): classes of files, hints of directories, and context files."""
+    classes = classified(files).select(F.lit("class").alias("section"), "path", F.col("class").alias("detail"))
+    hints = boundary_hints(directories(files)).select(F.lit("boundary").alias("section"), "path", F.col("hint").alias("detail"))
+    context = context_files(files).select(F.lit("context").alias("section"), "path", F.lit(None).cast("string").alias("detail"))
+    return classes.unionByName(hints).unionByName(context)
+
+
+def budget_findings(entries: DataFrame, most_entries: int = 50_000, most_depth: int = 64, most_bytes: int = 16 << 20) -> DataFrame:
+    """(code, measured) of the bounds that an inventory breaks: entries, depth, and the bytes of its paths when written down."""
+    facts = entries.agg(F.count("*").alias("n"), F.coalesce(F.max(P.depth(F.col("path"))), F.lit(0)).cast("long").alias("d"), F.coalesce(F.sum(F.octet_length("path").cast("long") + 1), F.lit(0)).alias("b"))
+    tests = [("too_many_entries", "n", most_entries), ("too_deep", "d", most_depth), ("too_large", "b", most_bytes)]
+    found = F.filter(F.array(*(F.when(F.col(c) > most, F.struct(F.lit(code).alias("code"), F.col(c).alias("measured"))) for code, c, most in tests)), lambda x: x.isNotNull())
+    return facts.select(F.explode(found).alias("f")).select("f.code", "f.measured")

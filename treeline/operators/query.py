@@ -202,3 +202,22 @@ def generation(entries: DataFrame, exclusions: DataFrame, *parts: str) -> str:
         pieces = [F.sum(F.conv(F.substring(row, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).alias(f"p{i}") for i in range(8)]
         digests.append(str(list(df.agg(F.count("*").alias("n"), *pieces).first())))
     return hashlib.sha256("\0".join([*digests, *parts]).encode()).hexdigest()
+
+
+def ordered_digest(entries: DataFrame, exclusions: DataFrame, domain: str = "live-observation-v1") -> DataFrame:
+    """One row: SHA-256 over all rows in path order, each with its tag, its length in eight bytes and its JSON; null beyond MAX_ENTRIES rows, which is the most that one task is given."""
+    parts = []
+    for tag, df in (("E", entries), ("X", exclusions)):
+        body = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+        framed = F.concat(F.hex(F.lit(tag)), F.lpad(F.hex(F.octet_length(body).cast("long")), 16, "0"), F.hex(F.encode(body, "UTF-8")))
+        parts.append(df.select(F.struct(F.lit(tag).alias("t"), "path", framed.alias("h")).alias("r")))
+    every = parts[0].unionByName(parts[1])
+    held = every if every.limit(M.MAX_ENTRIES + 1).count() <= M.MAX_ENTRIES else every.limit(0)
+    fits = F.lit(held is every)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["h"]), "")
+    return held.agg(F.when(fits, F.sha2(F.unhex(F.concat(F.hex(F.lit(domain)), F.lit("00"), text)), 256)).alias("sha256"))
+
+
+def domain_digest(domain: str, value) -> str:
+    """SHA-256 of a domain, a zero byte and a value as compact JSON with sorted members: cursors, plans, projections and the like each have a domain of their own."""
+    return hashlib.sha256(domain.encode() + b"\0" + json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()

@@ -8,7 +8,7 @@ import stat
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from .. import model as M
 from ..functions.ignore import compiled
@@ -18,6 +18,20 @@ FORMAT = "folder_tree"
 _SPECIAL = ((stat.S_ISFIFO, "fifo"), (stat.S_ISSOCK, "socket"), (stat.S_ISBLK, "block_device"), (stat.S_ISCHR, "character_device"))
 #: Directories that a scan is split into, about, so that one large directory isn't one task.
 SPLITS = 64
+#: The file of the user's own rules, which no rule can hide.
+IGNORE_FILE = ".treelineignore"
+
+
+def token(folder: str) -> tuple:
+    """What a plan depends on besides the entries: the root's identity and the state of its rules and protocol files. See seal.fenced()."""
+    out = []
+    for name in ("", IGNORE_FILE, f"{STATE_DIRECTORY}/manifest.json", f"{STATE_DIRECTORY}/head"):
+        try:
+            facts = os.lstat(os.path.join(folder, name))
+            out.append((facts.st_dev, facts.st_ino, *((facts.st_size, facts.st_mtime_ns) if name else ())))
+        except FileNotFoundError:
+            out.append(None)
+    return tuple(out)
 
 
 class _Part(InputPartition):
@@ -30,6 +44,7 @@ class FolderReader(DataSourceReader):
         self.root, self.splits = options["path"], int(options.get("splits", SPLITS))
         lines = [compiled(line) for line in options.get("rules", "").split("\n")]
         self.rules = [(re.compile(regex), negated, only) for regex, negated, only in filter(None, lines)]
+        self.kept = {p for p in options.get("keep", IGNORE_FILE).split("\n") if p}
 
     def partitions(self) -> list[_Part]:
         """Upper directories listed for themselves, and whole trees below them; widened level by level."""
@@ -48,6 +63,8 @@ class FolderReader(DataSourceReader):
                     stack.append(row[0])
 
     def _ignored(self, path: str, directory: bool) -> bool:
+        if path in self.kept:
+            return False
         for regex, negated, only in reversed(self.rules):
             if (directory or not only) and regex.search(path):
                 return not negated
@@ -82,8 +99,34 @@ class FolderReader(DataSourceReader):
                 yield path, M.FILE, facts.st_size, bool(facts.st_mode & 0o111), None, None
 
 
+class FolderWatch(SimpleDataSourceStreamReader):
+    """Entries whose own time of change is later than what was read before; a removed entry shows by its directory. Rows are hints to scan again, as times can lie."""
+
+    def __init__(self, options: dict):
+        self.scan = FolderReader(options)
+
+    def initialOffset(self) -> dict:
+        return {"at": 0}
+
+    def _since(self, after: int, upto: int | None = None) -> tuple[list[tuple], int]:
+        found, last = [], after
+        for row in self.scan.read(_Part("", True)):
+            at = os.lstat(os.path.join(self.scan.root, row[0])).st_mtime_ns
+            if at > after and (upto is None or at <= upto):
+                found.append(row)
+                last = max(last, at)
+        return found, last
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        found, last = self._since(start["at"])
+        return iter(found), {"at": last}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return iter(self._since(start["at"], end["at"])[0])
+
+
 class FolderSource(DataSource):
-    """Options: path (a folder that all executors see), rules (ignore rules, one a line), splits.
+    """Options: path (a folder that all executors see), rules (ignore rules, one a line), keep (paths that rules can't hide, one a line), splits.
 
     One row per path: entries have no reason; exclusions (nested roots, hard links, special nodes) and ignored paths have
     one. Nothing below an ignored directory or a nested root is visited, and no file is opened.
@@ -99,8 +142,17 @@ class FolderSource(DataSource):
     def reader(self, schema) -> FolderReader:
         return FolderReader(self.options)
 
+    def simpleStreamReader(self, schema) -> FolderWatch:
+        return FolderWatch(self.options)
+
 
 def scan(spark: SparkSession, folder: str, rules: list[str] = ()):
     """The rows of a folder; see FolderSource."""
     spark.dataSource.register(FolderSource)
     return spark.read.format(FORMAT).option("rules", "\n".join(rules)).load(folder)
+
+
+def watch(spark: SparkSession, folder: str, rules: list[str] = ()):
+    """A stream of the entries of a folder that change; see FolderWatch."""
+    spark.dataSource.register(FolderSource)
+    return spark.readStream.format(FORMAT).option("rules", "\n".join(rules)).load(folder)

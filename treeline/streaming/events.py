@@ -114,4 +114,12 @@ def append_new(batch: DataFrame, folder: str, key: str = "event_id") -> None:
         slots = [r["_slot"] for r in new.select("_slot").distinct().collect()]  # at most SLOTS
         held = spark.read.schema(f"{batch.schema.toDDL()}, _slot int").parquet(folder).where(F.col("_slot").isin(slots)).select("_slot", key)
         new = new.join(held, ["_slot", key], "left_anti")
-    new.select(*batch.columns, "_slot").write.partitionBy("_slot").mode("append").parquet(folder)
+    new.select(*batch.columns, "_slot").repartition("_slot").write.partitionBy("_slot").mode("append").parquet(folder)
+
+
+def repaired_journal(spark: SparkSession, folder: str, schema: str, to: str, quarantine: str) -> tuple[int, int]:
+    """Copy the whole lines of a journal in `folder` to `to` and the torn ones to `quarantine`; how many of each. The journal itself stays as it is."""
+    whole, torn = journal(spark, folder, schema, stream=False)
+    whole.write.mode("errorifexists").json(to)
+    torn.write.mode("errorifexists").text(quarantine)
+    return spark.read.schema(schema).json(to).count(), spark.read.text(quarantine).count()
