@@ -33,7 +33,7 @@ def _header(spark: SparkSession, folder: str) -> dict | None:
             return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-    except ValueError:
+    except Exception:  # spoilt, or not whole
         return {}
 
 

@@ -25,7 +25,7 @@ def saved_texts(files: DataFrame, edits: DataFrame, most: int = MAX_TEXT) -> tup
     e = edits.select("path", "expected_sha256", F.encode("text", "UTF-8").alias("new"))
     j = e.join(files.select("path", "content"), "path", "left")
     now = F.sha2("content", 256)
-    outcome = F.when(F.col("content").isNull(), "missing").when(F.octet_length("new") > most, "too_large").when(now != F.col("expected_sha256"), "conflict").when(F.col("new") == F.col("content"), "unchanged").otherwise("saved")
+    outcome = F.when(F.col("content").isNull(), "missing").when(F.octet_length("new") > most, "too_large").when(~now.eqNullSafe(F.col("expected_sha256")), "conflict").when(F.col("new") == F.col("content"), "unchanged").otherwise("saved")
     done = j.select("path", "new", outcome.alias("outcome"))
     after = files.join(done.where("outcome = 'saved'").select("path", "new"), "path", "left").withColumn("content", F.coalesce("new", "content")).drop("new")
     return after, done.select("path", "outcome")
