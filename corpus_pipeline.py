@@ -14,31 +14,31 @@ from treeline.plans.shipping import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays below the threshold. The tagger learns from `labels` and `documents` of sf_dir."""
+    """Documents whose toxicity score stays below the threshold; null and empty texts get the score of no toxic words and stay. The tagger learns from `labels` and `documents` of sf_dir."""
     ship(spark)
     return toxicity.clean(docs, toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of those whose texts are equal but for white space."""
+    """One document, that with the least id, of those whose texts are equal but for white space; null counts as empty, and a row without id stays only if its group has no ids."""
     ship(spark)
     return exact_dedup.exact_dedup(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each class of near copies: five words, similarity 0.8."""
+    """One document, that with the least id, of each class of near copies: five words, similarity 0.8. Null, empty and blank texts are in no class and stay."""
     ship(spark)
     return near_dedup.near_dedup(docs, 5, 80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target takes it."""
+    """Each document as often as its source's target takes it. Texts without words are taken as often as their source is as a whole; a null source is a source."""
     ship(spark)
     return mixing.mix(docs)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document; null counts as empty."""
     ship(spark)
     return byte_bpe.token_digests(docs, *byte_bpe.vocabulary())
 
@@ -50,7 +50,7 @@ STAGES = [
     ("mixing", mix_sources),
     ("byte-level BPE", to_tokens),
 ]
-#: The trained tagger, hash thresholds and token merges have no SQL, and no test holds run() against a brute-force version.
+#: The trained tagger, hash thresholds and token merges have no SQL; tests hold each stage against a plain version of it.
 ORACLE_SQL = None
 
 
