@@ -23,6 +23,13 @@ def collisions(rows: DataFrame) -> DataFrame:
     return rows.where("path is not null").groupBy(unicode.folded(F.col("path")).alias("key")).agg(F.count_distinct("path").alias("n")).where("n > 1")
 
 
+def collision_kinds(rows: DataFrame) -> DataFrame:
+    """(key, kind) of collisions: `composed` if paths are equal once composed (NFC), `folded` if only case folding makes them equal."""
+    p = rows.where("path is not null").select("path", unicode.composed(F.col("path")).alias("_c")).withColumn("key", unicode.folded(F.col("path")))
+    n = p.groupBy("key").agg(F.count_distinct("path").alias("n"), F.count_distinct("_c").alias("c")).where("n > 1")
+    return n.select("key", F.when(F.col("c") < F.col("n"), "composed").otherwise("folded").alias("kind"))
+
+
 def repeated(rows: DataFrame, key: str) -> DataFrame:
     """(key, n, path): keys of several rows and the first path."""
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n > 1")

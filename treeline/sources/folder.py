@@ -35,8 +35,8 @@ def token(folder: str) -> tuple:
 
 
 class _Part(InputPartition):
-    def __init__(self, folder: str, deep: bool):
-        self.folder, self.deep = folder, deep
+    def __init__(self, folder: str, deep: bool, identity: tuple | None = None):
+        self.folder, self.deep, self.identity = folder, deep, identity
 
 
 class FolderReader(DataSourceReader):
@@ -48,19 +48,19 @@ class FolderReader(DataSourceReader):
 
     def partitions(self) -> list[_Part]:
         """Upper directories listed for themselves, and whole trees below them; widened level by level."""
-        shallow, level = [], [""]
+        shallow, level = [], [("", None)]
         while level and len(level) < self.splits and len(shallow) < self.splits:
             shallow += level
-            level = [row[0] for folder in level for row in self._children(folder) if row[1] == M.DIRECTORY and row[5] is None]
-        return [_Part(f, False) for f in shallow] + [_Part(f, True) for f in level]
+            level = [(row[0], identity) for folder in level for row, identity in self._children(*folder) if identity]
+        return [_Part(f, False, i) for f, i in shallow] + [_Part(f, True, i) for f, i in level]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        stack = [partition.folder]
+        stack = [(partition.folder, partition.identity)]
         while stack:
-            for row in self._children(stack.pop()):
+            for row, identity in self._children(*stack.pop()):
                 yield row
-                if partition.deep and row[1] == M.DIRECTORY and row[5] is None:
-                    stack.append(row[0])
+                if partition.deep and identity:
+                    stack.append((row[0], identity))
 
     def _ignored(self, path: str, directory: bool) -> bool:
         if path in self.kept:
@@ -70,33 +70,49 @@ class FolderReader(DataSourceReader):
                 return not negated
         return False
 
-    def _children(self, folder: str) -> Iterator[tuple]:
-        with os.scandir(os.path.join(self.root, folder)) as found:
-            names = sorted(e.name for e in found)
-        for name in names:
-            if name.lower() == STATE_DIRECTORY:
-                if name != STATE_DIRECTORY:
-                    raise ValueError(f"{folder}/{name}: the protocol's directory under another name")
-                continue
-            path = f"{folder}/{name}" if folder else name
-            full = os.path.join(self.root, path)
-            facts = os.lstat(full)
-            directory = stat.S_ISDIR(facts.st_mode)
-            if self._ignored(path, directory):
-                yield path, None, None, None, None, M.IGNORED_REASON
-            elif directory and os.path.lexists(os.path.join(full, STATE_DIRECTORY)):
-                yield path, M.NESTED, None, None, None, M.NESTED_REASON
-            elif directory:
-                yield path, M.DIRECTORY, None, None, None, None
-            elif stat.S_ISLNK(facts.st_mode):
-                yield path, M.SYMLINK, None, None, os.readlink(full), None
-            elif not stat.S_ISREG(facts.st_mode):
-                kind = next((k for test, k in _SPECIAL if test(facts.st_mode)), "special")
-                yield path, kind, None, None, None, M.UNSUPPORTED_REASON
-            elif facts.st_nlink > 1:
-                yield path, "hard_link", None, None, None, M.UNSUPPORTED_REASON
-            else:
-                yield path, M.FILE, facts.st_size, bool(facts.st_mode & 0o111), None, None
+    def _children(self, folder: str, identity: tuple | None) -> Iterator[tuple[tuple, tuple | None]]:
+        """Rows of a directory, and of those that are walked into their device and inode. identity: what the directory was when its parent listed it; another one in its place is an error."""
+        at = os.open(os.path.join(self.root, folder), os.O_RDONLY | os.O_DIRECTORY | (os.O_NOFOLLOW if folder else 0))
+        try:
+            facts = os.fstat(at)
+            if identity and (facts.st_dev, facts.st_ino) != identity:
+                raise ValueError(f"{folder}: another directory took its place during the scan")
+            for name in sorted(os.listdir(at)):
+                if name.lower() == STATE_DIRECTORY:
+                    if name != STATE_DIRECTORY:
+                        raise ValueError(f"{folder}/{name}: the protocol's directory under another name")
+                    continue
+                path = f"{folder}/{name}" if folder else name
+                facts = os.stat(name, dir_fd=at, follow_symlinks=False)
+                yield self._row(path, name, facts, at), (facts.st_dev, facts.st_ino) if self._walked(path, name, facts, at) else None
+        finally:
+            os.close(at)
+
+    def _walked(self, path: str, name: str, facts: os.stat_result, at: int) -> bool:
+        return stat.S_ISDIR(facts.st_mode) and not self._ignored(path, True) and not self._nested(name, at)
+
+    @staticmethod
+    def _nested(name: str, at: int) -> bool:
+        try:
+            os.stat(f"{name}/{STATE_DIRECTORY}", dir_fd=at, follow_symlinks=False)
+        except OSError:
+            return False
+        return True
+
+    def _row(self, path: str, name: str, facts: os.stat_result, at: int) -> tuple:
+        directory = stat.S_ISDIR(facts.st_mode)
+        if self._ignored(path, directory):
+            return path, None, None, None, None, M.IGNORED_REASON
+        if directory:
+            return (path, M.NESTED, None, None, None, M.NESTED_REASON) if self._nested(name, at) else (path, M.DIRECTORY, None, None, None, None)
+        if stat.S_ISLNK(facts.st_mode):
+            return path, M.SYMLINK, None, None, os.readlink(name, dir_fd=at), None
+        if not stat.S_ISREG(facts.st_mode):
+            kind = next((k for test, k in _SPECIAL if test(facts.st_mode)), "special")
+            return path, kind, None, None, None, M.UNSUPPORTED_REASON
+        if facts.st_nlink > 1:
+            return path, "hard_link", None, None, None, M.UNSUPPORTED_REASON
+        return path, M.FILE, facts.st_size, bool(facts.st_mode & 0o111), None, None
 
 
 class FolderWatch(SimpleDataSourceStreamReader):
