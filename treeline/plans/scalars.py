@@ -135,7 +135,7 @@ def file_tombstones(spark, d):
 
 
 def collision_kinds(spark, d):
-    n = F.col("doc_id")
+    n = F.floor(F.col("doc_id") / 20)
     name = F.when(n % 3 == 0, _pick(n % 2, "E\u0301", "\u00c9")).otherwise(_pick(n % 2, "A", "a"))
     path = F.concat("source", F.lit("/"), F.when(n % 3 == 0, "e").otherwise("l"), (n % 7).cast("string"), name)
     return checks.collision_kinds(_docs(spark, d).select(path.alias("path")))
@@ -175,6 +175,6 @@ SQL = {
     "hint_suppression": "SELECT event_id FROM events WHERE event_id % 5 <> 4 AND event_id % 3 <> 0",
     "symlink_objects": f"WITH {O.FILES}, t AS (SELECT path, '../' || chr(233) || doc_id AS t FROM f WHERE doc_id % 3 = 1) SELECT path, octet_length(encode(t))::BIGINT AS bytes, sha256(t) AS content_sha256 FROM t",
     "file_tombstones": f"WITH {O.VERSIONS} SELECT path, object_id, deleted_kind, last_object_version_id FROM nt WHERE right(object_id, 1) NOT IN ('1', '3', '7')",
-    "collision_kinds": "WITH p AS (SELECT source || '/' || CASE WHEN doc_id % 3 = 0 THEN 'e' ELSE 'l' END || doc_id % 7 || CASE WHEN doc_id % 3 = 0 THEN (['E' || chr(769), chr(201)])[1 + doc_id % 2] ELSE (['A', 'a'])[1 + doc_id % 2] END AS path FROM documents), k AS (SELECT lower(nfc_normalize(path)) AS key, count(DISTINCT path) AS n, count(DISTINCT nfc_normalize(path)) AS c FROM p GROUP BY 1) SELECT key, CASE WHEN c < n THEN 'composed' ELSE 'folded' END AS kind FROM k WHERE n > 1",
+    "collision_kinds": "WITH p AS (SELECT source || '/' || CASE WHEN doc_id // 20 % 3 = 0 THEN 'e' ELSE 'l' END || (doc_id // 20 % 7) || CASE WHEN doc_id // 20 % 3 = 0 THEN (['E' || chr(769), chr(201)])[1 + doc_id // 20 % 2] ELSE (['A', 'a'])[1 + doc_id // 20 % 2] END AS path FROM documents), k AS (SELECT lower(nfc_normalize(path)) AS key, count(DISTINCT path) AS n, count(DISTINCT nfc_normalize(path)) AS c FROM p GROUP BY 1) SELECT key, CASE WHEN c < n THEN 'composed' ELSE 'folded' END AS kind FROM k WHERE n > 1",
     "assignment_groups": f"WITH {O.FILES} SELECT source AS root, 'txt' AS kind, count(*) AS n, min(path) AS first, max(path) AS last FROM f GROUP BY source",
 }
