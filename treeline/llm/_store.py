@@ -70,12 +70,19 @@ def with_facts(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int,
     """`rows` joined with the one row of `facts` for their key. n: column of facts, how many of the `total` rows have that key.
 
     Keys with more than total / HOT rows are joined by broadcast: there are fewer than HOT. All others are shuffled, so no
-    task gets more than its share of a frequent key. Both sides are read twice and so should be staged.
+    task gets more than its share of a frequent key. `facts` is read at once, and both sides are read twice where there
+    are keys of both sorts, so they should be staged.
     """
     most = max(1000, total // HOT)
-    hot = F.broadcast(facts.where(F.col(n) > most))
-    cold = rows.join(F.broadcast(facts.where(F.col(n) > most).select(key)), key, "left_anti")
-    return rows.join(hot, key).unionByName(cold.join(facts.where(F.col(n) <= most), key, how))
+    frequent = F.col(n) > most
+    some, rest = facts.agg(F.count_if(frequent), F.count_if(~frequent)).first()
+    if not some:
+        return rows.join(facts, key, how)
+    hot = rows.join(F.broadcast(facts.where(frequent)), key)
+    if not rest and how == "inner":
+        return hot
+    cold = rows.join(F.broadcast(facts.where(frequent).select(key)), key, "left_anti")
+    return hot.unionByName(cold.join(facts.where(~frequent), key, how))
 
 
 def unstage(df: DataFrame) -> None:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._store import Blocks, block_ids, staged, table, unstage
-from ._words import field, slices
+from ._words import field, slices, trim
 
 #: Bytes of text after which a block is closed, rows of words that are replayed side by side, and words whose ids a task keeps (more cost time only).
 BLOCK_BYTES, REPLAY_ROWS, KEPT_WORDS = 32 << 20, 1 << 17, 1 << 20
@@ -304,6 +304,7 @@ def _spelled(docs: DataFrame, path: str, pattern: str, columns: list[str], use,
 
     def spell(rows: pa.Table, ids: pa.Table) -> pa.Table:
         rows = rows.filter(rows.column("refs").is_valid())
+        trim()
         return use(_unpacked(ids), rows.column("row"), [_from_planes(r) for r in rows.column("refs").to_pylist()])
 
     out = staged(blocks.grouped("row", "refs").cogroup(back.groupBy("block")).applyInArrow(spell, fields), "spelled")

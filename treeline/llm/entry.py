@@ -17,6 +17,7 @@ QUERIES = {
     "op10_language": language_id.op10_language,
 }
 SQL = {
+    "op1_near_dedup": near_dedup.OP1_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
     "op8_warc": warc.OP8_SQL,

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._store import Blocks, block_ids, staged, table, with_facts
-from ._words import field, slices
+from ._words import field, slices, trim
 
 #: Rows and bytes of texts after which a block is closed.
 BLOCK_ROWS, BLOCK_BYTES = 1 << 16, 8 << 20
@@ -144,6 +144,7 @@ def _folder(owners: int):
                 less = not mine[0] and (first[0] or mine < first)
                 held[text] = (block, mine if less else first, print_, n + 1)
         found = list(held.values())
+        trim()
         columns = [[x[0] for x in found], [x[1][2] for x in found], [x[2] for x in found], list(held), [x[1][1] for x in found], [x[3] for x in found]]
         return pa.table([pa.array(c, pa.binary() if i == 3 else pa.int64()) for i, c in enumerate(columns)], names=["block", "place", "print", "bytes", "least_id", "rows"])
 
@@ -190,6 +191,7 @@ def exact_classes(docs: DataFrame) -> DataFrame:
 
 def _staying(rows: pa.Table, leaving: pa.Table) -> pa.Table:
     stays = ~np.isin(rows.column("place").to_numpy(), leaving.column("place").to_numpy())
+    trim()
     return pa.table({"row": rows.column("row").filter(pa.array(stays))})
 
 

@@ -173,6 +173,11 @@ def _lexicon(features: np.ndarray, rows: np.ndarray, toxic: np.ndarray) -> tuple
     return bad, np.unique(np.concatenate(prefixes))
 
 
+def _among(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of `x` are among the sorted keys."""
+    return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x if len(keys) else np.zeros(len(x), bool)
+
+
 def _train_chain(features: np.ndarray, tags: np.ndarray, windows: np.ndarray):
     """Chain weights by Adam on the windows' likelihood. features (m, 3) vocabulary places, tags (m,), windows (n, length) token places."""
     size = int(features.max()) + 1
@@ -239,11 +244,14 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
     data, _, start, end, rows = tokens(pa.array(texts, pa.string()))
     hashed = feature_hashes(data, start, end)
     words, prefixes = _lexicon(hashed, rows, toxic)
+    W.trim()
     if not len(words) + len(prefixes):
         base = float(np.average(toxic, weights=weight))
         return Model(none.keys, none.weights, -20.0, none.moves, np.array([np.log(base / (1 - base)), 0, 0, 0]))
     doc = np.repeat(toxic, np.diff(rows))
-    hit = np.isin(hashed[:, 0], words) | np.isin(hashed[:, 1:], prefixes).any(axis=1)
+    hit = _among(hashed[:, 0], words)
+    for f in range(1, FEATURES):
+        hit |= _among(hashed[:, f], prefixes)
     tags = (hit & (doc == 1)).astype(np.int64)
     rng = np.random.Generator(np.random.PCG64(11))
     usable = np.flatnonzero(np.diff(rows) >= WINDOW)
@@ -264,12 +272,21 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
     windows = np.concatenate([begin, near])[:, None] + np.arange(length)
     keys, counts = np.unique(hashed[np.unique(windows), 0], return_counts=True)
     keys = np.union1d(keys[counts >= 3], prefixes)
-    at = np.searchsorted(keys, hashed)
-    places = np.where((at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == hashed), at, len(keys))
-    w, bias, move = _train_chain(places, tags, windows)
+    # Only the windows' tokens get places in the vocabulary.
+    used, windows = np.unique(windows, return_inverse=True)
+    windows, local = windows.reshape(-1, length), hashed[used]
+    places = np.full(local.shape, len(keys), np.int64)
+    for f in range(FEATURES):
+        known = _among(local[:, f], keys)
+        places[known, f] = np.searchsorted(keys, local[known, f])
+    w, bias, move = _train_chain(places, tags[used], windows)
+    del places, local
     keep = np.abs(w[: len(keys)]) > 1e-3
     model = Model(keys[keep], w[: len(keys)][keep], float(bias[0]), np.exp(move), np.zeros(4))
-    p = marginals(model.moves, model.emissions(hashed), rows)
+    p = np.empty(len(hashed))
+    for i in range(0, len(rows) - 1, 128):
+        some = rows[i : i + 129]
+        p[some[0] : some[-1]] = marginals(model.moves, model.emissions(hashed[some[0] : some[-1]]), some - some[0])
     model.link = _logistic(_summary(p, rows), toxic.astype(float), weight)
     return model
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import Blocks, block_ids, staged, table, unstage, with_facts
-from ._words import slices
+from ._words import slices, trim
 
 #: Bytes of payload after which an archive is closed.
 ARCHIVE_BYTES = 8 << 20
@@ -122,6 +122,7 @@ def _writer(date: str):
             origin = origins.get(place)
             kind = "response" if origin is None else "revisit"
             members.append(write_record(kind, page_id, url, base64.b32encode(digest[:20]).decode(), payload, origin, date))
+        trim()
         name = f"block-{pages.column('block')[0].as_py():016x}.warc.gz"
         return pa.table({"archive": [name], "content": pa.array([b"".join(members)], pa.binary())})
 
