@@ -19,6 +19,7 @@ QUERIES = {
 SQL = {
     "op1_near_dedup": near_dedup.OP1_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op6_mixing": mixing.OP6_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
 }

@@ -1,6 +1,6 @@
 """Mixing of sources to target weights by hash-threshold histograms.
 
-Each row has a uniform 63-bit hash of its id and text. A source's target is met by whole repeats of all its rows plus the
+Each row has a uniform 60-bit hash of its id and text. A source's target is met by whole repeats of all its rows plus the
 rows whose hash lies below the source's threshold. Thresholds come from histograms: sizes are summed by source and the
 hash's leading bits, the bucket in which the budget runs out is found, and only rows of that bucket are summed again by
 the next bits, until the bits run out. No row is sorted, and no source's rows meet in one task.
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ._store import staged, table, unstage, with_facts
 
-#: Bits of the hash that one histogram resolves, and rounds until all 63 are.
-ROUND_BITS, ROUNDS = 11, 6
+#: Bits of the hash, those that one histogram resolves, and rounds until all are.
+HASH_BITS, ROUND_BITS, ROUNDS = 60, 10, 6
 
 
 def word_count(column: str):
@@ -66,7 +66,8 @@ def _key(source: str):
 
 def _hashed(docs: DataFrame) -> DataFrame:
     """(row, size, hash, doc_id, source, k): rows as one column, so that no name of theirs can clash."""
-    key = F.shiftrightunsigned(F.xxhash64(F.xxhash64("row.doc_id", "row.text"), F.lit("mix")), 1)
+    name = F.concat(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), F.lit("/"), F.coalesce("row.text", F.lit("")))
+    key = F.conv(F.substring(F.md5(name.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
     packed = docs.select(F.struct("*").alias("row"))
     return packed.select("row", word_count("row.text").alias("size"), key.alias("hash"), "row.doc_id", "row.source", _key("row.source").alias("k"))
 
@@ -86,7 +87,7 @@ def thresholds(rows: DataFrame, weights: tuple[int, ...], most: int) -> tuple[Da
     open_ = staged(plan.select(*facts, F.lit(0).cast("long").alias("low"), (F.col("target") - F.col("times") * F.col("source_size")).alias("need")), "plan")
     end, total, pool = F.lit((1 << 63) - 1), rows.count(), rows.where("size > 0").select("k", "size", "hash")
     for r in range(ROUNDS):
-        shift = max(0, 63 - ROUND_BITS * (r + 1))
+        shift = HASH_BITS - ROUND_BITS * (r + 1)
         sums = pool.groupBy("k", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("words"))
         w = Window.partitionBy("k").orderBy("bucket")  # at most 2**ROUND_BITS rows of a source
         upto = sums.withColumn("upto", F.sum("words").over(w)).join(open_.select("k", "need"), "k")
@@ -141,3 +142,27 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) ->
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).drop("repeats", "source")
+
+
+OP6_SQL = r"""
+WITH sz AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/' || coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents),
+src AS (
+  SELECT source, s, 3 * s AS m, 1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS w
+  FROM (SELECT source, sum(size)::BIGINT AS s FROM sz GROUP BY source)),
+k AS (
+  SELECT *, row_number() OVER o AS r, sum(s) OVER () - coalesce(sum(m) OVER before, 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS weights
+  FROM src WINDOW o AS (ORDER BY m::DOUBLE / w, source), before AS (ORDER BY m::DOUBLE / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+lv AS (SELECT r AS from_, rest, weights FROM k WHERE m * weights >= w * rest ORDER BY r LIMIT 1),
+tg AS (SELECT source, s, CASE WHEN r < from_ THEN m::DOUBLE ELSE w::DOUBLE * lv.rest::DOUBLE / lv.weights::DOUBLE END AS target FROM k, lv),
+tm AS (SELECT *, CASE WHEN s > 0 THEN least(floor(target / s), 3) ELSE 0 END::BIGINT AS times FROM tg),
+cum AS (
+  SELECT source, h, n, sum(n) OVER (PARTITION BY source ORDER BY h) AS upto
+  FROM (SELECT source, h, sum(size) AS n FROM sz WHERE size > 0 GROUP BY source, h)),
+low AS (
+  SELECT tm.source, min(CASE WHEN upto > target - times * s THEN h + CASE WHEN (target - times * s - (upto - n)) * 2 > n THEN 1 ELSE 0 END END) AS low
+  FROM tm JOIN cum ON tm.source IS NOT DISTINCT FROM cum.source GROUP BY tm.source)
+SELECT doc_id, size, s AS source_size, target, size * least(times + CASE WHEN size > 0 AND (low.low IS NULL OR h < low.low) THEN 1 ELSE 0 END, 3) AS taken
+FROM sz JOIN tm ON sz.source IS NOT DISTINCT FROM tm.source LEFT JOIN low ON sz.source IS NOT DISTINCT FROM low.source
+"""
