@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import ancestors, path_valid, semver
+from ..functions.paths import ancestors, at_or_below, path_valid, semver
 from ..functions.unicode import folded
 from ..model import FILE
 
@@ -196,3 +196,22 @@ def decoded_versions(texts: DataFrame, most_bytes: int = 64 << 20, most_entries:
     problem = F.when(~small, "too_large").when(F.col("_v").isNull(), "invalid_json").when(entries > most_entries, "too_many_entries").when(~own.eqNullSafe(F.col("version_id")), "wrong_id")
     good = problem.isNull()
     return v.select("version_id", problem.alias("problem"), F.when(good, F.try_variant_get("_v", "$.root_id", "string")).alias("root_id"), F.when(good, F.try_variant_get("_v", "$.parents", "array<string>")).alias("parents"), F.when(good, entries).alias("entries"))
+
+
+def draft_findings(drafts: DataFrame, questions: DataFrame, given: DataFrame, operations: DataFrame, most: int = 4096) -> DataFrame:
+    """(draft_id, problem) of reorganisation drafts (draft_id, scope): no_operations or too_many_operations, repeated_question, unanswered (a required one), outside_scope (an operation's path not below the scope), and repeated_path (two operations on one folded path).
+
+    questions: draft_id, question_id, required; given: draft_id, question_id; operations: draft_id, path.
+    """
+    flag = lambda df, name: df.select("draft_id", F.lit(name).alias("problem"))
+    n = drafts.select("draft_id").join(operations.groupBy("draft_id").agg(F.count("*").alias("n")), "draft_id", "left").fillna(0, ["n"])
+    placed = operations.join(drafts, "draft_id")
+    found = [
+        flag(n.where("n = 0"), "no_operations"),
+        flag(n.where(F.col("n") > most), "too_many_operations"),
+        flag(questions.groupBy("draft_id", "question_id").agg(F.count("*").alias("n")).where("n > 1"), "repeated_question"),
+        flag(questions.where("required").join(given.select("draft_id", "question_id"), ["draft_id", "question_id"], "left_anti"), "unanswered"),
+        flag(placed.where(~at_or_below(F.col("path"), F.col("scope"))), "outside_scope"),
+        flag(operations.groupBy("draft_id", folded(F.col("path")).alias("_k")).agg(F.count("*").alias("n")).where("n > 1"), "repeated_path"),
+    ]
+    return reduce(DataFrame.unionByName, found).distinct()

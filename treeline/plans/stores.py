@@ -146,6 +146,31 @@ def package_losses(spark, d):
     return package.package_problems(held).groupBy("problem").agg(F.min("key").alias("first")).where("problem = 'bytes'").unionByName(package.package_problems(held).where("problem = 'missing'").join(lost.withColumnRenamed("sha256", "key"), "key", "left_anti").groupBy("problem").agg(F.min("key").alias("first")))
 
 
+def application_history(spark, d):
+    """Records appended one after the other; a fork and a used id are refused."""
+    folder = _folder(spark, "applications")
+    rows = []
+    for step, (key, after) in enumerate((("r1", None), ("r2", "r1"), ("r2", "r1"), ("r1", "r2"), ("r3", "r2"))):
+        try:
+            rows.append((step, store.append_application(spark, folder, key, after, "t", f"1.0.{step}")))
+        except store.Conflict:
+            rows.append((step, -1))
+    kept = store.applications(spark, folder).select("number", "record_id", "predecessor", "version")
+    return spark.createDataFrame(rows, "step long, outcome long").join(kept, F.col("outcome") == F.col("number"), "left")
+
+
+def reorganisation_drafts(spark, d):
+    p, n = R.table(spark, d, "part"), F.col("p_partkey")
+    key = (n % 60).alias("draft_id")
+    drafts = p.where("p_partkey < 60").select(key, F.lit("s").alias("scope"))
+    questions = p.where("p_partkey < 120").select(key, F.when(n % 60 == 5, "q").otherwise(n.cast("string")).alias("question_id"), (n % 2 == 0).alias("required"))
+    given = p.where("p_partkey < 120 and p_partkey % 60 not in (8, 9)").select(key, F.when(n % 60 == 5, "q").otherwise(n.cast("string")).alias("question_id"))
+    path = F.when(n == 71, "out/x").when(n.isin(72, 132), F.concat(F.lit("s/"), F.when(n == 72, "A").otherwise("a"))).otherwise(F.concat(F.lit("s/f"), n.cast("string")))
+    operations = p.where("p_partkey < 180 and p_partkey % 60 <> 3").select(key, path.alias("path"))
+    operations = operations.unionByName(operations.where("draft_id = 4").select("draft_id", F.concat("path", F.lit("x")).alias("path")))
+    return closure.draft_findings(drafts, questions, given, operations, 5)
+
+
 def publications(spark, d):
     e, n = events(spark, d), F.col("event_id")
     return sync.published(e.select("event_id", "path", (F.col("arrival") * 100_000 + n).alias("arrival")), 1000).select("event_id", "publication")
@@ -267,7 +292,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         blobs_installed, journal_appended, journal_repaired, version_installed, tombstone_restored, paged_by_cursor, explained_query, observation_digest, domain_digests, inspection_report, classes_in_order, inventory_budgets, initialisation_actions,
-        versions_decoded, package_rebuilt, package_losses, publications, sync_conflicts, applied_once, streamed_events, streamed_hints, first_deliveries, session_transcript, manifest_update, changes_in_order, version_records,
+        versions_decoded, package_rebuilt, package_losses, application_history, reorganisation_drafts, publications, sync_conflicts, applied_once, streamed_events, streamed_hints, first_deliveries, session_transcript, manifest_update, changes_in_order, version_records,
     )
 }
 
@@ -293,6 +318,8 @@ SQL = {
     "versions_decoded": "WITH c AS (SELECT DISTINCT conv_id AS n FROM conversations), p AS (SELECT n, CASE WHEN n % 11 <> 5 AND n % 13 = 6 THEN 'too_large' WHEN n % 11 = 5 THEN 'invalid_json' WHEN n % 6 > 4 THEN 'too_many_entries' WHEN n % 7 = 3 THEN 'wrong_id' END AS problem FROM c) SELECT 'v' || n AS version_id, problem, CASE WHEN problem IS NULL THEN 'r' END AS root_id, CASE WHEN problem IS NULL THEN ['p'] END AS parents, CASE WHEN problem IS NULL THEN (n % 6)::INT END AS entries FROM p",
     "package_rebuilt": "SELECT source || '/' || doc_id AS path, sha256(CASE WHEN doc_id % 50 = 7 THEN '' ELSE text END) AS sha256 FROM documents",
     "package_losses": f"SELECT 'bytes' AS problem, {O.OBJ} AS first FROM documents WHERE doc_id = 41 AND source = 'src1'",
+    "application_history": "SELECT * FROM (VALUES (0, 1, 1, 'r1', NULL, '1.0.0'), (1, 2, 2, 'r2', 'r1', '1.0.1'), (2, -1, NULL, NULL, NULL, NULL), (3, -1, NULL, NULL, NULL, NULL), (4, 3, 3, 'r3', 'r2', '1.0.4')) t(step, outcome, number, record_id, predecessor, version)",
+    "reorganisation_drafts": "SELECT * FROM (VALUES (3, 'no_operations'), (4, 'too_many_operations'), (5, 'repeated_question'), (8, 'unanswered'), (11, 'outside_scope'), (12, 'repeated_path')) t(draft_id, problem)",
     "publications": f"WITH {O._EVENTS} SELECT event_id, 1000 + row_number() OVER (ORDER BY arrival, event_id) AS publication FROM ev",
     "sync_conflicts": "WITH c AS (SELECT (event_id % 40)::VARCHAR AS path, (event_id % 3)::VARCHAR AS local_digest, (event_id % 2)::VARCHAR AS remote_digest, min(event_id) AS arrival FROM events GROUP BY ALL) SELECT *, row_number() OVER (ORDER BY path, local_digest, remote_digest) AS place FROM c",
     "applied_once": f"WITH {_CONFLICTS}, n AS (SELECT count(*) AS n FROM f), a AS (SELECT count(DISTINCT object_id) AS n FROM (SELECT object_id FROM f WHERE object_id NOT IN (SELECT object_id FROM dl WHERE bp IS NOT NULL) UNION ALL SELECT object_id FROM dl WHERE ap IS NOT NULL)) SELECT 'new' AS attempt, 'applied' AS outcome, n AS objects FROM a UNION ALL SELECT 'replayed', 'already_applied', n FROM n UNION ALL SELECT 'conflicting', 'conflicted', n FROM n",

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import digest as D
 
+#: Application records that a history holds at most.
+MAX_APPLICATIONS = 4096
 _PARTS = ("headers", "bindings", "tombstones", "exclusions")
 
 
@@ -90,3 +92,26 @@ def swap_head(spark: SparkSession, folder: str, expected: str | None, version_id
             raise Conflict(f"generation {number + 1} is taken") from error
         raise
     return number + 1
+
+
+def applications(spark: SparkSession, folder: str) -> DataFrame:
+    """A root's application records (number, record_id, predecessor, template, version), by number."""
+    return spark.read.schema("number long, record_id string, predecessor string, template string, version string").json(f"{folder}/records").orderBy("number")
+
+
+def append_application(spark: SparkSession, folder: str, record_id: str, predecessor: str | None, template: str, version: str) -> int:
+    """Add a record after the current last one and return its number; Conflict if `predecessor` isn't the last one, the id is used, or the history is full.
+
+    The last record is a pointer that is swapped like the current version's, so two writers can't both follow it.
+    """
+    number, last = head(spark, f"{folder}/last")
+    if last != predecessor:
+        raise Conflict(f"the last record is {last}")
+    if number >= MAX_APPLICATIONS:
+        raise Conflict("the history is full")
+    if number and not applications(spark, folder).where(F.col("record_id") == record_id).isEmpty():
+        raise Conflict(f"{record_id} is used")
+    number = swap_head(spark, f"{folder}/last", predecessor, record_id)
+    row = spark.createDataFrame([(number, record_id, predecessor, template, version)], "number long, record_id string, predecessor string, template string, version string")
+    row.write.mode("append").json(f"{folder}/records")
+    return number
