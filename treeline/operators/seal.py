@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import staged
 from .change_set import below_boundary
 
 
@@ -47,8 +48,7 @@ def ancestry(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
     The frontier only takes new nodes, so shared ancestors and cycles are visited once.
     """
-    from ..plans.staging import staged
-
+    edges = staged(edges.select("child", "parent").distinct())
     seen = staged(starts.select(F.col("start"), F.col("start").alias("node"), F.lit(0).cast("long").alias("depth")).distinct())
     frontier, at = seen, 0
     while True:
@@ -72,14 +72,14 @@ def nearest(candidates: DataFrame, reach: DataFrame) -> DataFrame:
 
 def cyclic(edges: DataFrame) -> DataFrame:
     """Nodes that never lose all their parents: those on or below a cycle; empty if the graph is acyclic."""
-    from ..plans.staging import staged
-
     left = staged(edges.select("child", "parent").distinct())
+    size = left.count()
     while True:
-        kept = staged(left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("child", "parent"))
-        if kept.count() == left.count():
-            return kept.select(F.col("child").alias("node")).distinct()
-        left = kept
+        left = staged(left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("child", "parent"))
+        now = left.count()
+        if now == size:
+            return left.select(F.col("child").alias("node")).distinct()
+        size = now
 
 
 def restored(bindings: DataFrame, tombstones: DataFrame, path: str, object_id: str) -> tuple[DataFrame, DataFrame]:
@@ -116,8 +116,6 @@ def sealed(live: DataFrame, exclusions: DataFrame, ignored: DataFrame, prior: di
     others get ids by mint(prefix, text). Objects that are gone leave tombstones. Errors: `ambiguous_identity` if a body may
     be that of several objects, `hidden_prior` if an ignored or excluded path covers a prior object.
     """
-    from ..plans.staging import staged
-
     named = staged(identities(live, prior["bindings"]))
     if not named.where("ambiguous").isEmpty():
         raise SealError("ambiguous_identity")

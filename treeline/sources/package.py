@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.chunking import chunked
 from ..operators import closure
 from ..operators.transfer import PROFILES
+from .store import once_each
 
 _PARTS = ("index", "manifests")
 
@@ -27,7 +28,7 @@ def _pieces(objects: DataFrame, profile: tuple[int, int, int]) -> DataFrame:
 def write_package(objects: DataFrame, folder: str, profile: tuple[int, int, int] = PROFILES["standard-v1"]) -> None:
     """Stage objects (object_id, path, content) as a package: index, manifests, and each distinct chunk once, in folders by the digest's first byte. An empty object has no chunks."""
     pieces = _pieces(objects.select("object_id", "content"), profile)
-    pieces.select("sha256", "data").dropDuplicates(["sha256"]).withColumn("prefix", F.concat(F.lit("x"), F.substring("sha256", 1, 2))).write.partitionBy("prefix").mode("errorifexists").parquet(f"{folder}/chunks")
+    once_each(pieces.select("sha256", "data")).write.partitionBy("prefix").mode("errorifexists").parquet(f"{folder}/chunks")
     pieces.select("object_id", "index", "sha256", "bytes").write.mode("errorifexists").parquet(f"{folder}/manifests")
     objects.select("object_id", "path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("bytes")).write.mode("errorifexists").parquet(f"{folder}/index")
 

@@ -23,12 +23,19 @@ def _file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def once_each(contents: DataFrame) -> DataFrame:
+    """Rows (sha256, ...) of each digest once, with `prefix`, the folder it is kept in, dealt out by ranges of digests, so that a task writes to few folders. Digests are uniform, so no sample is needed to find the ranges."""
+    n = int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    range_ = F.floor(F.conv(F.substring("sha256", 1, 6), 16, 10).cast("double") * n / (1 << 24)).cast("int")
+    placed = contents.withColumn("prefix", F.concat(F.lit("x"), F.substring("sha256", 1, 2))).withColumn("_range", range_)
+    return placed.repartition(n, "_range").dropDuplicates(["_range", "sha256"]).drop("_range")
+
+
 def install_blobs(objects: DataFrame, folder: str) -> None:
     """Add the contents (column content) that the store lacks, each once, in directories by the digest's first byte. Null contents are left out."""
     spark = objects.sparkSession
-    new = objects.where("content is not null").select(F.sha2("content", 256).alias("sha256"), "content").dropDuplicates(["sha256"])
+    new = once_each(objects.where("content is not null").select(F.sha2("content", 256).alias("sha256"), "content"))
     files, at = _file_system(spark, folder)
-    new = new.withColumn("prefix", F.concat(F.lit("x"), F.substring("sha256", 1, 2)))
     if files.exists(at):
         # only the directories that the new digests fall into are read: at most 256
         prefixes = [r["prefix"] for r in new.select("prefix").distinct().collect()]
