@@ -12,24 +12,25 @@ from pyspark.sql import functions as F
 from ..functions.chunking import chunked
 from ..operators import closure
 from ..operators.transfer import PROFILES
+from ..plans.staging import staged
 from .store import once_each
 
 _PARTS = ("index", "manifests")
 
 
-def _pieces(objects: DataFrame, profile: tuple[int, int, int]) -> DataFrame:
-    """(object_id, index, sha256, bytes, data) of the chunks of objects (object_id, content)."""
-    cuts = chunked(objects, profile)
+def _pieces(objects: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(sha256, data) of the chunks of objects (object_id, content)."""
     whole = cuts.groupBy("object_id").agg(F.array_sort(F.collect_list(F.struct("index", "offset", "bytes", "sha256"))).alias("cuts"))
-    each = objects.join(whole, "object_id").select("object_id", "content", F.explode("cuts").alias("c"))
-    return each.select("object_id", "c.index", "c.sha256", "c.bytes", F.expr("substring(content, int(c.offset) + 1, int(c.bytes))").alias("data"))
+    each = objects.join(whole, "object_id").select("content", F.explode("cuts").alias("c"))
+    return each.select("c.sha256", F.expr("substring(content, int(c.offset) + 1, int(c.bytes))").alias("data"))
 
 
 def write_package(objects: DataFrame, folder: str, profile: tuple[int, int, int] = PROFILES["standard-v1"]) -> None:
     """Stage objects (object_id, path, content) as a package: index, manifests, and each distinct chunk once, in folders by the digest's first byte. An empty object has no chunks."""
-    pieces = _pieces(objects.select("object_id", "content"), profile)
-    once_each(pieces.select("sha256", "data")).write.partitionBy("prefix").mode("errorifexists").parquet(f"{folder}/chunks")
-    pieces.select("object_id", "index", "sha256", "bytes").write.mode("errorifexists").parquet(f"{folder}/manifests")
+    contents = objects.select("object_id", "content")
+    cuts = staged(chunked(contents, profile))
+    once_each(_pieces(contents, cuts)).write.partitionBy("prefix").mode("errorifexists").parquet(f"{folder}/chunks")
+    cuts.select("object_id", "index", "sha256", "bytes").write.mode("errorifexists").parquet(f"{folder}/manifests")
     objects.select("object_id", "path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("bytes")).write.mode("errorifexists").parquet(f"{folder}/index")
 
 
