@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import model as M
@@ -290,17 +289,11 @@ def template_registry(spark, d):
     return closure.registry(t).select("template_id", "version", "latest")
 
 
-def newest_applications(spark, d):
-    """The last application record of each template root, by sequence, of a bounded history."""
-    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    return R.table(spark, d, "conversations").withColumn("_r", F.row_number().over(w)).where("_r = 1").select("conv_id", "turn")
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         object_findings, content_findings, state_findings, root_findings, record_of_path, index_states, index_rows, sealed_version, seal_outcomes, checkout_rows, checkout_requests, texts_read, texts_saved, captured_versions, relocations, restored_versions,
-        history_transfers, chunk_arrivals, staging_coverage, reference_findings, manifest_closure, package_plan, scope_problems, early_operations, operation_findings, package_findings, template_registry, newest_applications,
+        history_transfers, chunk_arrivals, staging_coverage, reference_findings, manifest_closure, package_plan, scope_problems, early_operations, operation_findings, package_findings, template_registry,
     )
 }
 
@@ -356,5 +349,4 @@ SQL = {
     "operation_findings": f"WITH {_OPS}, i AS (SELECT *, CASE WHEN k = 0 AND n % 25 = 0 THEN n + 3 WHEN k = 1 AND n % 25 = 1 THEN n - 1 ELSE n END AS i FROM op) SELECT i AS index, 'missing_sha256' AS problem FROM i WHERE k IN (1, 4) AND n % 35 = 4 UNION ALL SELECT i, 'unexpected_to' FROM i WHERE n % 45 = 13 AND k <> 2",
     "package_findings": "SELECT * FROM (VALUES ('t7', 'bad_version'), ('t11', 'unsafe_target'), ('t12', 'repeated_target'), ('t13', 'edge_not_advancing'), ('t14', 'edge_beyond_version'), ('t15', 'forked_edge')) t(template_id, problem)",
     "template_registry": "WITH t AS (SELECT 't' || p_partkey % 30 AS template_id, [p_size % 3, p_partkey % 12, p_partkey] AS v FROM part) SELECT template_id, array_to_string(v, '.') AS version, v = max(v) OVER (PARTITION BY template_id) AS latest FROM t",
-    "newest_applications": "SELECT conv_id, max(turn) AS turn FROM conversations GROUP BY conv_id",
 }
