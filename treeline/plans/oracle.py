@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions import classify as C
+
 _ID = "'{p}_019f0000-0000-{b}-8000-' || lpad(doc_id::VARCHAR, 12, '0')"
 OBJ, VER = _ID.format(p="obj", b="7000"), _ID.format(p="version", b="7000")
 OBJ9, VER9 = _ID.format(p="obj", b="7999"), _ID.format(p="version", b="7999")
@@ -48,12 +50,22 @@ m2 AS (SELECT bb.base_path, cc.current_path FROM (SELECT kind, content_sha256, b
 b2 AS (SELECT * FROM b1 WHERE path NOT IN (SELECT base_path FROM m2)), c2 AS (SELECT * FROM c1 WHERE path NOT IN (SELECT current_path FROM m2)),
 m3 AS (SELECT bb.p AS base_path, cc.p AS current_path FROM (SELECT kind, min(path) AS p FROM b2 GROUP BY kind HAVING count(*) = 1) bb JOIN (SELECT kind, min(path) AS p FROM c2 GROUP BY kind HAVING count(*) = 1) cc USING (kind)),
 m AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3)"""
-_CLASSIFY = """name AS (SELECT *, split_part(path, '/', -1) AS n, lower(split_part(path, '/', -1)) AS l, lower(regexp_extract(split_part(path, '/', -1), '^.+\\.([^.]*)$', 1)) AS x,
+
+
+def _list(names) -> str:
+    return "[" + ", ".join(f"'{n}'" for n in names) + "]"
+
+
+def _any(names) -> str:
+    return "|".join(names)
+
+
+_CLASSIFY = f"""name AS (SELECT *, split_part(path, '/', -1) AS n, lower(split_part(path, '/', -1)) AS l, lower(regexp_extract(split_part(path, '/', -1), '^.+\\.([^.]*)$', 1)) AS x,
   lower(CASE WHEN regexp_matches(split_part(path, '/', -1), '^.+\\.[^.]*$') THEN regexp_extract(split_part(path, '/', -1), '^(.+)\\.[^.]*$', 1) ELSE split_part(path, '/', -1) END) AS s FROM p),
-c AS (SELECT *, list_has_any(string_split(path, '/'), ['node_modules', '.next', '.nuxt', '.sites', '.svelte-kit', '.wrangler', 'dist', 'build', 'coverage', '.build', '.swiftpm', '.venv', '__pycache__', '.dart_tool', 'Pods', 'DerivedData', 'target']) OR x IN ('class', 'o', 'obj', 'pyc', 'pyo', 'wasm', 'xcuserstate') OR n = '.DS_Store' AS generated,
-  NOT (suffix(l, '.example') OR suffix(l, '.sample') OR suffix(l, '.template') OR contains(l, 'example.')) AND (l IN ('.env', 'credentials', 'credentials.json', 'secrets.json', 'secrets.yaml', 'secrets.yml', 'id_rsa', 'id_dsa', 'id_ecdsa', 'id_ed25519', '.netrc', '.npmrc', '.pypirc') OR starts_with(l, '.env.') OR regexp_matches(l, 'secret|credential|password|private_key|private-key|api_key|api-key|access_token|access-token') OR x IN ('key', 'pem', 'p12', 'pfx')) AS secret,
-  list_has_any(string_split(lower(path), '/'), ['.analysis', '.cache', '.codex-spreadsheet-work', 'temp', 'tmp', 'worktrees']) OR starts_with(n, '~$') OR suffix(n, '~') OR x IN ('bak', 'cache', 'part', 'swp', 'swo', 'temp', 'tmp') AS temporary,
-  len(list_filter(regexp_split_to_array(s, '[^a-z0-9]+'), lambda w: regexp_matches(w, '^(draft|revised|revision|redline|final|copy|v[0-9]+|copy[0-9]+)$'))) > 0 OR regexp_matches(s, '\\([0-9]*\\)$') AS versioned FROM name)"""
+c AS (SELECT *, list_has_any(string_split(path, '/'), {_list(C.RECONSTRUCTABLE)}) OR list_contains({_list(C.GENERATED_EXTENSIONS)}, x) OR n = '.DS_Store' AS generated,
+  NOT (suffix(l, '.example') OR suffix(l, '.sample') OR suffix(l, '.template') OR contains(l, 'example.')) AND (list_contains({_list(C.SECRET_NAMES)}, l) OR starts_with(l, '.env.') OR regexp_matches(l, '{_any(C.SECRET_PARTS)}') OR list_contains({_list(C.SECRET_EXTENSIONS)}, x)) AS secret,
+  list_has_any(string_split(lower(path), '/'), {_list(C.TEMPORARY_DIRECTORIES)}) OR starts_with(n, '~$') OR suffix(n, '~') OR list_contains({_list(C.TEMPORARY_EXTENSIONS)}, x) AS temporary,
+  len(list_filter(regexp_split_to_array(s, '[^a-z0-9]+'), lambda w: regexp_matches(w, '^({_any(C.VERSION_WORDS)}|v[0-9]+|copy[0-9]+)$'))) > 0 OR regexp_matches(s, '\\([0-9]*\\)$') AS versioned FROM name)"""
 NAMES = ["node_modules/a.js", "app.PYC", ".DS_Store", "secret-notes.txt", ".env.example", ".env", "key.pem", "tmp/x.txt", "~$doc.docx", "notes.txt~", "plan v2.docx", "report (3).pdf", "final draft.md", "copy12.txt", "README.md", "finalist.txt", "x().txt", "clients/list.csv", "id_rsa"]
 _PATHS = "p AS (SELECT CASE WHEN doc_id % 2 = 0 THEN path ELSE source || '/' || ([" + ", ".join(f"'{n}'" for n in NAMES) + f"])[1 + doc_id % {len(NAMES)}] END AS path, bytes * (1 + doc_id % 3 * 20000) AS bytes, doc_id FROM f)"
 _EVENTS = "ev AS (SELECT event_id, 'user/' || user_id AS path, event_id % 997 AS sequence, event_id + (event_id % 7) * 100 AS arrival FROM events)"
