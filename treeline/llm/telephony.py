@@ -23,7 +23,7 @@ from ._words import column_bytes, slices
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 0x11
 #: Coded bytes that are expanded at a time, and of which a part of stored PCM is made.
 STEP = 1 << 20
-#: Packing of stored audio: large pages and a high level, as PCM repeats itself over long stretches.
+#: Packing of stored audio: large pages and high levels, as PCM repeats itself over long stretches.
 PACKED = {"parquet.page.size": 8 << 20, "parquet.compression.codec.zstd.level": 12}
 
 
@@ -169,7 +169,8 @@ def store_text(docs: DataFrame, unit: int = 576, rate: int = 8000) -> DataFrame:
     """(rid, doc_id, n_bytes, media), staged: each whole text as a mu-law WAVE file, one sample a byte. rid numbers the rows.
 
     Null counts as empty. Bytes 255 fill the text up to a positive multiple of `unit`. Rows are independent: repeated and
-    null ids stay as they are; other columns are left out.
+    null ids stay as they are; other columns are left out. Tasks sort their rows by text, so that copies lie side by side
+    and are packed as such, here and in what is made from these files.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,8 +182,9 @@ def store_text(docs: DataFrame, unit: int = 576, rate: int = 8000) -> DataFrame:
                 media = [wav(view[a : a + n], MULAW, rate, fill=b"\xff" * (max(1, -(-n // unit)) * unit - n)) for a, n in zip(at, sizes, strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, "doc_id long, n_bytes long, media binary")
-    return staged(packed.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "n_bytes", "media"), "media", **PACKED)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").sortWithinPartitions("text")
+    packed = rows.mapInArrow(pack, "doc_id long, n_bytes long, media binary")
+    return staged(packed.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "n_bytes", "media"), "media", **PACKED | {"parquet.compression.codec.zstd.level": 16})
 
 
 def _energy(x: np.ndarray) -> int:
