@@ -191,8 +191,7 @@ def test_audio_sample_by_sample():
 
 def test_long_audio_is_stored_in_parts(spark):
     text = "long words of audio " * 180_000
-    stored = telephony.store_text(spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string"))
-    parts = telephony.store_pcm(stored)
+    parts = telephony.store_audio(spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string"))
     got = {r.doc_id: r for r in telephony.media_facts(parts).collect()}
     payload = text.encode() + b"\xff" * (-len(text) % 576)
     pcm = telephony.resample(telephony.MULAW_TABLE[np.frombuffer(payload, np.uint8)], 8000, 16000).astype(np.int64)

@@ -121,7 +121,7 @@ def test_merges_that_open_lower_ranks():
 
 
 def test_telephony(docs, empty, spark):
-    rows = telephony.media_facts(telephony.store_pcm(telephony.store_text(docs))).collect()
+    rows = telephony.media_facts(telephony.store_audio(docs)).collect()
     for r, (doc_id, text, *_) in zip(sorted(rows, key=lambda r: str(r.doc_id)), sorted(ROWS, key=lambda r: str(r[0])), strict=True):
         raw = (text or "").encode()
         payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
@@ -130,7 +130,7 @@ def test_telephony(docs, empty, spark):
     media = [telephony.wav(bytes(range(72)), k, 8000, b) for k, b in ((telephony.MULAW, 1), (telephony.ALAW, 1), (telephony.ADPCM, 36))] + [b"no", None]
     out = telephony.decode_media(spark.createDataFrame([(m,) for m in media], "media binary")).collect()
     kinds = [None if r.media is None else telephony.read_wav(bytes(r.media))[:2] for r in out]
-    assert kinds == [(1, 16000)] * 3 + [None, None] and telephony.media_facts(telephony.store_pcm(telephony.store_text(empty))).count() == 0
+    assert kinds == [(1, 16000)] * 3 + [None, None] and telephony.media_facts(telephony.store_audio(empty)).count() == 0
     assert telephony.MULAW_TABLE[[0, 127, 255]].tolist() == [-32124, 0, 0] and telephony.ALAW_TABLE[[0x55, 0xD5]].tolist() == [-8, 8]
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import staged, table
+from ._store import block_ids, staged, table
 from ._words import column_bytes, slices
 
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 0x11
@@ -165,26 +165,42 @@ def decode_media(df: DataFrame, column: str = "media", rate: int = 16000) -> Dat
     return df.mapInArrow(decode, fields)
 
 
-def store_text(docs: DataFrame, unit: int = 576, rate: int = 8000) -> DataFrame:
-    """(rid, doc_id, n_bytes, media), staged: each whole text as a mu-law WAVE file, one sample a byte. rid numbers the rows.
+def store_audio(docs: DataFrame, unit: int = 576, rate: int = 8000, to: int = 16000) -> DataFrame:
+    """(rid, part, parts, doc_id, n_bytes, media, pcm), staged: each whole text as a mu-law WAVE file, one sample a byte, and that file decoded, resampled and stored as WAVE files of 16-bit PCM at rate `to`.
 
-    Null counts as empty. Bytes 255 fill the text up to a positive multiple of `unit`. Rows are independent: repeated and
-    null ids stay as they are; other columns are left out. Tasks sort their rows by text, so that copies lie side by side
-    and are packed as such, here and in what is made from these files.
+    Long audio has several parts of PCM; part 0 holds the media. rid numbers the rows. Null counts as empty. Bytes 255
+    fill the text up to a positive multiple of `unit`. Rows are independent: repeated and null ids stay as they are; other
+    columns are left out. Tasks sort their rows by text, so that copies lie side by side and are packed as such.
     """
+    names, types = ["rid", "part", "parts", "doc_id", "n_bytes", "media", "pcm"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held, size, ids = [], 0, block_ids(TaskContext.get().partitionId())
+
+        def close() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
+
         for whole in batches:
             for batch in slices(whole, "text"):
                 data, at = column_bytes(batch.column("text"))
                 view, at = memoryview(data), at.tolist()
-                sizes = [b - a for a, b in zip(at[:-1], at[1:], strict=True)]
-                media = [wav(view[a : a + n], MULAW, rate, fill=b"\xff" * (max(1, -(-n // unit)) * unit - n)) for a, n in zip(at, sizes, strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+                for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), at[:-1], at[1:], strict=True):
+                    n, rid = b - a, next(ids)
+                    media = wav(view[a:b], MULAW, rate, fill=b"\xff" * (max(1, -(-n // unit)) * unit - n))
+                    parts = -(-len(read_wav(media)[3]) // STEP)
+                    for part, x in enumerate(pcm_parts(media, to)):
+                        held.append((rid, part, parts, doc_id, n, media if part == 0 else None, wav(x.astype("<i2").tobytes(), PCM, to, 2)))
+                        size += 2 * len(x)
+                        if size >= 4 * STEP:
+                            yield close()
+                            held, size = [], 0
+        if held:
+            yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").sortWithinPartitions("text")
-    packed = rows.mapInArrow(pack, "doc_id long, n_bytes long, media binary")
-    return staged(packed.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "n_bytes", "media"), "media", **PACKED | {"parquet.compression.codec.zstd.level": 16})
+    return staged(rows.mapInArrow(pack, "rid long, part int, parts int, doc_id long, n_bytes long, media binary, pcm binary"), "audio", **PACKED)
 
 
 def _energy(x: np.ndarray) -> int:
@@ -223,65 +239,36 @@ def _features(payloads: list[np.ndarray], block: int) -> list[str]:
     return out
 
 
-_FACTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-
-
-def store_pcm(stored: DataFrame, rate: int = 16000, block: int = 36) -> DataFrame:
-    """(rid, part, parts, pcm, and facts of the media at part 0), staged: stored media read back, decoded and resampled, as WAVE files of 16-bit PCM.
-
-    Long audio lies in several parts. block: bytes of the blocks of the facts' ADPCM reading.
-    """
-    kinds = [(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in _FACTS.split(", ")]
-    names = ["rid", "part", "parts", "pcm", *(n for n, _ in kinds)]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), *(t for _, t in kinds)]
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def pack() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
-
-        for whole in batches:
-            for batch in slices(whole, "media", STEP):
-                media = [memoryview(m.as_buffer()) for m in batch.column("media")]
-                payloads = [read_wav(m)[3] for m in media]
-                features = _features([np.frombuffer(p, np.uint8) for p in payloads], block)
-                for rid, doc_id, n, m, p, feature in zip(*(batch.column(c).to_pylist() for c in ("rid", "doc_id", "n_bytes")), media, payloads, features, strict=True):
-                    facts = (doc_id, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature)
-                    parts = -(-len(p) // STEP)
-                    for part, x in enumerate(pcm_parts(m, rate)):
-                        held.append((rid, part, parts, wav(x.astype("<i2").tobytes(), PCM, rate, 2), *(facts if part == 0 else [None] * len(facts))))
-                        size += 2 * len(x)
-                        if size >= 4 * STEP:
-                            yield pack()
-                            held, size = [], 0
-        if held:
-            yield pack()
-
-    return staged(stored.select("rid", "doc_id", "n_bytes", "media").mapInArrow(decode, f"rid long, part int, parts int, pcm binary, {_FACTS}"), "pcm", **PACKED)
+_FACTS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def media_facts(parts: DataFrame) -> DataFrame:
-    """One row per row of the stored media: its facts, and of the PCM read back pcm_bytes and pcm_energy (bytes and sum of squares of all samples).
+def media_facts(stored: DataFrame, block: int = 36) -> DataFrame:
+    """One row per row of the texts stored: facts of the media read back, and of the PCM read back pcm_bytes and pcm_energy (bytes and sum of squares of all samples). block: bytes of the blocks of the ADPCM reading.
 
-    Only audio of several parts is shuffled, without the samples.
+    Only what is found in audio of several parts is shuffled.
     """
     facts = [c.split()[0] for c in _FACTS.split(", ")]
+    names = ["rid", "doc_id", "n_bytes", *facts, "pcm_bytes", "pcm_energy"]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "pcm"):
                 found = [np.frombuffer(read_wav(m.as_buffer())[3], "<i2") for m in batch.column("pcm")]
-                new = [pa.array([x.nbytes for x in found], pa.int64()), pa.array([_energy(x) for x in found], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "parts", *facts)), *new], names=["rid", "parts", *facts, "pcm_bytes", "pcm_energy"])
+                media = [memoryview(m.as_buffer()) if m.is_valid else None for m in batch.column("media")]
+                payloads = [None if m is None else read_wav(m)[3] for m in media]
+                features = iter(_features([np.frombuffer(p, np.uint8) for p in payloads if p is not None], block) if any(p is not None for p in payloads) else [])
+                rows = [(None,) * 6 if m is None else (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), next(features)) for m, p in zip(media, payloads, strict=True)]
+                kinds = [pa.string() if c.endswith("string") else pa.int64() for c in _FACTS.split(", ")]
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                sums = [pa.array([x.nbytes for x in found], pa.int64()), pa.array([_energy(x) for x in found], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "doc_id", "n_bytes")), *cols, *sums], names=names)
 
     def each(some: DataFrame) -> DataFrame:
-        return some.select("rid", "parts", "pcm", *facts).mapInArrow(describe, f"rid long, parts int, {_FACTS}, pcm_bytes long, pcm_energy long")
+        return some.select("rid", "doc_id", "n_bytes", "media", "pcm").mapInArrow(describe, f"rid long, doc_id long, n_bytes long, {_FACTS}, pcm_bytes long, pcm_energy long")
 
-    whole = each(parts.where("parts = 1")).select(*facts, "pcm_bytes", "pcm_energy")
-    long = each(parts.where("parts > 1")).groupBy("rid").agg(*(F.first(c, ignorenulls=True).alias(c) for c in facts), F.sum("pcm_bytes").alias("pcm_bytes"), F.sum("pcm_energy").alias("pcm_energy"))
-    return whole.unionByName(long.drop("rid"))
+    long = each(stored.where("parts > 1")).groupBy("rid", "doc_id", "n_bytes").agg(*(F.first(c, ignorenulls=True).alias(c) for c in facts), F.sum("pcm_bytes").alias("pcm_bytes"), F.sum("pcm_energy").alias("pcm_energy"))
+    return each(stored.where("parts = 1")).unionByName(long).drop("rid")
 
 
 def op2_telephony(spark, sf_dir: str) -> DataFrame:
-    return media_facts(store_pcm(store_text(table(spark, sf_dir, "documents"))))
+    return media_facts(store_audio(table(spark, sf_dir, "documents")))
