@@ -5,6 +5,8 @@ import pytest
 
 import __spark_entry__ as entry
 from treeline import model as M
+from treeline.operators import checks
+from treeline.sources import relations as R
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +17,7 @@ def folder(tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["index_rows", "index_states"])
+@pytest.mark.parametrize("name", ["index_rows", "index_states", "broken_version_findings"])
 def test_no_bound_cuts_a_query(spark, folder, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
@@ -23,3 +25,10 @@ def test_no_bound_cuts_a_query(spark, folder, name):
     names = sorted(got.columns)
     want = con.execute(f"SELECT {', '.join(names)} FROM ({entry.oracle_sql()[name]})").fetchall()
     assert sorted(map(repr, map(tuple, got.select(names).collect()))) == sorted(map(repr, want))
+
+
+def test_a_version_beyond_its_bound_is_found(spark):
+    v = R.new_version(spark, "/root/testdata/sf0.001")
+    n = sum(rows.count() for rows in v.values())
+    codes = lambda **most: [r.code for r in checks.version_findings(v["bindings"], v["tombstones"], v["exclusions"], **most).collect()]
+    assert codes(most=n - 1) == ["too_many_entries"] and codes(most=n) == codes(most=None) == codes() == []
