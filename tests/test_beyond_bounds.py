@@ -17,7 +17,7 @@ def folder(tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["index_rows", "index_states", "broken_version_findings", "envelope_findings", "findings_in_order"])
+@pytest.mark.parametrize("name", ["index_rows", "index_states", "broken_version_findings", "envelope_findings", "findings_in_order", "version_findings"])
 def test_no_bound_cuts_a_query(spark, folder, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
