@@ -103,12 +103,12 @@ def version_findings(bindings: DataFrame, tombstones: DataFrame, exclusions: Dat
     out = [every.select(F.lit("error").alias("severity"), F.explode(codes).alias("code"), "path").distinct()]
     nested = of("x").where(kind == NESTED).select("path")
     inside = below_boundary(every.where(~((F.col("of") == "x") & (kind == NESTED))).select("path").distinct(), nested, keep=True)
-    dead = of("t").select("path", "object_id")
+    dead, alive = of("t").select("path", "object_id"), of("b").select(F.col("path").alias("_path"), F.col("object_id").alias("_object"))
     out += [
         finding(collisions(every), "path_collision", "key"),
         finding(repeated(of("b"), "object_id"), "object_bound_twice"),
         finding(owners(of("b"), of("t").withColumn("last_object_version_id", version)), "version_owner_collision", "object_version_id"),
-        finding(dead.join(of("b").select("path", "object_id"), ["path", "object_id"], "left_semi"), "same_object_recreated"),
+        finding(dead.join(alive, path.eqNullSafe(F.col("_path")) & (F.col("object_id") == F.col("_object")), "left_semi"), "same_object_recreated"),
         finding(dead.join(of("x").select("path"), "path", "left_semi"), "tombstone_on_exclusion"),
         finding(inside, "below_nested_boundary"),
         finding(overlaps(nested), "boundary_overlap"),
